@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import exact_dedup
+from fieldloom.llm import exact_dedup, near_dedup
 
-_MODULES = (exact_dedup,)
+_MODULES = (near_dedup, exact_dedup)
 
 
 def queries() -> dict:
