@@ -82,8 +82,8 @@ def _pack(vocabulary: str, window: int, end_id: int):
 
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     length = min(window, n - start)

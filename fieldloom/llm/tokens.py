@@ -1,25 +1,37 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a cache of what it gave for words.
 
 A byte-level BPE first cuts a text by a fixed pattern and then merges within
-each cut, so a text's ids are those of its cuts one after another.  Cuts recur,
-so the library's model is asked once for each that is not in the cache.
+each cut, so a text's ids are those of its cuts one after another.  In that
+pattern a space belongs to what follows it: a place before a space is a border
+of cuts unless white space stands on both sides of that space.  Texts are
+therefore split at spaces and the pieces numbered by Arrow; each distinct piece
+of a batch is cut once, and the library's model is asked once for each cut that
+is not in the cache.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from fieldloom.llm.memo import Memo
+
 #: The published pattern of this kind of vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters on whose class regular-expression libraries differ; texts that hold one are encoded whole.
-_DISPUTED = regex.compile(r"[\x1c-\x1f\x85᠎​⁠﻿]|[^\x00-ɏͰ-׿぀-ヿ一-鿿가-힣]")
-#: Cuts in one of the cache's two generations, and the longest cut it keeps; they bound a worker's memory, not the result.
-GENERATION, LONGEST = 500_000, 64
-
+#: Texts encoded whole (RE2): white space on both sides of a space, or a character on whose class regular-expression libraries may differ.
+_WHOLE = (
+    r"[\t-\r \x{a0}] (?:[\t-\r \x{a0}]|\z)|[\x{1c}-\x{1f}\x{85}]"
+    r"|[^\x{00}-\x{24f}\x{370}-\x{52f}\x{5d0}-\x{5ea}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
+)
+#: Bytes of text that one split covers at least, unless fewer are left.
+_SPLIT = 1 << 24
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else the next from U+0100."""
@@ -38,41 +50,56 @@ class Encoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         self.letters = _byte_letters()
         spec = json.loads(self.tokenizer.to_str())
         cut = spec.get("pre_tokenizer") or {}
         self.by_cuts = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-        self.cuts = regex.compile(PATTERN).findall
-        self.merge = self.tokenizer.model.tokenize
+        self.findall, self.merge = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
+        self.cuts, self.pieces = Memo(self._cut), Memo(self._piece)
 
     def whole(self, text: str) -> bytes:
         """The text in one call of the library."""
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _cut(self, cut: str) -> bytes:
-        found = self.old.get(cut)
-        if found is None:
-            found = _packed([t.id for t in self.merge(cut.encode().decode("latin-1").translate(self.letters))])
-        if len(cut) <= LONGEST:
-            if len(self.young) >= GENERATION:
-                self.old, self.young = self.young, {}
-            self.young[cut] = found
-        return found
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not self.by_cuts or _DISPUTED.search(text):
-            return self.whole(text)
-        out, get, slow = [], self.young.get, self._cut
-        for c in self.cuts(text):
-            ids = get(c)
-            if ids is None:
-                ids, get = slow(c), self.young.get
-            out.append(ids)
-        return b"".join(out)
+        return _packed([t.id for t in self.merge(cut.encode().decode("latin-1").translate(self.letters))])
+
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(map(self.cuts.get, self.findall(piece)))
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of every row of a string column, in order."""
+        texts = texts.fill_null("").cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        row = 0
+        while row < len(texts):
+            before = sizes[row - 1] if row else 0
+            end = min(len(texts), max(row + 1, int(np.searchsorted(sizes, before + _SPLIT, side="right"))))
+            yield from self._split(texts.slice(row, end - row))
+            row = end
+
+    def _split(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False) if self.by_cuts else np.ones(len(texts), dtype=bool)
+        parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        edges, flat = parts.offsets.to_numpy(), parts.flatten()
+        coded = flat.dictionary_encode()
+        get = self.pieces.get
+        ids = pa.array([get(" " + w) for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        begins = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else memoryview(b"")
+        plain = 0
+        for row, whole in enumerate(odd.tolist()):
+            if whole:
+                text = texts[row].as_py()
+                yield self.whole(text) if text else b""
+                continue
+            first, last = edges[plain] - edges[0], edges[plain + 1] - edges[0]
+            plain += 1
+            if first == last:
+                yield b""
+                continue
+            word = flat[int(first)].as_py()
+            yield (get(word) if word else b"") + bytes(data[begins[first + 1] : begins[last]])
 
 
 _encoders: dict[str, Encoder] = {}
