@@ -1,10 +1,11 @@
 """Token ids in Arrow IPC files of equal-length sequences.
 
 A shard is two files of the Arrow random-access format.  ``*.ids.arrow`` has the
-columns ``ids`` (fixed-size list of uint32) and ``mask`` (fixed-size list of
-uint8: 1 where an id stands, 0 where the last sequence is padded); every record
-batch but the last holds BATCH sequences, so sequence i is found by division and
-read as a view of the mapped file.  ``*.docs.arrow`` has one row per document:
+columns ``ids`` (fixed-size list of uint16, or of uint32 where the vocabulary has
+more than 65,536 ids) and ``mask`` (fixed-size list of uint8, eight positions a
+byte, least significant bit first: set where an id stands, clear where the last
+sequence is padded); every record batch but the last holds BATCH sequences, so
+sequence i is found by division and read as a view of the mapped file.  ``*.docs.arrow`` has one row per document:
 doc_id, start (ids before it within the shard) and n_tokens.
 
 Shards hold ascending ranges of doc_id.  Tasks write under names of their own and
@@ -18,6 +19,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ LENGTH, BATCH, END = 1024, 256, 2
 _SHARD = "shard long, path string, n_docs long, n_tokens long"
 
 
-def _ids_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))])
+def _ids_schema(length: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
 
 
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -43,12 +45,15 @@ _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 class ShardWriter:
     """Appends documents to a shard; holds at most BATCH sequences besides one document."""
 
-    def __init__(self, path: str, length: int = LENGTH):
+    def __init__(self, path: str, length: int = LENGTH, wide: bool = True):
+        if length % 8:
+            raise ValueError("the sequence length must be a multiple of 8")
         files, at = pa.fs.FileSystem.from_uri(path)
         files.create_dir(at.rsplit("/", 1)[0], recursive=True)
         self.length, self.held, self.size, self.start, self.n_docs = length, [], 0, 0, 0
         self.out = [files.open_output_stream(at + end) for end in (".ids.arrow", ".docs.arrow")]
-        self.ids = pa.ipc.new_file(self.out[0], _ids_schema(length))
+        self.schema = _ids_schema(length, wide)
+        self.ids = pa.ipc.new_file(self.out[0], self.schema)
         self.docs = pa.ipc.new_file(self.out[1], _DOCS)
 
     def _flush(self, last: bool) -> None:
@@ -57,10 +62,11 @@ class ShardWriter:
         for at in range(0, whole, unit):
             part = data[at : min(whole, at + unit)]
             rows = -(-len(part) // self.length)
-            ids, mask = np.zeros(rows * self.length, np.uint32), np.zeros(rows * self.length, np.uint8)
-            ids[: len(part)], mask[: len(part)] = part, 1
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
-            self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=_ids_schema(self.length)))
+            ids = np.zeros(rows * self.length, self.schema.field("ids").type.value_type.to_pandas_dtype())
+            ids[: len(part)] = part
+            mask = np.packbits(np.arange(len(ids)) < len(part), bitorder="little")
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(x), f.type.list_size) for x, f in zip((ids, mask), self.schema, strict=True)]
+            self.ids.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.schema))
         self.held = [data[whole:].tobytes()]
         self.size = len(data) - whole
 
@@ -97,10 +103,10 @@ class Shard:
         return tuple(found.column(k).values.to_numpy(zero_copy_only=True) for k in (0, 1))
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i`` as views of the file's memory."""
+        """Ids and packed mask of sequence ``i`` as views of the file's memory."""
         ids, mask = self._values(i // BATCH)
-        at = i % BATCH * self.length
-        return ids[at : at + self.length], mask[at : at + self.length]
+        at, bits = i % BATCH * self.length, self.length // 8
+        return ids[at : at + self.length], mask[at // 8 : at // 8 + bits]
 
     def documents(self) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         """Batches of the document index with each document's ids, read one record batch at a time."""
@@ -113,8 +119,8 @@ class Shard:
                 while size < n:
                     batch += 1
                     ids, mask = self._values(batch)
-                    ids = ids[: int(np.count_nonzero(mask))]
-                    parts.append(ids.astype("<u4", copy=False).tobytes())
+                    ids = ids[: int(np.bitwise_count(mask).sum())]
+                    parts.append(ids.astype("<u4").tobytes())
                     size += len(ids)
                 held = b"".join(parts)
                 out.append(held[: 4 * n])
@@ -124,13 +130,15 @@ class Shard:
 def _write(path: str, vocabulary: str, end_id: int, length: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, writer = encoder(vocabulary).encode, struct.pack("<I", end_id), None
+        wide = max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
         shard = TaskContext.get().partitionId()
         name = f"{path}/shard-{shard:07d}-{uuid.uuid4().hex}"
         for batch in batches:
+            writer = writer or ShardWriter(name, length, wide)
+            ids = encode(batch.column(1))
             for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                writer = writer or ShardWriter(name, length)
-                writer.add(part.column(0).to_pylist(), [encode(x.as_py()) + end for x in part.column(1)])
+                doc_ids = batch.column(0).slice(at, 512).to_pylist()
+                writer.add(doc_ids, [x + end for x in islice(ids, len(doc_ids))])
         if writer:
             writer.close()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "path": name, "n_docs": writer.n_docs, "n_tokens": writer.start}])
