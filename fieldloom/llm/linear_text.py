@@ -9,15 +9,16 @@ def sigmoid(x):
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
-    """Weights (last: intercept) of a ridge-penalised logistic regression, by Newton steps."""
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last: intercept) of a ridge-penalised logistic regression, by Newton steps; ``weight``: of each row."""
+    each = np.ones(len(x)) if weight is None else weight
     z = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(z.shape[1])
-    penalty = np.full(len(w), ridge * len(z))
+    penalty = np.full(len(w), ridge * each.sum())
     penalty[-1] = 1e-9
     for _ in range(rounds):
         p = sigmoid(z @ w)
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((z * (each * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (each * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-9:
             break

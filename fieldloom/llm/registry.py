@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import exact_dedup, near_dedup, packing, quality, token_files
+from fieldloom.llm import exact_dedup, media, near_dedup, packing, quality, token_files, toxicity, warc
 
-_MODULES = (near_dedup, exact_dedup, quality, packing, token_files)
+_MODULES = (near_dedup, toxicity, exact_dedup, media, warc, quality, packing, token_files)
 
 
 def queries() -> dict:
