@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import exact_dedup, media, near_dedup, packing, quality, surrogates, token_files, toxicity, warc
+from fieldloom.llm import exact_dedup, media, mixing, near_dedup, packing, quality, surrogates, token_files, toxicity, warc
 
-_MODULES = (near_dedup, toxicity, exact_dedup, media, warc, surrogates, quality, packing, token_files)
+_MODULES = (near_dedup, toxicity, exact_dedup, media, mixing, warc, surrogates, quality, packing, token_files)
 
 
 def queries() -> dict:
