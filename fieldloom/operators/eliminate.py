@@ -101,13 +101,10 @@ def eliminate_tiles(matrix: DataFrame, rows: int, columns: int, p: int = PRIME,
         return np.frombuffer(t, "<i8").reshape(shape)
 
     for k in range(steps):
-        last_rows = min(tile, rows - k * tile)
         head = array(left.where(f"bi = {k} and bj = {k}").first()["t"])
         diagonal = kernels.factor_by_halves(head, p, first=k * tile)
-        real = min(last_rows, columns - k * tile, tile)
-        below = rows - k * tile - real
-        zero = np.flatnonzero(np.diag(diagonal)[:real] == 0)
-        if below > 0 and len(zero):
+        zero = np.flatnonzero(np.diag(diagonal)[: min(tile, rows - k * tile, columns - k * tile)] == 0)
+        if len(zero) and k * tile + int(zero[0]) < rows - 1:
             raise SingularMatrixError(k * tile + int(zero[0]))
 
         def panel(frames, k=k, d=diagonal):

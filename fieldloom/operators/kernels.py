@@ -31,7 +31,9 @@ def factor(t: np.ndarray, p: int, first: int = 0) -> np.ndarray:
         if k + 1 == a.shape[0]:
             break
         if a[k, k] == 0:
-            raise SingularMatrixError(first + k)
+            if a[k + 1 :, k].any():
+                raise SingularMatrixError(first + k)
+            continue
         a[k + 1 :, k] = a[k + 1 :, k] * neg_inverse(int(a[k, k]), p) % p
         a[k + 1 :, k + 1 :] = (a[k + 1 :, k + 1 :] + np.outer(a[k + 1 :, k], a[k, k + 1 :])) % p
     return a
@@ -50,7 +52,9 @@ def solve_column(d: np.ndarray, t: np.ndarray, p: int, first: int = 0) -> np.nda
     a = t % p
     for k in range(len(d)):
         if d[k, k] == 0:
-            raise SingularMatrixError(first + k)
+            if a[:, k].any():
+                raise SingularMatrixError(first + k)
+            continue
         a[:, k] = a[:, k] * neg_inverse(int(d[k, k]), p) % p
         a[:, k + 1 :] = (a[:, k + 1 :] + np.outer(a[:, k], d[k, k + 1 :])) % p
     return a

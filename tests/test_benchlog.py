@@ -1,0 +1,65 @@
+from __future__ import annotations
+
+import pytest
+
+from fieldloom import queries
+from fieldloom.operators import benchlog
+from fieldloom.plans import runs
+from fieldloom.sources import benchlog as logs
+
+METHODS = queries.LOG_METHODS
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    return benchlog.parse(logs.lines_of(spark, "f", queries.LOG), METHODS)
+
+
+def test_records(records):
+    rows = {(r["method"], r["seq"]): r for r in records.collect()}
+    assert len(rows) == 6
+    assert rows["Open MP", 2]["gflops"] == -1.0 and rows["Open MP", 2]["threads"] == 4
+    assert rows["Open MP parallel sections", 1]["real_s"] == 6.0 and rows["Open MP parallel sections", 1]["ratio"] == 1.83
+
+
+def test_speedups(records):
+    over_all = {(r["method"], r["seq"]): r["speedup"] for r in benchlog.speedup_global(records).collect()}
+    over_own = {(r["method"], r["seq"]): r["speedup"] for r in benchlog.speedup_own(records).collect()}
+    assert over_all["Open MP", 1] == 1.6 and over_all["Open MP parallel sections", 0] == pytest.approx(8 / 9)
+    assert over_own["Open MP", 2] == 4.0 and over_own["Open MP parallel sections", 1] == 1.5
+
+
+def test_series_and_rates(records):
+    times = {r["method"]: r["times"] for r in benchlog.series(records).collect()}
+    assert times["Open MP"] == [10.0, 5.0, 2.5]
+    assert {r["rate"] for r in benchlog.throughput(records, 1000).where("method = 'Raw sequential'").collect()} == {2.0 * 1000**3 / 3e9 / 8.0}
+
+
+def test_later_labels_win_and_carry_forward(spark):
+    text = "x\n1\nOpen MP parallel sections\nReal time: 3 sec\nReal time: 4 sec\nKAAPIC 1D\nReal time: 5 sec\n"
+    rows = benchlog.parse(logs.lines_of(spark, "f", text), ["Open MP", "Open MP parallel sections", "KAAPIC"]).collect()
+    assert sorted((r["method"], r["seq"], r["real_s"]) for r in rows) == [("KAAPIC", 0, 5.0), ("Open MP parallel sections", 0, 3.0), ("Open MP parallel sections", 1, 4.0)]
+
+
+def test_reading_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.res").write_text(queries.LOG)
+    lines = logs.read_log(spark, f"{tmp_path}/*.res")
+    assert benchlog.parse(lines, METHODS).groupBy("file").count().where("count = 6").count() == 2
+    heads = logs.header(lines).collect()
+    assert all(h["dims"] == [1000, 1000] and h["threads"] == [1, 2, 4] for h in heads)
+    logs.append_reports(benchlog.parse(lines, METHODS), f"{tmp_path}/out")
+    logs.append_reports(benchlog.parse(lines, METHODS), f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 24
+
+
+def test_empty_log(spark):
+    assert benchlog.parse(logs.lines_of(spark, "f", "x").where("false"), METHODS).count() == 0
+
+
+def test_runs(spark):
+    assert runs.methods("multiply", 2)[0] == "pthreads" and runs.methods("naive", 1)[0] == runs.SEQUENTIAL
+    assert runs.run_matrix(spark, "recursive", 1, 4).count() == 1 + 4 * 3
+    assert [tuple(r) for r in runs.sweep(spark, 10, 20, 0, 1).orderBy("step").collect()] == [(0, 10, 20), (1, 20, 40)]
+    paths = spark.createDataFrame([("b-m-g-inc-1-2-96",), ("b-m-g-1-2-32",)], "path string")
+    assert {(r["incremental"], r["block"]) for r in benchlog.path_parameters(paths).collect()} == {(True, 96), (False, 32)}
