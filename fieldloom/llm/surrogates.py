@@ -25,8 +25,8 @@ from fieldloom.llm.common import cut, table
 KEY = "change-me"  # a deployment passes its own secret
 
 #: Titles and given names by gender and script (fixed lists).
-TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|госпожа"
-TITLES_M = "Mr|Herr|Monsieur|Señor|Signor|господин"
+TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|Госпожа"
+TITLES_M = "Mr|Herr|Monsieur|Señor|Signor|Господин"
 TITLES_N = "Dr|Prof"
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Camille Carmen Charlotte Claire Claudia Elena Elizabeth Emily Emma Greta Hannah Helga Ingrid Isabel Jane Julia Karen Laura Lucia Margaret Maria Mary Monika Nicole Olivia Patricia Rosa Sarah Sofia Sophie Susan Ursula".split(),
@@ -45,14 +45,16 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,6}\.\p{L}{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,120})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,31}\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,120})(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\w)",
     "phone": rf"(?<![\w+])(?:\+\d{{1,3}}{_SEP}\(?\d{{1,4}}\)?(?:{_SEP}\d{{2,4}}){{1,4}}|\(\d{{3}}\){_SEP}\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "person": rf"(?<![\p{{L}}])(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? {_NAME}|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)(?!\p{{L}})",
+    "person": rf"(?=[A-ZА-ЯЁ])(?<!\p{{L}})(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? {_NAME}|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every kind but persons needs one of these characters, so texts without them are searched for persons alone.
+HINT = "[0-9@]"
 
 
 def _text(value: str) -> str:
@@ -164,8 +166,14 @@ def _poured(mention: str, chars: str, which: str) -> str:
     return f"array_join(transform(sequence(1, length({mention})), i -> if({c} rlike '[{which}]', if({c} rlike '\\\\p{{Lu}}', upper({new}), {new}), {c})), '')"
 
 
-def mentions_of(text: F.Column) -> F.Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def _by_hint(sql: str) -> F.Column:
+    """``sql`` with {pattern}: the whole pattern where the text has a hint, else the one for persons."""
+    return F.expr(f"if(text rlike '{HINT}', {sql.format(pattern=_text(PATTERN))}, {sql.format(pattern=_text(PATTERNS['person']))})")
+
+
+def mentions() -> F.Column:
+    """All mentions in the column ``text``, in order."""
+    return _by_hint("regexp_extract_all(text, {pattern}, 0)")
 
 
 def surrogate_table(mentions: DataFrame, key: str) -> DataFrame:
@@ -198,20 +206,21 @@ def surrogate_table(mentions: DataFrame, key: str) -> DataFrame:
 
 
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All columns of ``docs`` with personal data in ``text`` replaced, and ``n_entities``: mentions replaced.
+    """All columns of ``docs`` with personal data in ``text`` replaced, and ``n_entities``: mentions replaced (in place of such a column).
 
     Null texts stay null, texts without mentions stay as they are.  Repeated
     rows read alike, whatever their doc_id.
     """
-    touched = docs.where(F.col("text").rlike(PATTERN)).withColumn("__row", F.xxhash64("text")).withColumn("__length", F.length("text"))
-    said = cut(touched.select("__row", "__length", F.explode(F.array_distinct(mentions_of(F.col("text")))).alias("mention")).distinct(), "said")
+    holds = F.coalesce(_by_hint("text rlike {pattern}"), F.lit(False))
+    keyed = docs.withColumn("__row", F.xxhash64("text")).withColumn("__length", F.length("text"))
+    said = cut(keyed.select("__row", "__length", F.explode(F.array_distinct(mentions())).alias("mention")).distinct(), "said")
     given = cut(surrogate_table(said.select("mention").distinct(), key), "given")
     maps = said.join(given, "mention").groupBy("__row", "__length").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__given"))
-    replaced = touched.join(cut(maps, "maps"), ["__row", "__length"]).withColumn("__said", mentions_of(F.col("text")))
-    parts = F.expr(f"zip_with(split(text, {_text(PATTERN)}, -1), __said, (gap, m) -> concat(gap, coalesce(__given[m], m, '')))")
+    replaced = keyed.where(holds).join(cut(maps, "maps"), ["__row", "__length"]).withColumn("__said", mentions()).withColumn("__gaps", _by_hint("split(text, {pattern}, -1)"))
+    parts = F.expr("zip_with(__gaps, __said, (gap, m) -> concat(gap, coalesce(__given[m], m, '')))")
     replaced = replaced.withColumn("n_entities", F.size("__said").cast("long")).withColumn("text", F.array_join(parts, ""))
-    clean = docs.where(~F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))).withColumn("n_entities", F.lit(0).cast("long"))
-    return clean.unionByName(replaced.select(*docs.columns, "n_entities"))
+    clean = docs.where(~holds).withColumn("n_entities", F.lit(0).cast("long"))
+    return clean.unionByName(replaced.select(*clean.columns))
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,100 @@
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from fieldloom.llm import surrogates
+from tests.llm.conftest import ODD
+
+TEXTS = [
+    "Mail john.doe@corp.com or JOHN.DOE@CORP.COM, call +1 (523) 555-1055 or +1-523-555-1055.",
+    "Card 4111111111111111 and 4111 1111 1111 1111; 4785380592391139 4785380592391139 ip 10.1.2.3 8.8.8.8.",
+    "Mr. John Smith met Anna Schmidt. Dr. Smith left; John Smith. Иван Петров и Анна Петрова",
+    "DE89 3704 0044 0532 0130 00 ssn 123-45-6789 tok 04dbebab91ab85687d33eeaaf9ac699e1188f962 04DBEBAB91AB85687D33EEAAF9AC699E1188F962",
+    "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\"### ée.5@mail1.example.com!! +1!! (017)!! 555-7713!!",
+    "clean text 1.2.3 and 2020-01-01, John said. CC BY-NC 4.0",
+]
+
+
+def luhn(digits):
+    return sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+@pytest.fixture(scope="module")
+def out(spark, make):
+    rows = surrogates.with_surrogates(make(list(enumerate(TEXTS)), "n_entities mention"), key="k1").collect()
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_coreference_and_format(out):
+    m = re.match(r"Mail (\S+) or (\S+), call \+1 \((\d{3})\) (\d{3})-(\d{4}) or \+1-(\d{3})-(\d{3})-(\d{4})\.$", out[0]["text"])
+    assert m and m[1].upper() == m[2] and m.group(3, 4, 5) == m.group(6, 7, 8) and m[1] != "john.doe@corp.com"
+    assert re.fullmatch(r"[a-z]{4}\.[a-z]{3}@\w+\.example\.net", m[1])
+    assert out[0]["n_entities"] == 4
+
+
+def test_numbers(out):
+    a, b, c, d, private, public = re.match(r"Card (\d{16}) and ((?:\d{4} ){3}\d{4}); (\d{16}) (\d{16}) ip (\S+) (\S+)\.$", out[1]["text"]).groups()
+    assert a == b.replace(" ", "") and luhn(a) and c == d and c != "4785380592391139" and a[0] == "4"
+    assert private.startswith("10.") and private != "10.1.2.3" and not public.startswith("10.")
+    iban = re.match(r"(DE\d\d(?: \d{4}){4} \d\d) ssn (\d{3}-\d{2}-\d{4}) tok ([0-9a-f]{40}) ([0-9A-F]{40})$", out[3]["text"])
+    assert iban and iban[3].upper() == iban[4]
+    plain = iban[1].replace(" ", "")
+    assert int("".join(str(int(ch, 36)) for ch in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_names_keep_gender_and_script(out):
+    m = re.match(r"Mr\. (\w+) (\w+) met (\w+) (\w+)\. Dr\. (\w+) left; (\w+) (\w+)\. (\w+) (\w+) и (\w+) (\w+)$", out[2]["text"])
+    assert m[1] in surrogates.GIVEN["m", "latin"] and m[1] != "John" and m[3] in surrogates.GIVEN["f", "latin"]
+    assert m[2] == m[5] == m[7] and m[1] == m[6] and m[4] != m[2]
+    assert m[8] in surrogates.GIVEN["m", "cyrillic"] and m[10] in surrogates.GIVEN["f", "cyrillic"] and m[11].endswith("а")
+
+
+def test_clean_and_noisy_texts(out):
+    assert out[5]["text"] == TEXTS[5] and out[5]["n_entities"] == 0
+    assert "24be6443" not in out[4]["text"] and "ée.5" not in out[4]["text"] and "555-7713" not in out[4]["text"] and out[4]["n_entities"] == 3
+    assert re.search(r'^token = "[0-9a-f]{40}"### ', out[4]["text"])
+
+
+def test_key_decides(spark, make):
+    one, two, again = (surrogates.with_surrogates(make([(1, TEXTS[0])]), key=k).first()["text"] for k in ("a", "b", "a"))
+    assert one == again != two
+
+
+def test_collisions_are_drawn_again(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    def narrow(key):  # eight values for six entities, two of which are entities themselves
+        return F.concat(F.lit("e"), F.pmod(F.xxhash64("entity", "attempt"), F.lit(8).cast("long")).cast("string"))
+
+    monkeypatch.setattr(surrogates, "_candidate", narrow)
+    entities = spark.createDataFrame([("card", e) for e in ("e0", "e1", "a", "b", "c", "d")], "kind string, entity string")
+    rows = surrogates._settled(entities, "k").collect()
+    found = [r["surrogate"] for r in rows]
+    assert len(rows) == len(set(found)) == 6 and not {"e0", "e1"} & set(found)
+
+
+def test_many_entities_stay_distinct(spark, make):
+    rows = [(i, f"ip {i % 200}.{i % 7}.3.4 card {4000000000000000 + i} user{i}@x.org") for i in range(600)]
+    out = surrogates.with_surrogates(make(rows)).collect()
+    for pattern in (r"card (\d+)", r"(\S+@\S+)", r"ip (\S+)"):
+        old = [re.search(pattern, t)[1] for _, t in sorted(rows)]
+        new = [re.search(pattern, r["text"])[1] for r in sorted(out, key=lambda r: r["doc_id"])]
+        assert len(set(new)) == len(set(old)) and not set(new) & set(old)
+        assert len(set(zip(old, new, strict=True))) == len(set(old))
+
+
+def test_odd_rows(spark, make):
+    rows = [*ODD, (9, TEXTS[0]), (9, TEXTS[0]), (None, TEXTS[0])]
+    out = surrogates.with_surrogates(make(rows)).collect()
+    assert len(out) == len(rows)
+    assert len({r["text"] for r in out if r["n_entities"] == 4}) == 1
+    same = lambda x: (str(x[0]), str(x[1]))
+    assert sorted(((r["doc_id"], r["text"]) for r in out if r["n_entities"] == 0), key=same) == sorted(ODD, key=same)
+    assert surrogates.with_surrogates(make(ODD).where("false")).count() == 0
+
+
+def test_no_python_on_the_main_path(spark, make):
+    plan = surrogates.with_surrogates(make([(1, TEXTS[0])]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
