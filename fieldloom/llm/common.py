@@ -1,65 +1,16 @@
-"""What the text operators share: input columns, written cut points, the shared folder."""
+"""What the text operators share: input columns and the cut points of the library."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER = UPPER.lower()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is absent (a local session, as in tests) a temporary
-    folder is made once per session and recorded in that setting; a cluster
-    without the setting is an error, since a local folder would not be shared.
-    """
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-    made = tempfile.mkdtemp(prefix="fieldloom-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    uri = f"file://{made}"
-    spark.conf.set("spark.checkpoint.dir", uri)
-    return uri
-
+from fieldloom.plans.cuts import cut, fresh_path, shared_dir
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; runs never reuse one another's."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["LOWER", "UPPER", "ascii_lower", "cut", "fresh_path", "held_out", "shared_dir", "table"]
 
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    Later stages start from these files, so a lost executor costs only the
-    tasks it was running, and a join on the rereading sees plain exchanges on
-    both sides, which adaptive execution may split when a key is hot.
-    """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*cuts: DataFrame) -> None:
-    """Delete the files behind results of :func:`cut` that nothing reads any more."""
-    for df in cuts:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        root = shared_dir(spark)
-        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            if name.startswith(root.replace("file:///", "file:/")) or name.startswith(root):
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LOWER = UPPER.lower()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
