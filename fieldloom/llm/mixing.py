@@ -64,25 +64,24 @@ def exponent(sources: DataFrame, entropy: float | None, max_repeat: float | None
 
     found = section(lambda h, _: h >= entropy) if entropy is not None else 0.0
     if max_repeat is not None:
-        limit = section(lambda _, r: r * (1.0 if whole else budget_share) > max_repeat + 1e-9)
-        if limit < 1.0 or _measured(sources, [1.0], whole)[0][1] * (1.0 if whole else budget_share) > max_repeat + 1e-9:
-            found = max(found, limit)
+        found = max(found, section(lambda _, r: r * (1.0 if whole else budget_share) > max_repeat + 1e-9))
     return found
 
 
 def plan(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repeat: float | None = MAX_REPEAT, budget: int | None = None, whole: bool = False, seed: int = 17) -> DataFrame:
-    """How often each document is used: all columns of ``docs`` but ``text``, and n_tokens, mix_block, weight, copies.
+    """How often each document is used: doc_id, source, text_hash, n_tokens, mix_block, weight, copies.
 
     Tokens are words, maximal runs of bytes other than 0x20 and 0x09-0x0D.
     ``budget`` defaults to the tokens there are; with ``whole`` it is instead the
     least that uses every source at least once throughout.  A null source is the
-    empty source; documents without tokens cost nothing and come along with
-    their block; an empty table gives no rows.  Rows that agree in doc_id and
+    empty source; documents without tokens (null and empty texts too) cost
+    nothing and come along with their block; other columns are ignored; an empty table gives no rows.  Rows that agree in doc_id and
     text stand or fall together.
     """
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
-    rows = docs.withColumn("__source", F.coalesce(F.col("source").cast("string"), F.lit(""))).withColumn("n_tokens", tokens)
-    rows = cut(rows.withColumn("__order", F.xxhash64(F.lit(seed), "doc_id", "text")).drop("text"), "rows")
+    named = F.coalesce(F.col("source").cast("string"), F.lit(""))
+    rows = docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), tokens.alias("n_tokens"), named.alias("__source"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("__order"))
+    rows = cut(rows, "rows")
     sources = rows.groupBy("__source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
     total = sources.agg(F.sum("tokens").alias("n"), F.count(F.lit(1)).alias("k")).first()
     n, k = total["n"] or 0, total["k"]
@@ -113,22 +112,21 @@ def plan(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repea
     within = W.partitionBy("__source", "mix_block").orderBy(F.xxhash64(F.lit(seed + 2), "__order"), "__order").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = joined.where("left > 0 and left < held").withColumn("extra", (F.sum("n_tokens").over(within) <= F.col("left")).cast("long"))
     others = joined.where("not (left > 0 and left < held)").withColumn("extra", ((F.col("left") > 0) & (F.col("left") >= F.col("held"))).cast("long"))
-    kept = [c for c in docs.columns if c != "text"]
-    return others.unionByName(last).select(*kept, "n_tokens", "mix_block", "weight", (F.col("passes") + F.col("extra")).alias("copies"))
+    return others.unionByName(last).select("doc_id", "source", "text_hash", "n_tokens", "mix_block", "weight", (F.col("passes") + F.col("extra")).alias("copies"))
 
 
 def mixture(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs``, each as often as :func:`plan` says; columns as in ``docs``."""
     keyed = docs.withColumn("__text", F.xxhash64("text"))
-    used = plan(keyed.select("doc_id", "source", "text", "__text"), **parameters)
-    used = cut(used.select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("__text").alias("__same"), F.col("copies").alias("__copies")).distinct(), "used")
+    used = plan(docs, **parameters)
+    used = cut(used.select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("text_hash").alias("__same"), F.col("copies").alias("__copies")).distinct(), "used")
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from")) & (F.col("__text") == F.col("__same"))
     rows = keyed.join(used, same).where("__copies > 0")
     return rows.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return plan(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op5_source_mixing": op5_source_mixing}

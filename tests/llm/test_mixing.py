@@ -1,0 +1,111 @@
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from fieldloom.llm import mixing
+from tests.llm.conftest import ODD
+
+
+def corpus(seed=1):
+    rng = random.Random(seed)
+    return [(i, " ".join(["w"] * rng.randint(1, 30)), rng.choices(["hot", "b", "c", "d"], [60, 25, 10, 5])[0]) for i in range(400)]
+
+
+def shares(rows):
+    held = Counter()
+    for _, text, source in rows:
+        held[source] += len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    n = sum(held.values())
+    return held, {s: t / n for s, t in held.items()}
+
+
+def weights(p, a):
+    z = sum(x**a for x in p.values())
+    return {s: x**a / z for s, x in p.items()}
+
+
+def bisected(holds):
+    low, high = 0.0, 1.0
+    if holds(1.0):
+        return 1.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if holds(mid) else (low, mid)
+    return low
+
+
+def entropy(w):
+    return -sum(x * math.log(x) for x in w.values())
+
+
+@pytest.mark.parametrize("share", [0.8, 0.9, 0.99, 0.1])
+def test_entropy_target_against_bisection(spark, make, monkeypatch, share):
+    monkeypatch.setattr(mixing, "PER_BLOCK", 16)
+    rows = corpus()
+    held, p = shares(rows)
+    a = bisected(lambda a: entropy(weights(p, a)) >= share * math.log(4))
+    want = weights(p, a)
+    plan = mixing.plan(make(rows, "weight rest blocks held"), entropy_share=share, max_repeat=None).collect()
+    used = defaultdict(int)
+    for r in plan:
+        assert r["weight"] == pytest.approx(want[r["source"]], abs=1e-5)
+        used[r["source"]] += r["copies"] * r["n_tokens"]
+    n = sum(held.values())
+    for s in held:
+        assert want[s] * n - 31 - 1e-3 * n <= used[s] <= want[s] * n + 1e-3 * n
+        copies = {r["copies"] for r in plan if r["source"] == s}
+        assert max(copies) - min(copies) <= 1
+
+
+def test_repetition_limit(spark, make):
+    rows = corpus()
+    held, p = shares(rows)
+    limit = 1.5
+    a = bisected(lambda a: max(weights(p, a)[s] / p[s] for s in p) > limit)
+    for r in mixing.plan(make(rows), entropy_share=1.0, max_repeat=limit).collect():
+        assert r["weight"] == pytest.approx(weights(p, a)[r["source"]], abs=1e-5)
+    for r in mixing.plan(make(rows), entropy_share=None, max_repeat=100.0).collect():
+        assert r["weight"] == pytest.approx(0.25, abs=1e-5)
+
+
+def test_whole_sources(spark, make):
+    rows = corpus()
+    held, p = shares(rows)
+    plan = mixing.plan(make(rows), entropy_share=None, max_repeat=1.25, whole=True).collect()
+    assert min(r["copies"] for r in plan) == 1 and max(r["copies"] for r in plan) == 2
+    used = Counter()
+    for r in plan:
+        used[r["source"]] += r["copies"] * r["n_tokens"]
+    assert used["hot"] == held["hot"] and max(used[s] / held[s] for s in held) == pytest.approx(1.25, abs=0.08)
+    mixed = mixing.mixture(make(rows, "copies"), entropy_share=None, max_repeat=1.25, whole=True)
+    want = Counter({r["doc_id"]: r["copies"] for r in plan})
+    assert Counter(r["doc_id"] for r in mixed.collect()) == want and mixed.columns[-1] == "copies"
+
+
+def test_blocks_are_taken_in_a_permutation(spark, make, monkeypatch):
+    monkeypatch.setattr(mixing, "PER_BLOCK", 8)
+    rows = [(i, "one two three", "s") for i in range(200)]
+    plan = mixing.plan(make(rows), budget=300, entropy_share=None, max_repeat=None).collect()
+    blocks = defaultdict(set)
+    for r in plan:
+        blocks[r["mix_block"]].add(r["copies"])
+    assert sum(r["copies"] for r in plan) == 100 and sum(len(c) == 2 for c in blocks.values()) <= 1
+    other = mixing.plan(make(rows), budget=300, entropy_share=None, max_repeat=None, seed=99).collect()
+    assert {r["doc_id"] for r in plan if r["copies"]} != {r["doc_id"] for r in other if r["copies"]}
+
+
+def test_odd_rows(spark, make):
+    rows = [(i, t, s) for (i, t), s in zip(ODD, ["a", None, "", "a", "b", "b", "b", "b", None, "a", "c"], strict=True)]
+    plan = mixing.plan(make(rows, "tokens")).collect()
+    assert len(plan) == len(rows)
+    assert len({r["copies"] for r in plan if r["doc_id"] == 7}) == 1
+    mixed = mixing.mixture(make(rows), entropy_share=None, max_repeat=1.0, whole=True).collect()
+    assert len(mixed) == len(rows)
+    for empty in (make(rows).where("false"), make([(1, None), (2, "")])):
+        n = empty.count()
+        assert mixing.plan(empty).count() == n and mixing.mixture(empty).count() == n
