@@ -1,0 +1,137 @@
+from __future__ import annotations
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from fieldloom.llm import components, near_dedup, shingles, superminhash
+from tests.llm.conftest import ODD
+
+
+def brute_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def brute_groups(rows, percent=85):
+    sets = {i: brute_set(t) for i, t in rows if i is not None}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            both = len(sets[i] & sets[j])
+            if i < j and sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def corpus(seed=3, groups=12):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    passage = " ".join(word() for _ in range(60))
+    rows, i = [], 0
+    for _ in range(groups):
+        base = [word() for _ in range(rng.randint(40, 120))]
+        for _ in range(rng.randint(1, 12)):
+            text = list(base)
+            for _ in range(rng.randint(0, 6)):
+                text[rng.randrange(len(text))] = word()
+            rows.append((i, " ".join(text) + (" " + passage if rng.random() < 0.3 else "")))
+            i += 1
+        rows.append((i, rows[-1][1].upper()))
+        i += 1
+    return rows
+
+
+def test_sets_against_brute_force():
+    texts = [t for _, t in ODD] + [t for _, t in corpus()]
+    for t, s in zip(texts, shingles.sets_of(pa.array(texts, pa.string())), strict=True):
+        assert len(s) == len(brute_set(t))
+    a, b = (next(iter(shingles.sets_of(pa.array([t])))) for t in ("A\x0bb c D e\x0cf", "a b C d E f"))
+    assert a.tolist() == b.tolist()
+    assert list(shingles.sets_of(pa.array([], pa.string()))) == []
+
+
+def test_signatures_estimate_similarity_with_less_spread():
+    rng = np.random.Generator(np.random.PCG64(1))
+    errors = []
+    for _ in range(120):
+        e = rng.integers(0, 2**63, 600, dtype=np.uint64)
+        a, b = np.unique(e[:400]), np.unique(e[200:])
+        errors.append(superminhash.agreement(superminhash.signature(a), superminhash.signature(b)) - 1 / 3)
+    assert abs(np.mean(errors)) < 0.01
+    assert np.std(errors) < 0.95 * np.sqrt(1 / 3 * 2 / 3 / superminhash.M)
+
+
+def test_early_stopping_changes_nothing():
+    e = np.unique(np.random.Generator(np.random.PCG64(2)).integers(0, 2**63, 30, dtype=np.uint64))
+    got = superminhash.signature(e)
+    whole = np.full(superminhash.M, np.inf)
+    m = superminhash.M
+    for x in e:
+        a, b = int(x >> np.uint64(32)) % (m - 1) + 1, int(x & np.uint64(0xFFFFFFFF)) % m
+        for rank in range(m):
+            seed = np.uint64((rank + 1) * int(superminhash._STEP) % 2**64)
+            fraction = float(shingles.mix(np.array([x ^ seed]))[0] >> np.uint64(12)) * 2.0**-52
+            whole[(a * rank + b) % m] = min(whole[(a * rank + b) % m], fraction + rank)
+    assert (got == whole).all()
+
+
+def test_groups_against_brute_force(spark, make):
+    rows = corpus()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(make(rows)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_links_outside_the_stars_are_found(spark, make):
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(160)]
+    rows = []
+    for i in range(90):  # chains and outliers around one text: most pairs share bands, few are linked
+        text = list(base)
+        for k in rng.sample(range(160), rng.randint(0, 9)):
+            text[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(make(rows)).collect()}
+    assert got == brute_groups(rows)
+
+
+def test_odd_rows(spark, make):
+    out = near_dedup.near_groups(make(ODD, "n h1 bands key node")).collect()
+    assert len(out) == len(ODD)
+    by = {r["doc_id"]: r for r in out if r["doc_id"] is not None}
+    assert [(by[i]["n_shingles"], by[i]["component_id"], by[i]["kept"]) for i in (1, 2, 3)] == [(0, 1, True), (0, 2, True), (0, 3, True)]
+    assert by[4]["component_id"] == 4 and by[7]["component_id"] == 4 and not by[7]["kept"] and by[4]["n_shingles"] == 1
+    assert {(r["component_id"], r["kept"]) for r in out if r["doc_id"] is None} == {(None, True)}
+
+
+def test_dropping_copies(spark, make):
+    kept = near_dedup.drop_near_copies(make([(1, "a b c d e f g"), (2, "A B C D E F G"), (3, ""), (4, None)], "grp"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4] and kept.columns[-1] == "grp"
+
+
+def test_empty_table(spark, make):
+    assert near_dedup.near_groups(make([(1, "a")]).limit(0)).count() == 0
+    assert near_dedup.drop_near_copies(make([(1, "a")]).where("false")).count() == 0
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "cycles"])
+def test_components(spark, shape):
+    n = 300
+    edges = {"path": [(k, k + 1) for k in range(n)], "star": [(k, 1000) for k in range(n)], "cycles": [(k, k // 10 * 10 + (k + 1) % 10) for k in range(n)]}[shape]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    got = {r["node"]: r["component"] for r in components.components(df).collect()}
+    if shape == "cycles":
+        assert got == {k: k // 10 * 10 for k in range(n)}
+    else:
+        assert set(got.values()) == {0} and len(got) == n + 1
+    assert components.components(df.where("false")).count() == 0
