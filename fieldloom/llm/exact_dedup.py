@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import LOWER, UPPER, ascii_lower, cut, table
+from fieldloom.llm.memory import tidy
 from fieldloom.llm.quotient_filter import CountingQuotientFilter
 
 #: Fingerprints that a task gathers before it emits a filter; bounds its memory.
@@ -27,6 +28,7 @@ PER_SEGMENT, LEAST_BITS = 1 << 20, 8
 
 
 def _filters(bits: int):
+    @tidy
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 

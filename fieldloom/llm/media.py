@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
+from fieldloom.llm.memory import tidy
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
@@ -148,6 +149,7 @@ def cosine_hash(pixels: np.ndarray) -> bytes:
     return np.packbits(low > np.median(low[1:])).tobytes()
 
 
+@tidy
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), 256):
@@ -157,6 +159,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), media], ["doc_id", "media"])
 
 
+@tidy
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _DECODED.split(", ")]
     for batch in batches:

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, table
 from fieldloom.llm.components import components
+from fieldloom.llm.memory import tidy
 from fieldloom.llm.shingles import mix, sets_of
 from fieldloom.llm.superminhash import band_keys, signature
 
@@ -43,6 +44,7 @@ SKETCH, SLICE = 1 << 20, 1 << 12
 _FEATURES = "doc_id long, n long, h1 long, h2 long, bands array<long>"
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     salt1, salt2 = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
     for batch in batches:
@@ -59,6 +61,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), n, pa.array(h[0], pa.int64()), pa.array(h[1], pa.int64()), bands], ["doc_id", "n", "h1", "h2", "bands"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, max(1, len(batch)), 1024):
@@ -68,6 +71,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
+    @tidy
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
@@ -96,6 +100,7 @@ def _bucket_of(shingles: np.ndarray) -> np.ndarray:
     return (shingles & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SKETCH, dtype=np.int64)
     for batch in batches:
@@ -121,6 +126,7 @@ def frequency_sketch(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(sketch, percent: int):
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sketch.value
         for batch in batches:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
+from fieldloom.llm.memory import tidy
 from fieldloom.llm.tokens import default_vocabulary, encoder
 
 WINDOW, END = 1024, 0
@@ -62,6 +63,7 @@ class SumOfSquares:
 
 
 def _pack(vocabulary: str, window: int, end_id: int):
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(vocabulary).encode, SumOfSquares(window)
         base = TaskContext.get().partitionId() << 36

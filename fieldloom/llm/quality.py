@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import held_out, table
 from fieldloom.llm.linear_text import folds, logistic_fit, sigmoid
+from fieldloom.llm.memory import release, tidy
 from fieldloom.llm.shingles import word_hashes
 
 BITS, ORDERS, ECHO = 18, 4, 6
@@ -65,26 +66,29 @@ class NaiveBayesSVM:
 
 
 def log_ratios(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    good, bad = (np.bincount(np.concatenate([rows[i] for i in np.flatnonzero(y == k)] or [np.zeros(0, np.int64)]), minlength=1 << BITS) for k in (1, 0))
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
-    return np.log((good + 1.0) / (n1 + 2.0)) - np.log((bad + 1.0) / (n0 + 2.0))
+    seen = np.zeros((2, 1 << BITS))
+    for r, k in zip(rows, y, strict=True):
+        seen[int(k), r] += 1.0  # a row's features are distinct
+    n = np.maximum(1, np.bincount(y, minlength=2))
+    return np.log((seen[1] + 1.0) / (n[1] + 2.0)) - np.log((seen[0] + 1.0) / (n[0] + 2.0))
 
 
 def _descend(rows: list[np.ndarray], y: np.ndarray, cost: float, passes: int, seed: int = 7) -> NaiveBayesSVM:
     """Hinge loss and half the squared norm, minimised over the dual variables one at a time."""
     ratios = log_ratios(rows, y)
     sign = np.where(y == 1, 1.0, -1.0)
-    values = [ratios[r] for r in rows]
-    norms = np.array([v @ v + 1.0 for v in values])
+    squares = ratios * ratios
+    norms = np.array([squares[r].sum() + 1.0 for r in rows])
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     rng = np.random.Generator(np.random.PCG64(seed))
     for _ in range(passes):
         largest = 0.0
         for i in rng.permutation(len(rows)):
-            slack = sign[i] * (w[rows[i]] @ values[i] + bias) - 1.0
+            values = ratios[rows[i]]
+            slack = sign[i] * (w[rows[i]] @ values + bias) - 1.0
             new = min(max(alpha[i] - slack / norms[i], 0.0), cost)
             if (step := (new - alpha[i]) * sign[i]) != 0.0:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 bias += step
                 largest = max(largest, abs(step) * norms[i])
                 alpha[i] = new
@@ -110,6 +114,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, passes: int =
     return model
 
 
+@tidy
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [indicators(x.as_py()).astype(np.int32).tobytes() for x in batch.column(1)]
@@ -127,14 +132,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
     data = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_features, "doc_id long, features binary, label int").toPandas()
     data = data.sort_values(["doc_id", "label", "features"])
-    return fit([np.frombuffer(x, np.int32).astype(np.int64) for x in data["features"]], data["label"].to_numpy())
+    return fit([np.frombuffer(x, np.int32) for x in data["features"]], data["label"].to_numpy())
 
 
 def _scores(shared):
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        for part in texts:
-            yield pd.Series([model.score(indicators(t)) for t in part], dtype="float64")
+        try:
+            for part in texts:
+                yield pd.Series([model.score(indicators(t)) for t in part], dtype="float64")
+        finally:
+            release()
 
     return F.pandas_udf(score, "double")
 

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, fresh_path, table
+from fieldloom.llm.memory import tidy
 from fieldloom.llm.tokens import default_vocabulary, encoder
 
 LENGTH, BATCH, END = 1024, 256, 2
@@ -128,6 +129,7 @@ class Shard:
 
 
 def _write(path: str, vocabulary: str, end_id: int, length: int):
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, writer = encoder(vocabulary).encode, struct.pack("<I", end_id), None
         wide = max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) > 1 << 16
@@ -164,6 +166,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None,
     return spark.createDataFrame(rows, _SHARD + ", base long").repartition(max(1, len(rows)))
 
 
+@tidy
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
