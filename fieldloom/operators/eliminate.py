@@ -143,3 +143,15 @@ def eliminate_by_halves(matrix: DataFrame, rows: int, columns: int, p: int = PRI
         return pd.DataFrame({"i": np.repeat(np.arange(rows), columns), "j": np.tile(np.arange(columns), rows), "v": v.ravel()})
 
     return matrix.select("i", "j", "v", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda pdf: factor(pdf), "i long, j long, v long")
+
+
+#: Edges up to which a matrix is folded within one row, and factored within one task.
+FOLD_EDGE, TASK_EDGE = 48, 1024
+
+
+def eliminate(matrix: DataFrame, rows: int, columns: int, p: int = PRIME) -> DataFrame:
+    """The packed form by the form that suits the size: one row, one task or tiles."""
+    check_prime(p)
+    if max(rows, columns) <= FOLD_EDGE:
+        return eliminate_fold(matrix, p)
+    return eliminate_by_halves(matrix, rows, columns, p) if max(rows, columns) <= TASK_EDGE else eliminate_tiles(matrix, rows, columns, p)

@@ -27,9 +27,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vectors(spark: SparkSession, sf_dir: str, rows: int | None = None, columns: int | None = None) -> DataFrame:
-    m = matrices.from_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return m.where(" and ".join([f"i < {rows}" if rows else "true", f"j < {columns}" if columns else "true"]))
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quantised vectors, one a row."""
+    return matrices.from_vectors(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spread over the full range of 32-bit words."""
+    return _vectors(spark, sf_dir).withColumn("v", (F.col("v") * 65537 + 4294000000) % field.WORD)
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over all vectors of the products of every two of their components, mod p."""
+    n, m = _size(spark, sf_dir)
+    t = layout.transpose(_vectors(spark, sf_dir))
+    return multiply_tiles(t, t, m, m, n)
+
+
+def _buckets(spark: SparkSession, sf_dir: str, rows: int, columns: int) -> DataFrame:
+    """Quantities of all line items by order and part bucket, mod p."""
+    return matrices.from_pairs(_table(spark, sf_dir, "lineitem"), F.col("l_orderkey") % rows, F.col("l_partkey") % columns, F.col("l_quantity"))
 
 
 def _size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
@@ -44,18 +61,18 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gram_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir)
-    return multiply_rows(v, v.where("i < 64"))
+    """All vectors times the matrix of their moments."""
+    return multiply_rows(_vectors(spark, sf_dir), _moments(spark, sf_dir))
 
 
 def gram_u32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _vectors(spark, sf_dir).withColumn("v", (F.col("v") * 65537 + 4294000000) % field.WORD)
     n, m = _size(spark, sf_dir)
+    wide = _wide(spark, sf_dir)
     return multiply_tiles(wide, wide, n, n, m, p=None)
 
 
 def gram_u32_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = _vectors(spark, sf_dir, 96).withColumn("v", (F.col("v") * 65537 + 4294000000) % field.WORD)
+    wide = layout.transpose(_wide(spark, sf_dir))
     return multiply_cells(wide, wide, None)
 
 
@@ -104,28 +121,34 @@ def lu_upper_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.upper(eliminate.eliminate_fold(matrices.deterministic(spark, 12, 12), full=False))
 
 
-def lu_rows_24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_by_rows(_vectors(spark, sf_dir, 24, 24), 24, 24)
+def lu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eliminate.eliminate_by_rows(_buckets(spark, sf_dir, 12, 12), 12, 12)
 
 
-def lu_fold_32(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_fold(_vectors(spark, sf_dir, 32, 32))
+def lu_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eliminate.eliminate_fold(_buckets(spark, sf_dir, 16, 16))
 
 
-def lu_halves_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_by_halves(_vectors(spark, sf_dir, 64), 64, 64, leaf=4)
+def lu_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m = _size(spark, sf_dir)
+    return eliminate.eliminate_by_halves(_moments(spark, sf_dir), m, m, leaf=4)
 
 
-def lu_embeddings_64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_tiles(_vectors(spark, sf_dir, 64), 64, 64, tile=24)
+def lu_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, m = _size(spark, sf_dir)
+    return eliminate.eliminate_tiles(_moments(spark, sf_dir), m, m, tile=24)
 
 
-def lu_rect_96(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_tiles(_vectors(spark, sf_dir, 96), 96, 64, tile=20)
+def lu_any_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form chosen by size: all vectors, and the buckets of line items."""
+    n, m = _size(spark, sf_dir)
+    whole = eliminate.eliminate(_vectors(spark, sf_dir), n, m).withColumn("part", F.lit("vectors"))
+    return whole.unionByName(eliminate.eliminate(_buckets(spark, sf_dir, 12, 16), 12, 16).withColumn("part", F.lit("buckets")))
 
 
 def lu_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_tiles(layout.transpose(_vectors(spark, sf_dir, 96)), 64, 96, tile=20)
+    n, m = _size(spark, sf_dir)
+    return eliminate.eliminate_tiles(layout.transpose(_vectors(spark, sf_dir)), m, n, tile=64)
 
 
 def lu_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,27 +158,25 @@ def lu_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lu_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leading 8 x 8 block of each label's vectors."""
-    from pyspark.sql import Window
-
-    t = _table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    t = t.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).where("r < 8")
-    long = t.select("label", F.col("r").cast("long").alias("i"), F.posexplode(F.slice("embedding", 1, 8)).alias("j", "x"))
-    m = long.select("label", "i", F.col("j").cast("long").alias("j"), F.pmod(F.floor(F.col("x").cast("double") * 1000), F.lit(P).cast("long")).alias("v"))
-    return eliminate.eliminate_groups(m, ["label"])
+    """The moments of each label's vectors in eight sums of components, factored label by label."""
+    t = _table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("j", "x"), "vec_id")
+    t = t.groupBy("label", "vec_id", (F.col("j") % 8).cast("long").alias("j")).agg((F.sum(F.pmod(F.floor(F.col("x").cast("double") * 1000), F.lit(P).cast("long"))) % P).alias("v"))
+    pairs = t.join(t.select("label", "vec_id", F.col("j").alias("i"), F.col("v").alias("w")), ["label", "vec_id"])
+    return eliminate.eliminate_groups(pairs.groupBy("label", "i", "j").agg((F.sum(F.col("v") * F.col("w")) % P).alias("v")), ["label"])
 
 
 def check_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two strategies on the same input, by the upper triangle."""
-    m = _vectors(spark, sf_dir, 32, 32)
-    return verify.compare(eliminate.eliminate_tiles(m, 32, 32, tile=12), eliminate.eliminate_fold(m, full=False))
+    m = _buckets(spark, sf_dir, 16, 16)
+    return verify.compare(eliminate.eliminate_tiles(m, 16, 16, tile=6), eliminate.eliminate_fold(m, full=False))
 
 
 def check_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(I - N) U against the matrix that was factored."""
-    m = _vectors(spark, sf_dir, 96)
-    back = verify.rebuilt(eliminate.eliminate_tiles(m, 96, 64, tile=24))
-    return verify.compare(m.where("v <> 0"), back.where("v <> 0"), upper_only=False).select("mismatching")
+    n, m = _size(spark, sf_dir)
+    v = _vectors(spark, sf_dir)
+    back = verify.rebuilt(eliminate.eliminate_tiles(v, n, m, tile=64))
+    return verify.compare(v.where("v <> 0"), back.where("v <> 0"), upper_only=False).select("mismatching")
 
 
 def elimination_work(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +249,9 @@ e AS (
 SELECT {g}{select} FROM e, LATERAL unnest(range(1, len(v) + 1)) AS u(k) WHERE step = {pivots} AND {where}"""
 
 
-_PER_LABEL = f"SELECT label, r AS i, k - 1 AS j, CAST((CAST(floor(CAST(embedding[k] AS DOUBLE) * 1000) AS BIGINT) % {P} + {P}) % {P} AS BIGINT) AS v FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings), LATERAL unnest(range(1, 9)) AS u(k) WHERE r < 8"
+_PER_LABEL = f"WITH t AS (SELECT label, vec_id, j % 8 AS j, sum(v) % {P} AS v FROM ({_VECTORS}) JOIN (SELECT vec_id, label FROM embeddings) ON i = vec_id GROUP BY label, vec_id, j % 8) SELECT a.label, a.j AS i, b.j, CAST(sum(a.v * b.v) % {P} AS BIGINT) AS v FROM t a JOIN t b USING (vec_id) GROUP BY a.label, a.j, b.j"
+_MOMENTS = f"SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) % {P} AS BIGINT) AS v FROM ({_VECTORS}) a JOIN ({_VECTORS}) b ON a.i = b.i GROUP BY a.j, b.j"
+_BUCKETS = f"SELECT l_orderkey % {{r}} AS i, l_partkey % {{c}} AS j, CAST(sum(CAST(l_quantity AS BIGINT)) % {P} AS BIGINT) AS v FROM lineitem GROUP BY 1, 2"
 _LOG_ROWS = "(VALUES ('bench.res', 0, 'Raw sequential', 1, 1, 8.0, 8.0, 1.0, 0.5), ('bench.res', 0, 'Open MP', 1, 1, 10.0, 9.5, 0.95, 0.25), ('bench.res', 1, 'Open MP', 2, 1, 5.0, 9.0, 1.8, 0.5), ('bench.res', 2, 'Open MP', 4, 1, 2.5, 9.25, 3.7, -1.0), ('bench.res', 0, 'Open MP parallel sections', 1, 1, 9.0, 9.0, 1.0, 0.125), ('bench.res', 1, 'Open MP parallel sections', 2, 1, 6.0, 11.0, 1.83, 0.75)) t(file, seq, method, threads, chunk, real_s, cpu_s, ratio, gflops)"
 _LOG_SQL = f"(SELECT file, CAST(seq AS INT) AS seq, method, CAST(threads AS INT) AS threads, CAST(chunk AS INT) AS chunk, CAST(real_s AS DOUBLE) AS real_s, CAST(cpu_s AS DOUBLE) AS cpu_s, CAST(ratio AS DOUBLE) AS ratio, CAST(gflops AS DOUBLE) AS gflops FROM {_LOG_ROWS})"
 _WORK = "SELECT m, n, CAST((SELECT sum((2 * (n - i) + 11) * (m - i) + 10 * (n - i) * (m - i)) FROM range(1, 5000) r(i) WHERE i <= least(m, n)) AS BIGINT) AS elimination, 2 * m * n * n AS multiplication FROM (VALUES (12::BIGINT, 12::BIGINT), (100, 60), (60, 100), (2000, 2000)) t(m, n)"
@@ -245,15 +268,15 @@ QUERIES = {
     f.__name__: f
     for f in (
         gram_matrix, gram_rows, gram_u32, gram_u32_cells, cross_product, mat_transpose, mat_deterministic, mat_padded, mat_random, mat_tiles, neg_inverse_table,
-        lu_packed_12, lu_upper_12, lu_rows_24, lu_fold_32, lu_halves_64, lu_embeddings_64, lu_rect_96, lu_wide, lu_tall, lu_per_label, check_mismatch, check_identity,
+        lu_packed_12, lu_upper_12, lu_rows, lu_fold, lu_halves, lu_moments, lu_any_size, lu_wide, lu_tall, lu_per_label, check_mismatch, check_identity,
         elimination_work, bench_records, bench_header, bench_series, speedup_global, speedup_own, bench_throughput, bench_paths, bench_runs, bench_sizes,
     )
 }
 ORACLES = {
     "gram_matrix": _product(_VECTORS, _VECTORS, P),
-    "gram_rows": _product(_VECTORS, _VECTORS, P, "b.i < 64"),
+    "gram_rows": _product(_VECTORS, _MOMENTS, P),
     "gram_u32": _product(_WIDE, _WIDE, field.WORD),
-    "gram_u32_cells": _product(_WIDE, _WIDE, field.WORD, "a.i < 96 AND b.i < 96"),
+    "gram_u32_cells": _product(f"SELECT j AS i, i AS j, v FROM ({_WIDE})", f"SELECT j AS i, i AS j, v FROM ({_WIDE})", field.WORD),
     "cross_product": _product(_INCIDENCE, _INCIDENCE, P),
     "mat_transpose": f"SELECT j AS i, i AS j, v FROM ({_VECTORS})",
     "mat_deterministic": _DETERMINISTIC.format(l=96, m=80),
@@ -263,15 +286,15 @@ ORACLES = {
     "neg_inverse_table": f"SELECT a, CAST(251 AS BIGINT) AS p, {_inverse('a', '251', ', '.join(bin(249)[2:]))} AS ninv FROM range(1, 251) t(a) UNION ALL SELECT a * 32 + 11, CAST({P} AS BIGINT), {_inverse('(a * 32 + 11)', str(P), _BITS)} FROM range(1, 2001) t(a)",
     "lu_packed_12": _lu(_DETERMINISTIC.format(l=12, m=12), "11"),
     "lu_upper_12": _lu(_DETERMINISTIC.format(l=12, m=12), "11", "k - 1 >= r"),
-    "lu_rows_24": _lu(f"SELECT * FROM ({_VECTORS}) WHERE i < 24 AND j < 24", "23"),
-    "lu_fold_32": _lu(f"SELECT * FROM ({_VECTORS}) WHERE i < 32 AND j < 32", "31"),
-    "lu_halves_64": _lu(f"SELECT * FROM ({_VECTORS}) WHERE i < 64", "63"),
-    "lu_embeddings_64": _lu(f"SELECT * FROM ({_VECTORS}) WHERE i < 64", "63"),
-    "lu_rect_96": _lu(f"SELECT * FROM ({_VECTORS}) WHERE i < 96", "64"),
-    "lu_wide": _lu(f"SELECT j AS i, i AS j, v FROM ({_VECTORS}) WHERE i < 96", "63"),
+    "lu_rows": _lu(_BUCKETS.format(r=12, c=12), "11"),
+    "lu_fold": _lu(_BUCKETS.format(r=16, c=16), "15"),
+    "lu_halves": _lu(_MOMENTS, "63"),
+    "lu_moments": _lu(_MOMENTS, "63"),
+    "lu_any_size": f"SELECT *, 'vectors' AS part FROM ({_lu(_VECTORS, '64')}) UNION ALL SELECT *, 'buckets' AS part FROM ({_lu(_BUCKETS.format(r=12, c=16), '11')})",
+    "lu_wide": _lu(f"SELECT j AS i, i AS j, v FROM ({_VECTORS})", "63"),
     "lu_tall": _lu(_VECTORS, "64"),
     "lu_per_label": _lu(_PER_LABEL, "7", select="r AS i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v, CAST(NULL AS BIGINT) AS singular_at", group="label"),
-    "check_mismatch": "SELECT CAST(0 AS BIGINT) AS mismatching, CAST(528 AS BIGINT) AS compared",
+    "check_mismatch": "SELECT CAST(0 AS BIGINT) AS mismatching, CAST(136 AS BIGINT) AS compared",
     "check_identity": "SELECT CAST(0 AS BIGINT) AS mismatching",
     "elimination_work": _WORK,
     "bench_records": f"SELECT * FROM {_LOG_SQL}",
