@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import held_out, table
 from fieldloom.llm.linear_text import folds, logistic_fit, sigmoid
 from fieldloom.llm.memory import release, tidy
+from fieldloom.llm.samples import labelled_sample
 from fieldloom.llm.shingles import word_hashes
 
 BITS, ORDERS, ECHO = 18, 4, 6
-#: Labelled rows that the model is fitted on at most (those of least hashed doc_id) and the score from which a text counts as good.
-TRAIN_ROWS, THRESHOLD = 6000, 0.3
+#: Labelled rows that the model is fitted on at most (those of least hashed doc_id), bytes of their texts at most, and the score from which a text counts as good.
+TRAIN_ROWS, TRAIN_BYTES, THRESHOLD = 6000, 40 << 20, 0.3
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,17 +122,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(2)], ["doc_id", "features", "label"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> NaiveBayesSVM:
-    """Fit on the labelled documents outside the held-out fifth, at most ``rows`` of them.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, nbytes: int = TRAIN_BYTES) -> NaiveBayesSVM:
+    """Fit on labelled documents outside the held-out fifth, at most ``rows`` and ``nbytes`` of text.
 
-    Labels that are null and doc_ids that are null or repeated with other labels
-    are handled row by row: nulls are left out, repeats count each.  Among more
-    than ``rows``, those of least hashed doc_id are taken.
+    See :func:`fieldloom.llm.samples.labelled_sample` for nulls and repeats.
     """
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    data = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(_features, "doc_id long, features binary, label int").toPandas()
-    data = data.sort_values(["doc_id", "label", "features"])
+    sample = labelled_sample(docs, labels, label, rows, nbytes).select("doc_id", "text", "label")
+    data = sample.mapInArrow(_features, "doc_id long, features binary, label int").toPandas().sort_values(["doc_id", "label"])
     return fit([np.frombuffer(x, np.int32) for x in data["features"]], data["label"].to_numpy())
 
 

@@ -30,13 +30,15 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import held_out, table
 from fieldloom.llm.linear_text import folds, logistic_fit, sigmoid
+from fieldloom.llm.memory import release
 from fieldloom.llm.memo import Memo
+from fieldloom.llm.samples import known_labels, labelled_sample
 
 LEVEL, TOXIC_BYTES, ORDINARY_BYTES, ROUNDS = 12, 4096, 32768, 2
 #: How many times commoner among toxic texts a window must be to train their first dictionary.
 MARKED = 4
-#: Labelled rows of each label that the model is fitted on at most (those of least hashed doc_id) and the score from which a text counts as toxic.
-TRAIN_ROWS, THRESHOLD = 2500, 0.5
+#: Labelled rows of each label that the model is fitted on at most (those of least hashed doc_id), bytes of their texts at most, and the score from which a text counts as toxic.
+TRAIN_ROWS, TRAIN_BYTES, THRESHOLD = 2500, 24 << 20, 0.5
 #: Bytes saved from which a window counts, at each of several strengths.
 STRENGTHS = (1, 2, 3, 4, 5)
 _TAIL = bytes(np.random.Generator(np.random.PCG64(5)).integers(128, 250, 48, dtype=np.uint8))
@@ -134,28 +136,25 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> CompressionDistance:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> CompressionDistance:
-    """Fit on the labelled documents outside the held-out fifth, at most ``rows`` of each label.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, nbytes: int = TRAIN_BYTES) -> CompressionDistance:
+    """Fit on labelled documents outside the held-out fifth, at most ``rows`` and ``nbytes`` of each label.
 
-    Null labels and null doc_ids are left out, repeated rows count each.  Of
-    more than ``rows``, those of least hashed doc_id are taken; the curve is
-    weighted back to the labels' true shares.
+    The curve is weighted back to the labels' true shares.  See
+    :func:`fieldloom.llm.samples.labelled_sample` for nulls and repeats.
     """
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    totals = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = known.where("label = 1").orderBy(*order).limit(rows).unionByName(known.where("label = 0").orderBy(*order).limit(rows))
-    data = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toPandas()
-    data["text"] = data["text"].fillna("")
-    data = data.sort_values(["doc_id", "label", "text"])
+    totals = {r["label"]: r["n"] for r in known_labels(labels, "toxic").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    data = labelled_sample(docs, labels, "toxic", rows, nbytes, each=True).toPandas().sort_values(["doc_id", "label"])
     return fit(data["text"].tolist(), data["label"].to_numpy(), totals.get(1, 0) / max(1, sum(totals.values())))
 
 
 def _scores(shared):
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
-        for part in texts:
-            yield pd.Series([model.score(t) for t in part], dtype="float64")
+        try:
+            for part in texts:
+                yield pd.Series([model.score(t) for t in part], dtype="float64")
+        finally:
+            release()
 
     return F.pandas_udf(score, "double")
 

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, fresh_path, table
+from fieldloom.llm.memory import tidy
 
 VERSION = b"WARC/1.1"
 #: Bytes of a file that one task scans for record beginnings, and from which a task begins another file.
@@ -81,6 +82,7 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
 
 
 def _write(path: str):
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pa.fs.FileSystem.from_uri(path)
         files.create_dir(root, recursive=True)
@@ -183,6 +185,7 @@ def reached(offsets: np.ndarray, follows: np.ndarray, entry: int) -> np.ndarray:
     return seen[:n]
 
 
+@tidy
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, size, begin, end in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -191,6 +194,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["file", "offset", "exit"])
 
 
+@tidy
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, size, begin, end, entry in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
@@ -230,8 +234,11 @@ def read_archives(files: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks = cut(blocks.select("file", "size", "begin", F.least(F.col("begin") + block, "size").alias("end")), "blocks")
     parts = max(1, blocks.count())
     candidates = cut(blocks.repartition(parts, "file", "begin").mapInArrow(_scan, "file string, offset long, exit long"), "chains")
-    jump = candidates.where("exit >= 0").select("file", F.col("offset").alias("at"), F.col("exit").alias("next"))
-    entries = cut(files.where("size > 0").select("file", F.lit(0).cast("long").alias("at")), "entries")
+    starts = files.where("size > 0").select("file", F.lit(0).cast("long").alias("at"))
+    landing = candidates.select("file", F.col("exit").alias("at")).union(starts).distinct()  # the offsets at which chains enter blocks
+    jump = candidates.where("exit >= 0").select("file", F.col("offset").alias("at"), F.col("exit").alias("next")).join(landing, ["file", "at"], "left_semi")
+    jump = cut(jump, "jumps")
+    entries = cut(starts, "entries")
     while True:  # entries so far, and where 1, 2, 4, ... jumps lead
         more = entries.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
         grown = cut(entries.union(more).distinct(), "entries")
