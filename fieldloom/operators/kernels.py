@@ -20,8 +20,13 @@ def product(a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
 
 
 def product_u32(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b mod 2**32."""
-    return ((a.astype(np.uint64) @ b.astype(np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    """a @ b mod 2**32, by 16-bit halves: their products are exact in doubles, and the one of both high halves vanishes."""
+    step = 1 << 20
+    if a.shape[1] > step:
+        return sum(product_u32(a[:, k : k + step], b[k : k + step]) for k in range(0, a.shape[1], step)) & 0xFFFFFFFF
+    al, ah, bl, bh = (x.astype(np.float64) for x in (a & 0xFFFF, a >> 16, b & 0xFFFF, b >> 16))
+    middle = (ah @ bl).astype(np.int64) + (al @ bh).astype(np.int64)
+    return ((al @ bl).astype(np.int64) + ((middle & 0xFFFF) << 16)) & 0xFFFFFFFF
 
 
 def factor(t: np.ndarray, p: int, first: int = 0) -> np.ndarray:
@@ -39,18 +44,28 @@ def factor(t: np.ndarray, p: int, first: int = 0) -> np.ndarray:
     return a
 
 
-def solve_row(d: np.ndarray, t: np.ndarray, p: int) -> np.ndarray:
+def solve_row(d: np.ndarray, t: np.ndarray, p: int, leaf: int = 32) -> np.ndarray:
     """A tile right of the factored diagonal tile ``d``, after d's row operations."""
+    n = len(d)
+    if n > leaf:
+        h = n // 2
+        top = solve_row(d[:h, :h], t[:h], p, leaf)
+        return np.vstack([top, solve_row(d[h:, h:], update(t[h:], d[h:, :h], top, p), p, leaf)])
     a = t % p
-    for k in range(len(d) - 1):
+    for k in range(n - 1):
         a[k + 1 :] = (a[k + 1 :] + np.outer(d[k + 1 :, k], a[k])) % p
     return a
 
 
-def solve_column(d: np.ndarray, t: np.ndarray, p: int, first: int = 0) -> np.ndarray:
-    """Negated multipliers that clear a tile below the factored diagonal tile ``d``."""
+def solve_column(d: np.ndarray, t: np.ndarray, p: int, first: int = 0, leaf: int = 32) -> np.ndarray:
+    """Negated multipliers that clear a tile below the factored diagonal tile ``d``; ``first``: the index of its first pivot."""
+    n = len(d)
+    if n > leaf:
+        h = n // 2
+        left = solve_column(d[:h, :h], t[:, :h], p, first, leaf)
+        return np.hstack([left, solve_column(d[h:, h:], update(t[:, h:], left, d[:h, h:], p), p, first + h, leaf)])
     a = t % p
-    for k in range(len(d)):
+    for k in range(n):
         if d[k, k] == 0:
             if a[:, k].any():
                 raise SingularMatrixError(first + k)
@@ -72,6 +87,6 @@ def factor_by_halves(t: np.ndarray, p: int, leaf: int = 32, first: int = 0) -> n
         return factor(a, p, first)
     h = n // 2
     d = factor_by_halves(a[:h, :h], p, leaf, first)
-    right, below = solve_row(d, a[:h, h:], p), solve_column(d, a[h:, :h], p, first)
+    right, below = solve_row(d, a[:h, h:], p, leaf), solve_column(d, a[h:, :h], p, first, leaf)
     rest = factor_by_halves(update(a[h:, h:], below, right, p), p, leaf, first + h)
     return np.block([[d, right], [below, rest]])

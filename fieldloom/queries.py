@@ -114,7 +114,7 @@ def neg_inverse_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lu_packed_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_tiles(matrices.deterministic(spark, 12, 12), 12, 12, tile=2)
+    return eliminate.eliminate(matrices.deterministic(spark, 12, 12), 12, 12)
 
 
 def lu_upper_12(spark: SparkSession, sf_dir: str) -> DataFrame:
