@@ -54,14 +54,8 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
-def train_dictionary(parts: list[bytes], size: int) -> bytes:
-    """A dictionary's bytes from windows, by how often they occur.
-
-    The segments are whole windows, the most frequent ones that fit, the most
-    frequent last, where matches cost least.  (The library's own trainer picks
-    segments across the borders of windows and here loses half of the words that
-    mark toxic texts.)
-    """
+def whole_windows(parts: list[bytes], size: int) -> bytes:
+    """The most frequent windows that fit ``size``, the most frequent last, where matches cost least."""
     chosen, used = [], 0
     for window, _ in sorted(Counter(parts).items(), key=lambda x: (-x[1], x[0])):
         used += len(window)
@@ -71,6 +65,14 @@ def train_dictionary(parts: list[bytes], size: int) -> bytes:
     return b"".join(chosen[::-1])
 
 
+def train_dictionary(parts: list[bytes], size: int) -> bytes:
+    """A dictionary that the library trains on windows; whole windows where they are too few for it."""
+    try:
+        return zstandard.train_dictionary(size, [b"".join(parts[i : i + 24]) for i in range(0, len(parts), 24)], level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return whole_windows(parts, size)
+
+
 @dataclass
 class CompressionDistance:
     toxic: bytes
@@ -116,13 +118,17 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> CompressionDistance:
     odds = MARKED * max(1, int(((y == 1) & (part > 0)).sum())) / max(1, int(((y == 0) & (part > 0)).sum()))
     marked = {w: n for w, n in Counter(kinds[0]).items() if n > 1 and n >= odds * common[w]}
     toxic = [w for w, n in sorted(marked.items()) for _ in range(n)]
-    model = CompressionDistance(train_dictionary(toxic, TOXIC_BYTES), train_dictionary(kinds[1], ORDINARY_BYTES))
+
+    def of_toxic() -> bytes:  # the trainer cuts across windows, so those it may have cut stand behind its dictionary whole
+        return train_dictionary(toxic, TOXIC_BYTES) + whole_windows(toxic, TOXIC_BYTES)
+
+    model = CompressionDistance(of_toxic(), train_dictionary(kinds[1], ORDINARY_BYTES))
     for _ in range(ROUNDS):
         mistaken = [w for w in kinds[1] if model.saved(w) >= 2]
         if mistaken:
-            model = CompressionDistance(model.toxic, train_dictionary(mistaken, ORDINARY_BYTES // 2) + model.ordinary)
+            model = CompressionDistance(model.toxic, whole_windows(mistaken, ORDINARY_BYTES // 2) + model.ordinary)
         toxic = [w for w in toxic if model.saved(w) >= 2] or toxic
-        model = CompressionDistance(train_dictionary(toxic, TOXIC_BYTES), model.ordinary)
+        model = CompressionDistance(of_toxic(), model.ordinary)
     held = np.flatnonzero(part == 0)
     if len(set(y[held].tolist())) < 2:
         held = np.arange(len(texts))
