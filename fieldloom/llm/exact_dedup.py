@@ -90,8 +90,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has no equal with a larger doc_id; of rows tied on doc_id one stays."""
-    kept = exact_groups(docs).where("kept").groupBy("doc_id", F.col("text_sha256").alias("__sha")).agg(F.count(F.lit(1)).alias("__rows"))
-    kept = cut(kept, "kept")
+    kept = cut(exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__sha")), "kept")
+    kept = cut(kept.groupBy("doc_id", "__sha").agg(F.count(F.lit(1)).alias("__rows")), "counted")
     rows = docs.withColumn("__sha", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)).join(kept, ["doc_id", "__sha"])
     if not kept.where("__rows > 1").isEmpty():
         rows = rows.where("__rows = 1").unionByName(rows.where("__rows > 1").dropDuplicates(["doc_id", "__sha"]))
