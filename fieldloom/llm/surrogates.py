@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from fieldloom.llm.common import cut, table
 
 KEY = "change-me"  # a deployment passes its own secret
+#: Draws for one entity before its format is given up as too narrow; giving up is an error, not a shared surrogate.
+ATTEMPTS = 64
 
 #: Titles and given names by gender and script (fixed lists).
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|Госпожа"
@@ -144,7 +146,7 @@ def _settled(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate) with no surrogate given twice within a kind or, but for names, equal to an entity of it."""
     done = None
     state = cut(_drawn(entities.withColumn("attempt", F.lit(0)), key), "candidates")
-    while True:
+    for _ in range(ATTEMPTS):
         every = state if done is None else done.unionByName(state)
         owners = every.groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("attempt"), F.col("entity"))).alias("owner"))
         real = entities.where("kind not like 'given%' and kind not like 'surname%'").select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -156,6 +158,7 @@ def _settled(entities: DataFrame, key: str) -> DataFrame:
         if again.isEmpty():
             return done.select("kind", "entity", "surrogate")
         state = cut(_drawn(again.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), key), "candidates")
+    raise ValueError("some entities have a format with too few values for as many distinct surrogates")
 
 
 def _poured(mention: str, chars: str, which: str) -> str:
