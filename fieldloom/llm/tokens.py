@@ -31,7 +31,7 @@ _WHOLE = (
     r"|[^\x{00}-\x{24f}\x{370}-\x{52f}\x{5d0}-\x{5ea}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
 )
 #: Bytes of text that one split covers at least, unless fewer are left.
-_SPLIT = 1 << 23
+_SPLIT = 1 << 24
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else the next from U+0100."""
