@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Entries in one of a cache's two generations, and the longest key it keeps; they bound a worker's memory, not the result.
-GENERATION, LONGEST = 400_000, 64
+GENERATION, LONGEST = 300_000, 64
 
 
 class Memo:

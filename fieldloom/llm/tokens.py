@@ -31,7 +31,7 @@ _WHOLE = (
     r"|[^\x{00}-\x{24f}\x{370}-\x{52f}\x{5d0}-\x{5ea}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
 )
 #: Bytes of text that one split covers at least, unless fewer are left.
-_SPLIT = 1 << 24
+_SPLIT = 1 << 23
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else the next from U+0100."""
@@ -69,13 +69,12 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of every row of a string column, in order."""
-        texts = texts.fill_null("").cast(pa.large_string())
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy())
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())
         row = 0
         while row < len(texts):
             before = sizes[row - 1] if row else 0
             end = min(len(texts), max(row + 1, int(np.searchsorted(sizes, before + _SPLIT, side="right"))))
-            yield from self._split(texts.slice(row, end - row))
+            yield from self._split(texts.slice(row, end - row).fill_null("").cast(pa.large_string()))
             row = end
 
     def _split(self, texts: pa.Array) -> Iterator[bytes]:
@@ -85,6 +84,7 @@ class Encoder:
         coded = flat.dictionary_encode()
         get = self.pieces.get
         ids = pa.array([get(" " + w) for w in coded.dictionary.to_pylist()], pa.large_binary()).take(coded.indices)
+        del coded
         begins = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
         data = memoryview(ids.buffers()[2]) if len(ids) and ids.buffers()[2] else memoryview(b"")
         plain = 0
