@@ -125,9 +125,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, nbytes: int = TRAIN_BYTES) -> NaiveBayesSVM:
     """Fit on labelled documents outside the held-out fifth, at most ``rows`` and ``nbytes`` of text.
 
+    However long, a text has at most 2**BITS indicators and counts as no more bytes.
     See :func:`fieldloom.llm.samples.labelled_sample` for nulls and repeats.
     """
-    sample = labelled_sample(docs, labels, label, rows, nbytes).select("doc_id", "text", "label")
+    sample = labelled_sample(docs, labels, label, rows, nbytes, most=1 << BITS).select("doc_id", "text", "label")
     data = sample.mapInArrow(_features, "doc_id long, features binary, label int").toPandas().sort_values(["doc_id", "label"])
     model = fit([np.frombuffer(x, np.int32) for x in data["features"]], data["label"].to_numpy())
     del data

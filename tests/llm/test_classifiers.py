@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fieldloom.llm import linear_text, quality, toxicity
 from fieldloom.llm.common import held_out
+from fieldloom.llm.samples import labelled_sample
 from tests.llm.conftest import ODD
 
 INSULTS = ["blockhead", "nitwit", "dunce", "twerp"]
@@ -101,3 +103,33 @@ def test_logistic_fit_matches_its_gradient():
 def test_windows_cover_whole_texts():
     assert toxicity.windows("Ab, c! " + "z" * 150) == [b" ab ", b" c ", b" " + b"z" * 60 + b" ", b" " + b"z" * 60 + b" ", b" " + b"z" * 30 + b" "]
     assert toxicity.windows(None) == toxicity.windows("12 !!") == []
+
+
+def test_a_text_beyond_the_bound_costs_no_other(spark, make):
+    ids = [r["doc_id"] for r in spark.range(60).selectExpr("id as doc_id").where("crc32(cast(id as string)) % 5 <> 0").orderBy(F.xxhash64("doc_id")).collect()]
+    docs = make([(i, "x" * (5000 if k in (0, 7) else 600 if k == 9 else 10)) for k, i in enumerate(ids)])
+    labels = spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"] for r in labelled_sample(docs, labels, "quality", 20, 1000).collect()}
+    assert got == {i for k, i in enumerate(ids[:22]) if k not in (0, 7)}
+    by_label = labelled_sample(docs, labels, "toxic", 5, 1000, each=True).collect()
+    assert {r["doc_id"] for r in by_label} == {ids[k] for k in (2, 4, 6, 8, 10, 1, 3, 5, 9, 11)}
+    assert {r["doc_id"] for r in labelled_sample(docs, labels, "quality", 20, 1000, most=100).collect()} == set(ids[:20])
+
+
+@pytest.mark.parametrize(("module", "kind"), [(quality, "quality"), (toxicity, "toxic")])
+def test_a_long_text_first_does_not_empty_the_model(spark, make, module, kind):
+    docs, labels = frames(spark, make, kind)
+    first = docs.where(~held_out(docs["doc_id"])).selectExpr("doc_id").orderBy(F.xxhash64("doc_id")).first()[0]
+    docs = docs.selectExpr("doc_id", f"if(doc_id = {first}, repeat('lorem ', 100000), text) as text")
+    model = module.train(docs, labels, nbytes=400_000)
+    out = module.with_score(docs.where(held_out(docs["doc_id"])), model).join(labels, "doc_id").collect()
+    assert np.mean([int(r["score"] >= module.THRESHOLD) == r[kind] for r in out]) >= 0.95
+
+
+def test_a_label_of_long_texts_only_keeps_one(spark, make):
+    ids = [r["doc_id"] for r in spark.range(40).selectExpr("id as doc_id").where("crc32(cast(id as string)) % 5 <> 0").collect()]
+    docs = make([(i, "x" * (10 if k % 2 else 5000 + k)) for k, i in enumerate(ids)])
+    labels = spark.createDataFrame([(i, k % 2, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    with pytest.warns(UserWarning, match="toxic = 0"):
+        got = labelled_sample(docs, labels, "toxic", 50, 1000, each=True).collect()
+    assert [r["doc_id"] for r in got if r["label"] == 0] == [ids[0]] and len(got) == 1 + len(ids) // 2
