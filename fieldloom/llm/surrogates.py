@@ -9,8 +9,9 @@ so an entity reads the same wherever it is mentioned, in whatever format.
 
 Candidates are then checked against one another and against all entities of
 their kind: of equal ones, all but the first, and those that equal a real
-entity, are drawn again, until none are left.  So two entities never share a
-surrogate.  Texts are moved only where they mention something.
+entity, are drawn again, until none are left; names grow by a syllable where
+draws fail, and formats with too few values are dealt out exactly.  So two
+entities never share a surrogate.  Texts are moved only where they mention something.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, table
 
 KEY = "change-me"  # a deployment passes its own secret
-#: Draws for one entity before its format is given up as too narrow; giving up is an error, not a shared surrogate.
+#: Draws for one entity before its format counts as too narrow to draw from; its values are then dealt out exactly.
 ATTEMPTS = 64
+#: Draws after which a name gets a further syllable, and after which the kinds of ENUMERATED are dealt out exactly.
+LENGTHEN, CLOSED = 4, 8
+#: Kinds whose free values of a format can be listed.
+ENUMERATED = ("ip", "phone", "ssn")
 
 #: Titles and given names by gender and script (fixed lists).
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|Госпожа"
@@ -94,8 +100,9 @@ def _luhn(digits: str) -> str:
 
 
 def _syllables(script: str, n: int) -> str:
+    """SQL: ``n`` syllables, and one more for every LENGTHEN draws that were in vain."""
     names = SYLLABLES[script]
-    return "concat(" + ", ".join(f"element_at({_array(names)}, 1 + {_byte(str(i))} % {len(names)})" for i in range(n)) + ")"
+    return f"array_join(transform(sequence(0, {n - 1} + attempt div {LENGTHEN}), i -> element_at({_array(names)}, 1 + {_byte('i')} % {len(names)})), '')"
 
 
 def _classes(value: str) -> str:
@@ -107,6 +114,11 @@ def _classes(value: str) -> str:
     )
 
 
+#: SQL: the start of a private address; of a phone number, what stays of it.
+_PRIVATE = "regexp_extract(entity, '^(10\\\\.|127\\\\.|192\\\\.168\\\\.|172\\\\.(?:1[6-9]|2[0-9]|3[01])\\\\.|169\\\\.254\\\\.)', 1)"
+_PREFIX = "if(entity like '+%', if(entity like '+1%', '+1', substr(entity, 1, least(3, length(entity) - 4))), '')"
+
+
 def _candidate(key: str) -> F.Column:
     """The surrogate of (kind, entity) in the column ``draw``'s bytes, in canonical form."""
     hexes = f"array_join(transform(sequence(1, length(entity)), i -> case when substr(entity, i, 1) rlike '[0-9a-f]' then lower(hex({_byte('i - 1')} % 16)) else substr(entity, i, 1) end), '')"
@@ -115,11 +127,10 @@ def _candidate(key: str) -> F.Column:
     body = f"concat(substr(entity, 1, 1), {_digits('(length(entity) - 2)')})"
     check = "cast(pmod(-" + _luhn("concat(body, '0')") + ", 10) as string)"
     card = f"element_at(transform(array({body}), body -> concat(body, if({_luhn('entity')} % 10 = 0, {check}, cast({_byte('60')} % 10 as string)))), 1)"
-    private = "regexp_extract(entity, '^(10\\\\.|127\\\\.|192\\\\.168\\\\.|172\\\\.(?:1[6-9]|2[0-9]|3[01])\\\\.|169\\\\.254\\\\.)', 1)"
+    private = _PRIVATE
     octets = "concat_ws('.', " + ", ".join(f"cast({x} as string)" for x in (f"11 + {_byte('0')} % 89", _byte("1"), _byte("2"), f"1 + {_byte('3')} % 254")) + ")"
     ip = f"if({private} <> '', concat({private}, substring_index({octets}, '.', -(4 - (length({private}) - length(replace({private}, '.', '')))))), {octets})"
-    country = "if(entity like '+1%', '+1', substr(entity, 1, least(3, length(entity) - 4)))"
-    prefix = f"if(entity like '+%', {country}, '')"
+    prefix = _PREFIX
     phone = f"concat({prefix}, {_digits(f'(length(entity) - length({prefix}))')})"
     rest = "substr(entity, 5)"
     iban_body = f"array_join(transform(sequence(1, length({rest})), i -> case when substr({rest}, i, 1) rlike '[0-9]' then cast({_byte('i')} % 10 as string) else chr(65 + {_byte('i')} % 26) end), '')"
@@ -142,11 +153,55 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
     return entities.withColumn("draw", F.concat(F.sha2(seed.cast("binary"), 256), F.sha2(F.concat(seed, F.lit("+")).cast("binary"), 256))).withColumn("surrogate", _candidate(key)).drop("draw")
 
 
+def _shape() -> list[F.Column]:
+    """(fixed, width) of an entity's format: what its surrogates keep, and how many octets or digits are drawn (0: not listed)."""
+    like = "regexp_replace(regexp_replace(entity, '[0-9]', '0'), '\\\\p{L}', 'a')"
+    card = f"concat(substr(entity, 1, 1), length(entity), ' ', {_luhn('entity')} % 10 = 0)"
+    fixed = f"case kind when 'ip' then {_PRIVATE} when 'phone' then {_PREFIX} when 'ssn' then '' when 'card' then if(entity rlike '^[0-9]+$', {card}, {like}) when 'iban' then concat(substr(entity, 1, 2), {like}) else {like} end"
+    width = f"case kind when 'ip' then 4 - (length({_PRIVATE}) - length(replace({_PRIVATE}, '.', ''))) when 'phone' then length(entity) - length({_PREFIX}) when 'ssn' then 9 else 0 end"
+    return [F.expr(fixed).alias("fixed"), F.expr(width).cast("int").alias("width")]
+
+
+def _dealt(entities: DataFrame, formats: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """(kind, entity, surrogate) of all entities of some formats, dealt out in keyed order.
+
+    Each gets a value of its format that is no entity and that ``done`` gives to
+    no other format's entity; where those do not
+    suffice (or are not listed), the rest get one another's values, in a circle.
+    Drawing in vain so often means that the entities are a good part of the
+    format's values, so that listing these costs no more than the entities do.
+    """
+    by = ["kind", "fixed", "width"]
+    members = cut(entities.select("kind", "entity", *_shape()).join(formats, by), "narrow")
+    sizes = members.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).withColumn("values", F.expr(
+        "case when kind = 'ip' then element_at(array(0L, 256L * 254, 65536L * 254, 89L * 65536 * 254), width) when width > 0 then cast(pow(10, width) as bigint) else 0L end"
+    ))
+    sizes = cut(sizes, "narrow_sizes")
+    most = sizes.agg(F.max("values")).first()[0] or 0
+    octets = "concat_ws('.', 11 + id div (254 * 65536L), id div (254 * 256) % 256, id div 254 % 256, 1 + id % 254)"
+    value = f"concat(fixed, if(kind = 'ip', substring_index({octets}, '.', -width), lpad(cast(id as string), width, '0')))"
+    free = entities.sparkSession.range(most).join(F.broadcast(sizes), F.expr("id < values")).select(*by, "n", F.expr(value).alias("entity"))
+    free = free.where((F.col("fixed") == _shape()[0]) & (F.col("width") == _shape()[1])).withColumnRenamed("entity", "surrogate")
+    taken = done.join(members, ["kind", "entity"], "left_anti").select("kind", "surrogate").unionByName(members.select("kind", F.col("entity").alias("surrogate")))
+    free = free.join(taken, ["kind", "surrogate"], "left_anti")
+    keyed = lambda c: W.partitionBy(*by).orderBy(F.sha2(F.concat_ws("|", F.lit(key), "kind", c).cast("binary"), 256), c)
+    free = cut(free.withColumn("at", F.row_number().over(keyed("surrogate")) - 1).where("at < n").drop("n"), "free")
+    counts = sizes.join(free.groupBy(*by).agg(F.count(F.lit(1)).alias("free")), by, "left").withColumn("free", F.coalesce("free", F.lit(0)))
+    if not counts.where("n = 1 and free = 0").isEmpty():
+        raise ValueError("an entity has a format with no other value")
+    counts = counts.withColumn("own", F.expr("if(n - free = 1, n - 2, least(n, free))")).select(*by, "n", "own")  # a circle takes two
+    placed = cut(members.withColumn("place", F.row_number().over(keyed("entity")) - 1).join(F.broadcast(counts), by), "placed")
+    first = placed.where("place < own").withColumn("at", F.col("place")).join(free, [*by, "at"])
+    circle = placed.where("place >= own")
+    after = circle.withColumn("at", F.expr("own + (place - own + 1) % (n - own)")).join(circle.select(*by, F.col("place").alias("at"), F.col("entity").alias("surrogate")), [*by, "at"])
+    return first.select("kind", "entity", "surrogate").unionByName(after.select("kind", "entity", "surrogate"))
+
+
 def _settled(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, entity, surrogate) with no surrogate given twice within a kind or, but for names, equal to an entity of it."""
+    """(kind, entity, surrogate) with no surrogate given twice within a kind or, but for names and formats that are too full, equal to an entity of it."""
     done = None
     state = cut(_drawn(entities.withColumn("attempt", F.lit(0)), key), "candidates")
-    for _ in range(ATTEMPTS):
+    for drawn in range(1, ATTEMPTS + 1):
         every = state if done is None else done.unionByName(state)
         owners = every.groupBy("kind", "surrogate").agg(F.min(F.struct(F.col("attempt"), F.col("entity"))).alias("owner"))
         real = entities.where("kind not like 'given%' and kind not like 'surname%'").select("kind", F.col("entity").alias("surrogate"), F.lit(True).alias("real"))
@@ -157,8 +212,12 @@ def _settled(entities: DataFrame, key: str) -> DataFrame:
         again = judged.where("not good")
         if again.isEmpty():
             return done.select("kind", "entity", "surrogate")
+        if drawn >= CLOSED and again.where(~F.col("kind").isin(*ENUMERATED)).isEmpty():
+            break
         state = cut(_drawn(again.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")), key), "candidates")
-    raise ValueError("some entities have a format with too few values for as many distinct surrogates")
+    formats = cut(again.select("kind", *_shape()).distinct(), "formats")
+    dealt = cut(_dealt(entities, formats, done, key), "dealt")
+    return done.select("kind", "entity", "surrogate").join(dealt, ["kind", "entity"], "left_anti").unionByName(dealt)
 
 
 def _poured(mention: str, chars: str, which: str) -> str:

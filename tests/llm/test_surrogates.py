@@ -75,6 +75,40 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(rows) == len(set(found)) == 6 and not {"e0", "e1"} & set(found)
 
 
+def check_settled(rows, n):
+    assert len(rows) == n == len({(r["kind"], r["entity"]) for r in rows}) == len({(r["kind"], r["surrogate"]) for r in rows})
+    assert all(r["entity"] != r["surrogate"] for r in rows)
+
+
+def test_names_grow_when_the_short_ones_are_used_up(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYLLABLES", {"latin": ["ba", "bel"], "cyrillic": ["ба", "бел"]})
+    entities = [("surname", f"name{k}") for k in range(20)] + [("surname-f", f"имя{k}") for k in range(20)]
+    check_settled(surrogates._settled(spark.createDataFrame(entities, "kind string, entity string"), "k").collect(), 40)
+
+
+def test_full_formats_are_dealt_out(spark):
+    ips = [f"192.168.{k // 254}.{1 + k % 254}" for k in range(40_000)]
+    phones = [f"+1{k:03d}" for k in range(700)] + [f"+{k:04d}" for k in range(2000, 2900)]
+    entities = spark.createDataFrame([("ip", e) for e in [*ips, "10.0.0.1", "8.8.8.8"]] + [("phone", e) for e in phones], "kind string, entity string")
+    rows = surrogates._settled(entities, "k").collect()
+    check_settled(rows, 40_002 + 1600)
+    given = {r["entity"]: r["surrogate"] for r in rows}
+    assert all(given[e].startswith("192.168.") for e in ips) and given["10.0.0.1"].startswith("10.") and not given["8.8.8.8"].startswith("192.168.")
+    assert sum(given[e] not in given for e in ips) == 256 * 254 - 40_000
+    assert all(len(given[e]) == 5 and given[e].startswith(e[:1 + (e[1] == "1")]) for e in phones)
+
+
+def test_formats_that_cannot_be_listed_give_one_another_s_values(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(surrogates, "_candidate", lambda key: F.lit("4000000000000002"))
+    monkeypatch.setattr(surrogates, "ATTEMPTS", 2)
+    entities = spark.createDataFrame([("card", "4000000000000002"), ("card", "4000000000000010"), ("card", "4000000000000028")], "kind string, entity string")
+    rows = surrogates._settled(entities, "k").collect()
+    check_settled(rows, 3)
+    assert all(luhn(r["surrogate"]) for r in rows)
+
+
 def test_many_entities_stay_distinct(spark, make):
     rows = [(i, f"ip {i % 200}.{i % 7}.3.4 card {4000000000000000 + i} user{i}@x.org") for i in range(600)]
     out = surrogates.with_surrogates(make(rows)).collect()
