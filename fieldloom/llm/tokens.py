@@ -12,6 +12,7 @@ is not in the cache.
 from __future__ import annotations
 
 import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from fieldloom.llm.memo import Memo
 
 #: The published pattern of this kind of vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts encoded whole (RE2): white space on both sides of a space, or a character on whose class regular-expression libraries may differ.
+#: Texts encoded whole (RE2): white space on both sides of a space, or a character on whose class regular-expression libraries may differ.  So are texts with the string of an added token.
 _WHOLE = (
     r"[\t-\r \x{a0}] (?:[\t-\r \x{a0}]|\z)|[\x{1c}-\x{1f}\x{85}]"
     r"|[^\x{00}-\x{24f}\x{370}-\x{52f}\x{5d0}-\x{5ea}\x{3041}-\x{3096}\x{30a1}-\x{30fa}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}]"
@@ -45,15 +46,21 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes; null counts as the empty text."""
+    """Ids as little-endian unsigned 32-bit bytes; null counts as the empty text.
 
-    def __init__(self, path: str):
+    ``special_as_text``: strings of special tokens in a text are ordinary text.
+    Otherwise they give their tokens, as the library does with the file as it is.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = True):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
         self.letters = _byte_letters()
         spec = json.loads(self.tokenizer.to_str())
         cut = spec.get("pre_tokenizer") or {}
         self.by_cuts = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        self.odd = "|".join([_WHOLE, *map(re.escape, added)])
         self.findall, self.merge = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
         self.cuts, self.pieces = Memo(self._cut), Memo(self._piece)
 
@@ -78,7 +85,7 @@ class Encoder:
             row = end
 
     def _split(self, texts: pa.Array) -> Iterator[bytes]:
-        odd = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False) if self.by_cuts else np.ones(len(texts), dtype=bool)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.by_cuts else np.ones(len(texts), dtype=bool)
         parts = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         edges, flat = parts.offsets.to_numpy(), parts.flatten()
         coded = flat.dictionary_encode()
@@ -106,9 +113,9 @@ _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per process and vocabulary file."""
+    """One encoder per process and vocabulary file, for the ids of the library as loaded."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, special_as_text=False)
     return _encoders[path]
 
 

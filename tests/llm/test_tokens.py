@@ -151,3 +151,28 @@ def test_many_batches_and_a_wide_vocabulary(tmp_path):
 def test_empty_table(spark, make):
     shards = token_files.write_token_files(make([(1, "a")]).where("false"), fresh_path(spark, "tokens"))
     assert shards.count() == 0 and token_files.read_token_files(shards).count() == 0
+
+
+SPECIAL = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|> y", "<|endoftext", "<|endof text|>", " <|endoftext|>\n"]
+
+
+@pytest.fixture(scope="module")
+def as_loaded():
+    t = tokens.Tokenizer.from_file(tokens.default_vocabulary())
+    return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_special_tokens_are_those_of_the_library_as_loaded(as_loaded):
+    texts = SPECIAL + [t for _, t in ODD if t is None or len(t) < 60000] + odd_texts(2000, 8)
+    for text, ids in zip(texts, tokens.encoder(tokens.default_vocabulary()).encode(pa.array(texts, pa.string())), strict=True):
+        assert ids == as_loaded(text), text
+    assert np.frombuffer(as_loaded(SPECIAL[0]), "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_queries_give_special_tokens(spark, make, as_loaded):
+    docs, ids = make(list(enumerate(SPECIAL))), [as_loaded(t) for t in SPECIAL]
+    for r in packing.pack(docs).collect():
+        whole = ids[r["doc_id"]] + b"\0\0\0\0"
+        assert r["doc_tokens"] == len(whole) // 4 and r["ids_crc32"] == zlib.crc32(whole[4 * r["start"] : 4 * (r["start"] + r["length"])])
+    got = token_files.read_token_files(token_files.write_token_files(docs, fresh_path(spark, "tokens"), length=64)).orderBy("start").collect()
+    assert [(r["n_tokens"], r["ids_crc32"]) for r in got] == [(len(i) // 4 + 1, zlib.crc32(i + b"\2\0\0\0")) for i in ids]
