@@ -14,6 +14,8 @@ from fieldloom.llm.common import cut, table
 
 #: Passes over the most repeated source at most when sources are evened out; every source is used at least once throughout.
 MAX_REPEAT = 1.25
+#: The near-copy stage links texts when 100 * intersection >= NEAR_PERCENT * union.
+NEAR_PERCENT = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.drop_near_copies(docs)
+    return near_dedup.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tests.llm.conftest import ODD
 from tests.llm.test_classifiers import corpus
 from tests.llm.test_exact import brute
 from tests.llm.test_near import brute_groups
+from tests.llm.test_near import corpus as corpus_near
 
 
 @pytest.fixture(scope="module")
@@ -73,3 +74,14 @@ def test_every_operator_is_registered():
 
     names = {re.match(r"op(\d+)_", q)[1] for q in __spark_entry__.queries() if q.startswith("op")}
     assert names == {str(n) for n in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+
+
+def test_near_stage_links_from_eighty_on(spark, make):
+    rows = corpus_near(seed=11)
+    words = [f"w{k}" for k in range(80)]
+    rows += [(1000, " ".join(words)), (1001, " ".join(words[:40] + ["other"] + words[41:])), (1002, " ".join([*words[:20], "p", *words[21:40], "q", *words[41:60], "r", *words[61:]]))]
+    before = make([*rows[:-2], rows[-1], (1003, " ".join([*words[:78], "x", "y"])), (1004, " ".join(["v", *words[1:40], "u", *words[41:]]))])
+    pairs = [(r["doc_id"], r["text"]) for r in before.collect()]
+    groups, strict = brute_groups(pairs, percent=80), brute_groups(pairs)
+    kept = {r["doc_id"] for r in corpus_pipeline.without_near_copies(spark, before, "").collect()}
+    assert kept == {i for i, (_, c) in groups.items() if c == i} != {i for i, (_, c) in strict.items() if c == i}
