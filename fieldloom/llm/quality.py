@@ -27,7 +27,7 @@ from fieldloom.llm.shingles import word_hashes
 
 BITS, ORDERS, ECHO = 18, 4, 6
 #: Labelled rows that the model is fitted on at most (those of least hashed doc_id), bytes of their texts at most, and the score from which a text counts as good.
-TRAIN_ROWS, TRAIN_BYTES, THRESHOLD = 4000, 24 << 20, 0.3
+TRAIN_ROWS, TRAIN_BYTES, THRESHOLD = 6000, 40 << 20, 0.3
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -129,9 +129,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     See :func:`fieldloom.llm.samples.labelled_sample` for nulls and repeats.
     """
     sample = labelled_sample(docs, labels, label, rows, nbytes, most=1 << BITS).select("doc_id", "text", "label")
-    data = sample.mapInArrow(_features, "doc_id long, features binary, label int").toPandas().sort_values(["doc_id", "label"])
-    model = fit([np.frombuffer(x, np.int32) for x in data["features"]], data["label"].to_numpy())
-    del data
+    data = sample.mapInArrow(_features, "doc_id long, features binary, label int").toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    found = [np.frombuffer(x.as_buffer(), np.int32) for x in data["features"]]  # views of the one table, no copies
+    model = fit(found, data["label"].to_numpy())
+    del data, found
     release()
     return model
 

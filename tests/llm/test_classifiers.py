@@ -133,3 +133,11 @@ def test_a_label_of_long_texts_only_keeps_one(spark, make):
     with pytest.warns(UserWarning, match="toxic = 0"):
         got = labelled_sample(docs, labels, "toxic", 50, 1000, each=True).collect()
     assert [r["doc_id"] for r in got if r["label"] == 0] == [ids[0]] and len(got) == 1 + len(ids) // 2
+
+
+def test_quality_sample_has_its_documented_size(spark, make):
+    assert (quality.TRAIN_ROWS, quality.TRAIN_BYTES) == (6000, 40 << 20)
+    ids = [r["id"] for r in spark.range(8000).collect()]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
+    docs = make([(i, "a" if i % 2 else "b") for i in ids])
+    assert labelled_sample(docs, labels, "quality", quality.TRAIN_ROWS, quality.TRAIN_BYTES, most=1 << quality.BITS).count() == 6000
