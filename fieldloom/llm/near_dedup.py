@@ -175,7 +175,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     seen = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_features, _FEATURES), "features")
     whole = ["h1", "h2", "n"]
     classes = cut(seen.where("n > 0 and doc_id is not null").groupBy(*whole).agg(F.min("doc_id").alias("node")), "classes")
-    reps = cut(seen.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *whole], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").dropDuplicates(["node", "n"]), "representatives")
+    reps = cut(seen.join(classes.withColumnRenamed("node", "doc_id"), ["doc_id", *whole], "left_semi").select(F.col("doc_id").alias("node"), *whole, "bands").dropDuplicates(["node", *whole]), "representatives")
     keys = reps.select("node", "n", F.explode("bands").alias("key"))
     shared = cut(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "keys")
     members = cut(keys.join(shared, "key"), "members")
@@ -189,7 +189,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = cut(stars, "stars")
     candidates = cut(weights.select(F.col("node").alias("doc_id")), "candidates")
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(candidates, "doc_id", "left_semi")
-    sets = cut(chosen.mapInArrow(_sets, "node long, n long, shingles binary").where("n > 0").dropDuplicates(["node", "n"]), "sets")
+    sets = cut(chosen.mapInArrow(_sets, "node long, n long, shingles binary").where("n > 0").withColumn("set", F.xxhash64("shingles")).dropDuplicates(["node", "n", "set"]).drop("set"), "sets")
     links = cut(confirmed(stars, sets, percent), "links")
     groups = components(links)
     placed = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp"))

@@ -124,6 +124,15 @@ def test_empty_table(spark, make):
     assert near_dedup.drop_near_copies(make([(1, "a")]).where("false")).count() == 0
 
 
+def test_two_texts_of_one_document_keep_their_links(spark, make):
+    a, b = ([f"{c}{k}" for k in range(100)] for c in "ab")
+    near = lambda words: " ".join([*words[:-1], "end"])
+    for first, second in ((a, b), (b, a)):
+        rows = [(1, " ".join(first)), (1, " ".join(second)), (2, near(a)), (3, near(b))]
+        got = near_dedup.near_groups(make(rows).coalesce(1)).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (2, 1), (3, 1)}
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "cycles"])
 def test_components(spark, shape):
     n = 300
