@@ -3,8 +3,8 @@
 Entities are found by one regular expression, and every distinct entity of the
 whole table gets a keyed replacement of its own kind: a card number keeps its
 length and its checksum where it had a right one, an address stays private or
-public, a name keeps gender and script, and a mention keeps its punctuation,
-spacing and letter case.  The replacement hangs on the key and the entity alone,
+public, a secret keeps what tells its issuer, a name keeps gender and script,
+and a mention keeps its punctuation, spacing and letter case.  The replacement hangs on the key and the entity alone,
 so an entity reads the same wherever it is mentioned, in whatever format.
 
 Candidates are then checked against one another and against all entities of
@@ -33,8 +33,8 @@ LENGTHEN, CLOSED = 4, 8
 ENUMERATED = ("ip", "phone", "ssn")
 
 #: Titles and given names by gender and script (fixed lists).
-TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Signora|Госпожа"
-TITLES_M = "Mr|Herr|Monsieur|Señor|Signor|Господин"
+TITLES_F = "Mrs|Ms|Miss|Frau|Madame|madame|Mme|Señora|señora|Signora|signora|Госпожа|госпожа"
+TITLES_M = "Mr|Herr|Monsieur|monsieur|Señor|señor|Signor|signor|Господин|господин"
 TITLES_N = "Dr|Prof"
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Camille Carmen Charlotte Claire Claudia Elena Elizabeth Emily Emma Greta Hannah Helga Ingrid Isabel Jane Julia Karen Laura Lucia Margaret Maria Mary Monika Nicole Olivia Patricia Rosa Sarah Sofia Sophie Susan Ursula".split(),
@@ -50,19 +50,23 @@ SYLLABLES = {
 _NAME = r"\p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+){0,2}"
 _SEP = r"[ .\-!*#$%&|]{0,6}"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+#: What a secret's surrogate keeps: the letters that its issuer puts first.
+_ISSUER = "AKIA|(?:sk|ghp|xoxb|xoxp)[-_]"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,6}\.\p{L}{2,24}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z_-]{0,31}\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,120})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,120})(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
-    "card": r"(?<!\w)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\w)",
-    "phone": rf"(?<![\w+])(?:\+\d{{1,3}}{_SEP}\(?\d{{1,4}}\)?(?:{_SEP}\d{{2,4}}){{1,4}}|\(\d{{3}}\){_SEP}\d{{3}}-\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}})(?!\w)",
+    "ipv6": rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|[0-9A-Fa-f]{{3,4}}(?::{_GROUP}){{0,5}}::{_GROUP}(?::{_GROUP}){{0,5}})(?![\w:])",
+    "card": r"(?<!\w)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
+    "phone": rf"(?<![\w+])(?:\+(?=(?:[ .\-!*#$%&|()]{{0,8}}\d){{8}})\d{{1,3}}{_SEP}\(?\d{{1,4}}\)?(?:{_SEP}\d{{2,4}}){{1,4}}|\(\d{{3}}\){_SEP}\d{{3}}-\d{{4}}|(?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}})(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "person": rf"(?=[A-ZА-ЯЁ])(?<!\p{{L}})(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? {_NAME}|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)(?!\p{{L}})",
+    "person": rf"(?=[A-ZА-ЯЁmsг])(?<!\p{{L}})(?:(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? {_NAME}|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) \p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Every kind but persons needs one of these characters, so texts without them are searched for persons alone.
-HINT = "[0-9@]"
+#: Every kind but these needs one of HINT's characters, so texts without them are searched for these alone.
+HINT, UNHINTED = "[0-9@]", ("secret", "person")
 
 
 def _text(value: str) -> str:
@@ -74,7 +78,7 @@ def _array(values) -> str:
 
 
 def _kind_of(mention: str) -> str:
-    """SQL that names a mention's kind: the first pattern that matches the whole of it."""
+    """SQL that names a mention's kind: the first pattern that matches the whole of it; null where what follows it in its text made it one."""
     return "case " + " ".join(f"when {mention} rlike {_text(f'^(?:{_alone(p)})$')} then '{k}'" for k, p in PATTERNS.items()) + " end"
 
 
@@ -106,23 +110,32 @@ def _syllables(script: str, n: int) -> str:
 
 
 def _classes(value: str) -> str:
-    """SQL: ``value`` with each letter and digit drawn anew within its class."""
+    """SQL: ``value`` with each letter and digit drawn anew within its class: digits, A-Z, other letters."""
     c, b = f"substr({value}, i, 1)", _byte("i - 1")
     return (
         f"array_join(transform(sequence(1, length({value})), i -> case when {c} rlike '[0-9]' then cast({b} % 10 as string)"
-        f" when {c} rlike '\\\\p{{L}}' then chr(97 + {b} % 26) else {c} end), '')"
+        f" when {c} rlike '[A-Z]' then chr(65 + {b} % 26) when {c} rlike '\\\\p{{L}}' then chr(97 + {b} % 26) else {c} end), '')"
     )
 
 
-#: SQL: the start of a private address; of a phone number, what stays of it.
+def _hexes(value: str) -> str:
+    """SQL: ``value`` with each of 0-9 and a-f drawn anew."""
+    c = f"substr({value}, i, 1)"
+    return f"array_join(transform(sequence(1, length({value})), i -> if({c} rlike '[0-9a-f]', lower(hex({_byte('i - 1')} % 16)), {c})), '')"
+
+
+#: SQL: the start of a private address; of a secret and of a phone number, what stays of it.
 _PRIVATE = "regexp_extract(entity, '^(10\\\\.|127\\\\.|192\\\\.168\\\\.|172\\\\.(?:1[6-9]|2[0-9]|3[01])\\\\.|169\\\\.254\\\\.)', 1)"
+_KEPT = f"regexp_extract(entity, '^({_ISSUER})', 1)"
+_HEX = "entity rlike '^[0-9a-f]+$'"
 _PREFIX = "if(entity like '+%', if(entity like '+1%', '+1', substr(entity, 1, least(3, length(entity) - 4))), '')"
 
 
 def _candidate(key: str) -> F.Column:
     """The surrogate of (kind, entity) in the column ``draw``'s bytes, in canonical form."""
-    hexes = f"array_join(transform(sequence(1, length(entity)), i -> case when substr(entity, i, 1) rlike '[0-9a-f]' then lower(hex({_byte('i - 1')} % 16)) else substr(entity, i, 1) end), '')"
-    secret = f"if(entity rlike '^[0-9a-f]+$', {hexes}, {_classes('entity')})"
+    rest = f"substr(entity, length({_KEPT}) + 1)"
+    secret = f"if({_HEX}, {_hexes('entity')}, concat({_KEPT}, {_classes(rest)}))"
+    ipv6 = f"concat(substring_index(entity, ':', 1), {_hexes("substr(entity, locate(':', entity))")})"
     host = "concat('h', substr(draw, 100, 10), '.example.net')"
     body = f"concat(substr(entity, 1, 1), {_digits('(length(entity) - 2)')})"
     check = "cast(pmod(-" + _luhn("concat(body, '0')") + ", 10) as string)"
@@ -144,7 +157,7 @@ def _candidate(key: str) -> F.Column:
         ]
         + [f"when entity rlike '[а-яё]' then concat({_syllables('cyrillic', 3)}, if(kind = 'surname-f', 'ова', if(kind = 'surname-m', 'ов', '')))", f"else {_syllables('latin', 3)} end"]
     )
-    kinds = {"email": f"concat({_classes('substring_index(entity, chr(64), 1)')}, '@', {host})", "iban": iban, "secret": secret, "ip": ip, "card": card, "phone": phone, "ssn": _digits("9")}
+    kinds = {"email": f"concat({_classes('substring_index(entity, chr(64), 1)')}, '@', {host})", "iban": iban, "secret": secret, "ip": ip, "ipv6": ipv6, "card": card, "phone": phone, "ssn": _digits("9")}
     return F.expr("case kind " + " ".join(f"when '{k}' then {x}" for k, x in kinds.items()) + f" else {name} end")
 
 
@@ -155,9 +168,11 @@ def _drawn(entities: DataFrame, key: str) -> DataFrame:
 
 def _shape() -> list[F.Column]:
     """(fixed, width) of an entity's format: what its surrogates keep, and how many octets or digits are drawn (0: not listed)."""
-    like = "regexp_replace(regexp_replace(entity, '[0-9]', '0'), '\\\\p{L}', 'a')"
+    like = "regexp_replace(regexp_replace(regexp_replace(entity, '[0-9]', '0'), '[A-Z]', 'A'), '[^\\\\P{L}A]', 'a')"
+    ipv6 = "concat(substring_index(entity, ':', 1), regexp_replace(substr(entity, locate(':', entity)), '[0-9a-f]', '0'))"
     card = f"concat(substr(entity, 1, 1), length(entity), ' ', {_luhn('entity')} % 10 = 0)"
-    fixed = f"case kind when 'ip' then {_PRIVATE} when 'phone' then {_PREFIX} when 'ssn' then '' when 'card' then if(entity rlike '^[0-9]+$', {card}, {like}) when 'iban' then concat(substr(entity, 1, 2), {like}) else {like} end"
+    fixed = f"case kind when 'ip' then {_PRIVATE} when 'phone' then {_PREFIX} when 'ssn' then '' when 'card' then if(entity rlike '^[0-9]+$', {card}, {like}) when 'iban' then concat(substr(entity, 1, 2), {like}) when 'ipv6' then {ipv6}"
+    fixed += f" when 'secret' then if({_HEX}, concat('hex ', length(entity)), concat({_KEPT}, {like})) else {like} end"
     width = f"case kind when 'ip' then 4 - (length({_PRIVATE}) - length(replace({_PRIVATE}, '.', ''))) when 'phone' then length(entity) - length({_PREFIX}) when 'ssn' then 9 else 0 end"
     return [F.expr(fixed).alias("fixed"), F.expr(width).cast("int").alias("width")]
 
@@ -229,8 +244,9 @@ def _poured(mention: str, chars: str, which: str) -> str:
 
 
 def _by_hint(sql: str) -> F.Column:
-    """``sql`` with {pattern}: the whole pattern where the text has a hint, else the one for persons."""
-    return F.expr(f"if(text rlike '{HINT}', {sql.format(pattern=_text(PATTERN))}, {sql.format(pattern=_text(PATTERNS['person']))})")
+    """``sql`` with {pattern}: the whole pattern where the text has a hint, else that of the kinds that need none."""
+    few = "|".join(f"(?:{PATTERNS[k]})" for k in UNHINTED)
+    return F.expr(f"if(text rlike '{HINT}', {sql.format(pattern=_text(PATTERN))}, {sql.format(pattern=_text(few))})")
 
 
 def mentions() -> F.Column:
@@ -243,7 +259,7 @@ def surrogate_table(mentions: DataFrame, key: str) -> DataFrame:
     title = rf"^(?:{TITLES_F}|{TITLES_M}|{TITLES_N})\.? "
     said = mentions.select("mention", F.expr(_kind_of("mention")).alias("kind"))
     plain = said.where("kind <> 'person'").withColumn("entity", F.expr(
-        "case kind when 'email' then lower(mention) when 'secret' then lower(mention) when 'iban' then upper(replace(mention, ' ', '')) when 'ip' then mention"
+        "case kind when 'email' then lower(mention) when 'ipv6' then lower(mention) when 'secret' then if(mention rlike '^[0-9A-Fa-f]+$', lower(mention), mention) when 'iban' then upper(replace(mention, ' ', '')) when 'ip' then mention"
         " when 'phone' then regexp_replace(mention, '[^0-9+]', '') else regexp_replace(mention, '[^0-9]', '') end"
     ))
     f_names, m_names = (_array(x for (g, _), names in GIVEN.items() if g == want for x in names) for want in "fm")
@@ -257,11 +273,12 @@ def surrogate_table(mentions: DataFrame, key: str) -> DataFrame:
     plain, tokens = cut(plain, "mentions"), cut(tokens, "names")
     entities = cut(plain.select("kind", "entity").union(tokens.select("kind", "entity")).distinct(), "entities")
     settled = cut(_settled(entities, key), "settled")
-    classes = {"email": None, "secret": "0-9A-Za-z", "iban": "0-9A-Z", "ip": None, "card": "0-9", "ssn": "0-9", "phone": "0-9+"}
+    classes = {"email": None, "secret": None, "iban": "0-9A-Z", "ip": None, "ipv6": None, "card": "0-9", "ssn": "0-9", "phone": "0-9+"}
     made = " ".join(f"when '{k}' then {_poured('mention', 'surrogate', which) if which else 'surrogate'}" for k, which in classes.items())
     shaped = F.expr("case kind " + made + " end")
-    loud = F.col("kind").isin("email", "secret") & (F.col("mention") == F.upper("mention"))
-    upper = F.when(loud, F.upper("surrogate")).when((F.col("kind") == "secret") & (F.col("mention") == F.lower("mention")), F.col("surrogate")).otherwise(shaped)
+    letters = F.col("kind").isin("email", "ipv6") | F.col("mention").rlike("^[0-9A-F]+$") & (F.col("kind") == "secret")  # their case is the mention's, not the entity's
+    loud = letters & (F.col("mention") == F.upper("mention")) & (F.col("mention") != F.lower("mention"))
+    upper = F.when(loud, F.upper("surrogate")).otherwise(shaped)
     one = plain.join(settled, ["kind", "entity"]).select("mention", upper.alias("replacement"), "kind")
     two = tokens.join(settled, ["kind", "entity"]).groupBy("mention", "title").agg(F.array_sort(F.collect_list(F.struct("place", F.initcap("surrogate").alias("word")))).alias("words"))
     return one.unionByName(two.select("mention", F.concat("title", F.array_join("words.word", " ")).alias("replacement"), F.lit("person").alias("kind")))
@@ -270,19 +287,27 @@ def surrogate_table(mentions: DataFrame, key: str) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns of ``docs`` with personal data in ``text`` replaced, and ``n_entities``: mentions replaced (in place of such a column).
 
-    Null texts stay null, texts without mentions stay as they are.  Repeated
-    rows read alike, whatever their doc_id.
+    Null texts stay null, texts without mentions stay as they are, an empty table
+    stays empty.  Repeated rows read alike, whatever their doc_id.  Other columns
+    are carried along whatever their names.
+
+    Not found: names without a title or a listed given name, surnames alone,
+    postal addresses, dates of birth, signed numbers of fewer than eight digits,
+    secrets of other issuers shorter than 32 hexadecimal digits.
     """
     holds = F.coalesce(_by_hint("text rlike {pattern}"), F.lit(False))
-    keyed = docs.withColumn("__row", F.xxhash64("text")).withColumn("__length", F.length("text"))
-    said = cut(keyed.select("__row", "__length", F.explode(F.array_distinct(mentions())).alias("mention")).distinct(), "said")
+    keyed = docs.select("text", F.struct("*").alias("doc")).withColumn("row", F.xxhash64("text")).withColumn("length", F.length("text"))
+    said = cut(keyed.select("row", "length", F.explode(F.array_distinct(mentions())).alias("mention")).distinct(), "said")
     given = cut(surrogate_table(said.select("mention").distinct(), key), "given")
-    maps = said.join(given, "mention").groupBy("__row", "__length").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("__given"))
-    replaced = keyed.where(holds).join(cut(maps, "maps"), ["__row", "__length"]).withColumn("__said", mentions()).withColumn("__gaps", _by_hint("split(text, {pattern}, -1)"))
-    parts = F.expr("zip_with(__gaps, __said, (gap, m) -> concat(gap, coalesce(__given[m], m, '')))")
-    replaced = replaced.withColumn("n_entities", F.size("__said").cast("long")).withColumn("text", F.array_join(parts, ""))
-    clean = docs.where(~holds).withColumn("n_entities", F.lit(0).cast("long"))
-    return clean.unionByName(replaced.select(*clean.columns))
+    maps = said.join(given, "mention").groupBy("row", "length").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("given"))
+    replaced = keyed.where(holds).join(cut(maps, "maps"), ["row", "length"], "left").withColumn("said", mentions()).withColumn("gaps", _by_hint("split(text, {pattern}, -1)"))
+    parts = F.expr("zip_with(gaps, said, (gap, m) -> concat(gap, coalesce(given[m], m, '')))")
+
+    def out(rows: DataFrame, text: F.Column, n) -> DataFrame:
+        return rows.select(*((text if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns if c != "n_entities"), n.cast("long").alias("n_entities"))
+
+    clean = out(keyed.where(~holds), F.col("text"), F.lit(0))
+    return clean.unionByName(out(replaced, F.array_join(parts, ""), F.expr("size(filter(said, m -> given[m] is not null))")))
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
