@@ -22,9 +22,9 @@ from fieldloom.llm.memory import tidy
 from fieldloom.llm.quotient_filter import CountingQuotientFilter
 
 #: Fingerprints that a task gathers before it emits a filter; bounds its memory.
-FLUSH = 1 << 20
+FLUSH = 1 << 22
 #: Fingerprints meant for one merging task, and the least power of two of such tasks.
-PER_SEGMENT, LEAST_BITS = 1 << 20, 8
+PER_SEGMENT, LEAST_BITS = 1 << 22, 8
 
 
 def _filters(bits: int):
@@ -65,9 +65,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical after lower-casing A-Z; null counts as the
     empty text, and empty texts equal one another.  The largest doc_id of a
-    group stays (``keep_id``); null doc_ids never win over others, and a group
-    of null doc_ids alone keeps none.  Rows that repeat the kept doc_id with
-    an equal text are all marked kept.  Other columns are ignored.
+    group stays (``keep_id``); null doc_ids never win over others.  Rows that
+    repeat the kept doc_id with an equal text are all marked kept, and so are
+    all rows of a group of null doc_ids alone, whose keep_id is null.  Other
+    columns are ignored.
     """
     slim = docs.select("doc_id", F.xxhash64(ascii_lower(F.col("text"))).alias("fp"), F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("text_sha256"))
     slim = cut(slim, "fingerprints")
@@ -83,19 +84,23 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("doc_id") == F.coalesce("keep_id", "doc_id"), F.lit(False)).alias("kept"),
+        (F.col("group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has no equal with a larger doc_id; of rows tied on doc_id one stays."""
-    kept = cut(exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("__sha")), "kept")
-    kept = cut(kept.groupBy("doc_id", "__sha").agg(F.count(F.lit(1)).alias("__rows")), "counted")
-    rows = docs.withColumn("__sha", F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)).join(kept, ["doc_id", "__sha"])
-    if not kept.where("__rows > 1").isEmpty():
-        rows = rows.where("__rows = 1").unionByName(rows.where("__rows > 1").dropDuplicates(["doc_id", "__sha"]))
-    return rows.select(*docs.columns)
+    """The rows of ``docs``, all columns, whose text has no equal with a larger doc_id; of rows tied on doc_id (null ones tie) one stays.
+
+    No text is lost: each group of equal texts keeps one row.
+    """
+    kept = cut(exact_groups(docs).where("kept").select("doc_id", "text_sha256"), "kept")
+    kept = cut(kept.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.count(F.lit(1)).alias("n")), "counted")
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("doc_id"), F.sha2(ascii_lower(F.col("text")).cast("binary"), 256).alias("text_sha"))
+    rows = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha") == F.col("sha")))
+    if not kept.where("n > 1").isEmpty():
+        rows = rows.where("n = 1").unionByName(rows.where("n > 1").dropDuplicates(["id", "sha"]))
+    return rows.select("doc.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +112,6 @@ ORACLES = {
     "op3_exact_dedup": f"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+       coalesce(doc_id = max(doc_id) OVER w, max(doc_id) OVER w IS NULL) AS kept, sha256(norm) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY norm)"""
 }

@@ -32,7 +32,7 @@ def brute(rows):
         same = [j for j, u in rows if lower(u) == lower(t)]
         ids = [j for j in same if j is not None]
         keep = max(ids) if ids else None
-        out.append((i, keep, len(same), i is not None and i == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
+        out.append((i, keep, len(same), i == keep, hashlib.sha256(lower(t).encode()).hexdigest()))
     return out
 
 
@@ -59,5 +59,12 @@ def test_dropping_copies(spark, make):
     rows = [(1, "x"), (2, "X"), (3, "y"), (3, "y"), (4, None), (5, "")]
     kept = exact_dedup.drop_exact_copies(make(rows, "kept"))
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 5] and "kept" in kept.columns
+    assert exact_dedup.drop_exact_copies(make(rows, "sha id n doc rows __sha")).columns[-1] == "__sha"
     assert exact_dedup.drop_exact_copies(make(rows).where("false")).count() == 0
     assert exact_dedup.exact_groups(make(rows).where("false")).count() == 0
+
+
+def test_texts_of_null_ids_stay(spark, make):
+    rows = [(1, "a"), (None, "only here"), (None, "A"), (None, "twice"), (None, "TWICE"), (None, "x"), (4, "X")]
+    kept = exact_dedup.drop_exact_copies(make(rows)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"].lower()) for r in kept) == [(0, "only here"), (0, "twice"), (1, "a"), (4, "x")]
