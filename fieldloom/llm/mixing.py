@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, table
 
-#: Documents meant for one block, exponents evaluated in a pass, and passes; together they fix the exponent to about 1e-7.
+#: Documents meant for one block at least (the root of the source's documents where that is more, so that neither blocks nor their documents are too many to sort), exponents evaluated in a pass, and passes; these fix the exponent to about 1e-7.
 PER_BLOCK, PROBES, PASSES = 4096, 16, 6
 #: Production parameters: entropy of the weights as a share of the greatest possible, and passes over a source at most.
 ENTROPY_SHARE, MAX_REPEAT = 0.99, 4.0
@@ -47,11 +47,14 @@ def _measured(sources: DataFrame, exponents: list[float], whole: bool) -> list[t
 def exponent(sources: DataFrame, entropy: float | None, max_repeat: float | None, budget_share: float, whole: bool) -> float:
     """The greatest exponent in [0, 1] whose weights reach ``entropy``, raised where needed to keep to ``max_repeat``."""
 
-    def section(holds) -> float:
-        """The greatest exponent at which ``holds``, a condition that once lost stays lost as exponents grow; 0 if none."""
+    def section(holds) -> tuple[float, float]:
+        """Around the place where ``holds`` is lost for good as exponents grow: where it still holds and where it no longer does."""
         low, high = 0.0, 1.0
-        if holds(*_measured(sources, [1.0], whole)[0]):
-            return 1.0
+        at_most, at_least = _measured(sources, [0.0, 1.0], whole)
+        if holds(*at_least):
+            return 1.0, 1.0
+        if not holds(*at_most):
+            return 0.0, 0.0
         for _ in range(PASSES):
             at = [low + (high - low) * (k + 1) / (PROBES + 1) for k in range(PROBES)]
             for a, found in zip(at, _measured(sources, at, whole), strict=True):
@@ -60,11 +63,12 @@ def exponent(sources: DataFrame, entropy: float | None, max_repeat: float | None
                 else:
                     high = a
                     break
-        return round(low, 6)
+        return low, high
 
-    found = section(lambda h, _: h >= entropy) if entropy is not None else 0.0
-    if max_repeat is not None:
-        found = max(found, section(lambda _, r: r * (1.0 if whole else budget_share) > max_repeat + 1e-9))
+    found = math.floor(section(lambda h, _: h >= entropy)[0] * 1e6) / 1e6 if entropy is not None else 0.0
+    if max_repeat is not None:  # the side that keeps to the limit
+        kept = section(lambda _, r: r * (1.0 if whole else budget_share) > max_repeat)[1]
+        found = max(found, min(1.0, math.ceil(kept * 1e6) / 1e6))
     return found
 
 
@@ -75,8 +79,10 @@ def plan(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repea
     ``budget`` defaults to the tokens there are; with ``whole`` it is instead the
     least that uses every source at least once throughout.  A null source is the
     empty source; documents without tokens (null and empty texts too) cost
-    nothing and come along with their block; other columns are ignored; an empty table gives no rows.  Rows that agree in doc_id and
-    text stand or fall together.
+    nothing and come along with their block; other columns are ignored; an empty
+    table gives no rows.  Rows that agree in doc_id and text stand or fall
+    together.  No source is used more than ``max_repeat`` times, also where the
+    budget then cannot be met.
     """
     tokens = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     named = F.coalesce(F.col("source").cast("string"), F.lit(""))
@@ -94,13 +100,15 @@ def plan(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repea
         weight = F.when(F.col("share") > 0, F.pow("share", F.lit(a)) / F.lit(sums["z"])).otherwise(0.0)
         wanted = F.floor(weight * F.lit(float(size)) + F.lit(1e-6))
         wanted = F.greatest(wanted, F.col("tokens")) if whole else wanted
+        if max_repeat is not None:  # exact where rounding is not
+            wanted = F.least(wanted, F.floor(F.col("tokens") * F.lit(float(max_repeat))))
     else:
         weight, wanted = F.lit(0.0), F.lit(0).cast("long")
     budgets = sources.withColumn("weight", weight).withColumn("wanted", wanted).select(
         "__source", "weight",
         F.when(F.col("tokens") > 0, F.floor(F.col("wanted") / F.greatest("tokens", F.lit(1)))).otherwise(1).cast("long").alias("passes"),
         F.when(F.col("tokens") > 0, F.col("wanted") % F.greatest("tokens", F.lit(1))).otherwise(0).cast("long").alias("rest"),
-        F.ceil(F.col("docs") / PER_BLOCK).cast("long").alias("blocks"),
+        F.ceil(F.col("docs") / F.greatest(F.lit(float(PER_BLOCK)), F.sqrt("docs"))).cast("long").alias("blocks"),
     )
     budgets = cut(budgets, "budgets")
     placed = cut(rows.join(budgets, "__source").withColumn("mix_block", F.pmod("__order", "blocks")), "placed")
@@ -116,13 +124,12 @@ def plan(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repea
 
 
 def mixture(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`plan` says; columns as in ``docs``."""
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    used = plan(docs, **parameters)
-    used = cut(used.select(F.col("doc_id").alias("__id"), F.col("source").alias("__from"), F.col("text_hash").alias("__same"), F.col("copies").alias("__copies")).distinct(), "used")
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__from")) & (F.col("__text") == F.col("__same"))
-    rows = keyed.join(used, same).where("__copies > 0")
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), "__copies"))).select(*docs.columns)
+    """The rows of ``docs``, each as often as :func:`plan` says; columns as in ``docs``, whatever their names."""
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.xxhash64("text").alias("text"))
+    used = cut(plan(docs, **parameters).select("doc_id", "source", "text_hash", "copies").distinct(), "used")
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("origin").eqNullSafe(F.col("source")) & (F.col("text") == F.col("text_hash"))
+    rows = keyed.join(used, same).where("copies > 0")
+    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,3 +109,21 @@ def test_odd_rows(spark, make):
     for empty in (make(rows).where("false"), make([(1, None), (2, "")])):
         n = empty.count()
         assert mixing.plan(empty).count() == n and mixing.mixture(empty).count() == n
+
+
+def test_no_source_exceeds_its_limit(spark):
+    sources = spark.createDataFrame([("a", 0.9), ("b", 0.08), ("c", 0.02)], "s string, share double")
+    for limit in (1.5, 2.0, 4.0, 16.0):
+        a = mixing.exponent(sources, None, limit, 1.0, False)
+        p = {"a": 0.9, "b": 0.08, "c": 0.02}
+        most = max(weights(p, a)[s] / p[s] for s in p)
+        assert limit - 1e-3 < most <= limit
+        assert int(weights(p, a)["c"] * 1e12 + 1e-6) <= limit * 2e10
+    assert mixing.exponent(sources, None, 100.0, 1.0, False) == 0.0 and mixing.exponent(sources, None, 1.0, 1.0, False) == 1.0
+
+
+def test_limit_holds_where_the_budget_cannot_be_met(spark, make):
+    rows = corpus()
+    plan = mixing.plan(make(rows, "doc id origin __id"), budget=10**6, entropy_share=0.99, max_repeat=2.0).collect()
+    assert max(r["copies"] for r in plan) == 2
+    assert mixing.mixture(make(rows, "doc id origin __id"), max_repeat=1.0, whole=True, entropy_share=None).columns[-1] == "__id"
