@@ -10,14 +10,15 @@
     classes of the other buckets go through an exact prefix filter: two sets of
     Jaccard similarity t or more share one of their rarest shingles, the
     smaller set within its first n - ceil(2t/(1+t) n) + 1 and the larger within
-    n - ceil(t n) + 1.  Only pairs of different groups that also pass the bounds
-    on size and position are compared, on whole sets.  Rarity is read from a
-    count sketch of fixed size; any order keeps the filter exact.
+    n - ceil(t n) + 1.  The order that says which are rarest is exact: shingles
+    that one group alone holds come first, since they make no pair, then the
+    others by the number of sets that hold them.  Only pairs of different groups
+    that also pass the bounds on size and position are compared, on whole sets.
 5.  All confirmed links are grouped by union-find.
 
 Nothing is capped: big buckets are handled by their leader and the filter, and
 the joins on hot keys read written tables on both sides, so adaptive execution
-splits them.  What reaches the driver is the sketch (4 MiB).
+splits them.  Nothing that grows with the input reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +38,6 @@ from fieldloom.llm.superminhash import band_keys, signature
 
 #: Sets are linked when 100 * intersection >= PERCENT * union.
 PERCENT = 85
-#: Counters of the sketch of shingle frequencies, and how many travel as one row.
-SKETCH, SLICE = 1 << 20, 1 << 12
 
 _FEATURES = "doc_id long, n long, h1 long, h2 long, bands array<long>"
 
@@ -96,64 +94,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _bucket_of(shingles: np.ndarray) -> np.ndarray:
-    return (shingles & np.uint64(SKETCH - 1)).astype(np.int64)
-
-
 @tidy
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SKETCH, dtype=np.int64)
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of each set."""
     for batch in batches:
-        for x in batch.column(0):
-
-            np.add.at(counts, _bucket_of(np.frombuffer(x.as_buffer(), np.uint64)), 1)
-    rows = counts.reshape(-1, SLICE)
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "counts"])
-
-
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, np.int64) for x in pdf["counts"])
-    return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
-
-
-def frequency_sketch(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a shingle, by the shingle's trailing bits: SKETCH counters whatever the input."""
-    rows = sets.select("shingles").mapInArrow(_sketch, "part int, counts binary").groupBy("part").applyInPandas(_summed, "part int, counts binary").collect()
-    found = np.zeros((SKETCH // SLICE, SLICE), dtype=np.uint32)
-    for r in rows:
-        found[r["part"]] = np.frombuffer(r["counts"], np.uint32)
-    return found.ravel()
-
-
-def _prefixes(sketch, percent: int):
-    @tidy
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
-        for batch in batches:
-            nodes, groups = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            for node, group, x in zip(nodes, groups, batch.column(2), strict=True):
-                s = np.frombuffer(x.as_buffer(), np.uint64)
-                n = len(s)
-                probe = n - -(-percent * n // 100) + 1
-                index = n - -(-2 * percent * n // (100 + percent)) + 1
-                first = s[np.lexsort((s, counts[_bucket_of(s)]))[:probe]]
-                k = len(first)
-                out.append((first.view(np.int64), np.arange(k), np.full(k, node), np.full(k, n), np.full(k, group), np.arange(k) < index))
-            if out:
-                cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "place", "node", "n", "grp", "indexed"])
-
-    return emit
+        for at in range(0, len(batch), 64):
+            part = batch.slice(at, 64)
+            shingles = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(3)]
+            sizes = [len(s) for s in shingles]
+            columns = [np.concatenate(shingles), *(np.repeat(part.column(k).to_numpy(), sizes) for k in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "set", "n", "grp"])
 
 
 def prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different groups among ``open_sets`` (node, grp, shingles) that may reach ``percent``."""
-    spark = open_sets.sparkSession
-    sketch = spark.sparkContext.broadcast(frequency_sketch(open_sets))
-    rows = cut(open_sets.select("node", "grp", "shingles").mapInArrow(_prefixes(sketch, percent), "shingle long, place long, node long, n long, grp long, indexed boolean"), "prefixes")
-    mixed = cut(rows.groupBy("shingle").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.max("indexed").alias("any")).where("lo <> hi and any").select("shingle"), "mixed")
-    rows = cut(rows.join(mixed, "shingle"), "shared")
+    """Pairs (a, b) of different groups among ``open_sets`` (node, grp, set, n, shingles) that may reach ``percent``.
+
+    A set's shingles that only its own group holds take its first places; those
+    of several groups (``mixed``) follow by the number of sets that hold them.
+    """
+    whole = ["set", "n", "grp"]  # a set, once for each group that has it
+    held = cut(open_sets.dropDuplicates(whole).select(*whole, "shingles").mapInArrow(_exploded, "shingle long, set long, n long, grp long"), "shingles")
+    mixed = cut(held.groupBy("shingle").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count(F.lit(1)).alias("held")).where("lo <> hi").select("shingle", "held"), "mixed")
+    ranked = held.join(mixed, "shingle").groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct("held", "shingle"))).alias("m")).withColumn("own", F.col("n") - F.size("m"))
+    first = F.expr(f"slice(m, 1, cast(greatest(0L, n - ({percent} * n + 99) div 100 + 1 - own) as int))")
+    rows = open_sets.select("node", *whole).join(ranked, whole).select("node", "n", "grp", "own", F.posexplode(first).alias("at", "s"))
+    rows = rows.select(F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("at")).alias("place"), "node", "n", "grp")
+    rows = cut(rows.withColumn("indexed", F.expr(f"place < n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")), "prefixes")
     x = rows.where("indexed").select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("place", "node", "n", "grp")))
     y = rows.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("place", "node", "n", "grp")))
     fits = F.expr(f"""
@@ -162,6 +128,16 @@ def prefix_pairs(open_sets: DataFrame, percent: int) -> DataFrame:
     return x.join(y, "shingle").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _same_documents(seen: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of doc_ids that several rows with different sets repeat."""
+    whole = F.struct("h1", "h2", "n")
+    known = seen.where("n > 0 and doc_id is not null")
+    repeated = cut(known.groupBy("doc_id").agg(F.min(whole).alias("lo"), F.max(whole).alias("hi")).where("lo <> hi").select("doc_id"), "repeated")
+    held = known.join(repeated, "doc_id", "left_semi").select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "node").distinct()
+    held = cut(held, "several")
+    return held.groupBy("doc_id").agg(F.min("node").alias("a")).join(held, "doc_id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -189,14 +165,14 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     stars = cut(stars, "stars")
     candidates = cut(weights.select(F.col("node").alias("doc_id")), "candidates")
     chosen = docs.select(F.col("doc_id").cast("long"), "text").join(candidates, "doc_id", "left_semi")
-    sets = cut(chosen.mapInArrow(_sets, "node long, n long, shingles binary").where("n > 0").withColumn("set", F.xxhash64("shingles")).dropDuplicates(["node", "n", "set"]).drop("set"), "sets")
-    links = cut(confirmed(stars, sets, percent), "links")
+    sets = cut(chosen.mapInArrow(_sets, "node long, n long, shingles binary").where("n > 0").withColumn("set", F.xxhash64("shingles")).dropDuplicates(["node", "n", "set"]), "sets")
+    links = cut(confirmed(stars, sets, percent).union(_same_documents(seen, classes)), "links")
     groups = components(links)
     placed = members.select("key", "node").join(groups, "node", "left").select("key", "node", F.coalesce("component", "node").alias("grp"))
     placed = cut(placed, "placed")
     unsettled = cut(placed.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi").select("key"), "unsettled")
     left_open = cut(placed.join(unsettled, "key", "left_semi").select("node", "grp").distinct(), "open")
-    pairs = cut(prefix_pairs(sets.join(left_open, "node").select("node", "grp", "shingles"), percent), "pairs")
+    pairs = cut(prefix_pairs(cut(sets.join(left_open, "node").select("node", "grp", "set", "n", "shingles"), "open_sets"), percent), "pairs")
     more = cut(confirmed(pairs, sets, percent), "more_links")
     if not more.isEmpty():
         groups = components(links.union(more))

@@ -144,3 +144,43 @@ def test_components(spark, shape):
     else:
         assert set(got.values()) == {0} and len(got) == n + 1
     assert components.components(df.where("false")).count() == 0
+
+
+def test_random_texts_under_repeated_ids(spark, make):
+    rows = [(i // 3, t) for i, (_, t) in enumerate(corpus(seed=5, groups=25))]
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(corpus(seed=5, groups=25)) if i % 4 == 0]
+    sets = [(i, brute_set(t)) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in sets:
+        for j, y in sets:
+            if i < j and x and y and 100 * len(x & y) >= 85 * len(x | y):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = near_dedup.near_groups(make(rows).repartition(3)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(i, find(i)) for i, _ in rows} and len(got) == len(rows)
+
+
+def test_pairs_of_open_sets_miss_no_link(spark):
+    rng = np.random.Generator(np.random.PCG64(4))
+    base, sets = rng.integers(0, 2**62, 400), {}
+    for node in range(60):  # a common passage, near copies of different lengths
+        own = rng.integers(0, 2**62, 20)
+        start = int(rng.integers(0, 60))
+        sets[node] = np.unique(np.concatenate([base[start : start + int(rng.integers(200, 330))], own[: int(rng.integers(0, 20))]])).astype(np.uint64)
+    rows = [(k, k % 7, k, len(s), s.tobytes()) for k, s in sets.items()]
+    df = spark.createDataFrame(rows, "node long, grp long, set long, n long, shingles binary").repartition(3)
+    for percent in (80, 85):
+        pairs = {tuple(sorted(r)) for r in near_dedup.prefix_pairs(df, percent).collect()}
+        linked = set()
+        for i in sets:
+            for j in sets:
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if i < j and i % 7 != j % 7 and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    linked.add((i, j))
+        assert linked and linked <= pairs and all(i % 7 != j % 7 for i, j in pairs)
