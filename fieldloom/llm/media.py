@@ -1,7 +1,8 @@
 """Media columns: byte payloads as PNG images in binary columns, and perceptual hashes.
 
 A payload whose length is a positive multiple of 192 is an 8-bit RGB image 64
-pixels wide.  The writer emits the signature, an IHDR, a ``tEXt`` chunk with the
+pixels wide.  The writer gives each line the filter that leaves it the fewest
+different bytes, and emits the signature, an IHDR, a ``tEXt`` chunk with the
 number of bytes before padding, IDAT chunks of at most 64 KiB of one zlib stream
 and an IEND, each with its checksum.  The reader walks the chunks, tests every
 checksum, inflates and undoes all five scanline filters with numpy.  Features
@@ -21,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm.common import table
+from fieldloom.llm.common import cut, table
 from fieldloom.llm.memory import tidy
 
 WIDTH, CHANNELS = 64, 3
 ROW = WIDTH * CHANNELS
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"  # fixed value of the format
 _IDAT = 1 << 16
+#: Lines that are filtered at once, each part with the line above it.
+_LINES = 1 << 12
 _GREY = np.array([299, 587, 114]) / 1000.0
 _SIDE, _LOW = 32, 8
 _angle = np.pi * (2 * np.arange(_SIDE)[None, :] + 1) * np.arange(_LOW)[:, None] / (2 * _SIDE)
@@ -47,12 +50,41 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
+def _guesses(rows: np.ndarray, bpp: int) -> Iterator[np.ndarray]:
+    """What each of the five filters takes from every sample."""
+    left, above, corner = (np.zeros(rows.shape, np.int16) for _ in range(3))
+    left[:, bpp:], above[1:], corner[1:, bpp:] = rows[:, :-bpp], rows[:-1], rows[:-1, :-bpp]
+    yield np.zeros(rows.shape, np.int16)
+    yield left
+    yield above
+    yield (left + above) >> 1
+    yield _paeth(left, above, corner)
+
+
+def _paeth(left: np.ndarray, above: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Of the three neighbours, the one next to left + above - corner; ties in this order."""
+    a, b, c = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+    return np.where((a <= b) & (a <= c), left, np.where(b <= c, above, corner))
+
+
+def filtered(rows: np.ndarray, bpp: int) -> np.ndarray:
+    """Scanlines, each after the number of its filter: the first of those that leave the fewest different bytes."""
+    best, lines = np.full(len(rows), 256), np.zeros((len(rows), rows.shape[1] + 1), np.uint8)
+    for kind, guess in enumerate(_guesses(rows, bpp)):
+        line = (rows - guess).astype(np.uint8)
+        in_order = np.sort(line, axis=1)
+        different = (in_order[:, 1:] != in_order[:, :-1]).sum(axis=1)
+        better = different < best
+        best[better], lines[better, 0], lines[better, 1:] = different[better], kind, line[better]
+    return lines
+
+
 def encode_png(payload: bytes, n_bytes: int) -> bytes:
     """A PNG of ``payload``; ``n_bytes`` of it are data, the rest padding."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, ROW)
-    lines = np.zeros((len(rows), ROW + 1), dtype=np.uint8)  # filter 0: text compresses best unfiltered
-    lines[:, 1:] = rows
-    stream = zlib.compress(lines.tobytes(), 3)
+    stream = zlib.compressobj(3)
+    parts = [stream.compress(filtered(rows[max(0, y - 1) : y + _LINES], CHANNELS)[min(y, 1) :].tobytes()) for y in range(0, len(rows), _LINES)]
+    stream = b"".join([*parts, stream.flush()])
     return b"".join([
         _SIGNATURE,
         _chunk(b"IHDR", struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 2, 0, 0, 0)),
@@ -79,35 +111,44 @@ def chunks(media: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def unfilter(lines: np.ndarray, bpp: int) -> np.ndarray:
-    """Pixels of scanlines that each begin with their filter's number."""
+    """Pixels of scanlines that each begin with their filter's number.
+
+    Runs of lines with the filters that look both left and up are undone along
+    their diagonals: pixels of one diagonal do not need one another.
+    """
     kinds, out = lines[:, 0], lines[:, 1:].copy()
     if kinds.max(initial=0) > 4:
         raise MediaError("unknown filter")
-    width = out.shape[1]
-    for y in np.flatnonzero(kinds):
-        above = out[y - 1] if y else np.zeros(width, np.uint8)
-        line = out[y]
+    begins = np.flatnonzero(np.diff(kinds > 2, prepend=False, append=False))
+    runs = dict(zip(begins[::2].tolist(), begins[1::2].tolist(), strict=True))
+    for y in np.flatnonzero(kinds).tolist():
         if kinds[y] == 1:
-            by_pixel = line.reshape(-1, bpp)
+            by_pixel = out[y].reshape(-1, bpp)
             np.cumsum(by_pixel, axis=0, dtype=np.uint8, out=by_pixel)
         elif kinds[y] == 2:
-            line += above
-        else:
-            pixels, ups = line.reshape(-1, bpp).astype(np.int64), above.reshape(-1, bpp).astype(np.int64)
-            left, upleft = np.zeros(bpp, np.int64), np.zeros(bpp, np.int64)
-            for x in range(len(pixels)):
-                up = ups[x]
-                if kinds[y] == 3:
-                    guess = (left + up) >> 1
-                else:
-                    a, b, c = np.abs(up - upleft), np.abs(left - upleft), np.abs(left + up - 2 * upleft)
-                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, upleft))
-                left, upleft = (pixels[x] + guess) & 255, up
-                pixels[x] = left
-            line[:] = pixels.ravel()
+            out[y] += out[y - 1] if y else 0
+        elif y in runs:
+            _undo_diagonals(out, kinds, y, runs[y], bpp)
     return out
 
 
+def _undo_diagonals(out: np.ndarray, kinds: np.ndarray, first: int, last: int, bpp: int) -> None:
+    """Undo the filters 3 and 4 of the lines first .. last - 1 of ``out`` in place."""
+    width, height = out.shape[1] // bpp, last - first
+    x = np.zeros((height + 1, width + 1, bpp), np.int16)  # a line above and a pixel before each line
+    x[1:, 1:] = out[first:last].reshape(height, width, bpp)
+    if first:
+        x[0, 1:] = out[first - 1].reshape(width, bpp)
+    mean = (kinds[first:last] == 3)[:, None]
+    for d in range(height + width - 1):
+        rows = np.arange(max(0, d - width + 1), min(height, d + 1))
+        at = d - rows
+        left, above, corner = x[rows + 1, at], x[rows, at + 1], x[rows, at]
+        guess = np.where(mean[rows], (left + above) >> 1, _paeth(left, above, corner))
+        x[rows + 1, at + 1] = (x[rows + 1, at + 1] + guess) & 255
+    out[first:last] = x[1:, 1:].reshape(height, -1)
+
+
 def decode_png(media: bytes) -> tuple[np.ndarray, int]:
     """Pixels (height x width x 3) and the number of data bytes of what ``encode_png`` or another 8-bit RGB writer stored."""
     head, stream, n_bytes = None, [], -1
@@ -183,12 +224,16 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def from_media(stored: DataFrame) -> DataFrame:
-    """Read ``media`` back and describe it; damaged bytes raise MediaError. Rows are independent, so repeats repeat."""
+    """Read ``media`` back and describe it; damaged bytes raise MediaError.
+
+    Rows are independent, so repeats repeat; null doc_ids stay, an empty table
+    stays empty, and other columns are ignored.
+    """
     return stored.select("doc_id", "media").mapInArrow(_decode, _DECODED)
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = from_media(to_media(table(spark, sf_dir, "documents")))
+    found = from_media(cut(to_media(table(spark, sf_dir, "documents")), "media"))
     return found.withColumn("feature", F.lower(F.hex("cosine_hash"))).drop("cosine_hash")
 
 

@@ -22,9 +22,9 @@ def test_round_trip(data):
     assert pixels.tobytes() == payload and n == len(data)
 
 
-def filtered(rows, kind, bpp=3):
+def filtered(rows, kinds, bpp=3):
     out = []
-    for y, row in enumerate(rows):
+    for y, (row, kind) in enumerate(zip(rows, kinds, strict=True)):
         above = rows[y - 1] if y else [0] * len(row)
         line = []
         for x, v in enumerate(row):
@@ -39,7 +39,7 @@ def filtered(rows, kind, bpp=3):
 @pytest.mark.parametrize("kind", range(5))
 def test_all_filters_are_undone(kind):
     rows = np.random.Generator(np.random.PCG64(kind)).integers(0, 256, (7, 30)).tolist()
-    assert media.unfilter(filtered(rows, kind), 3).tolist() == rows
+    assert media.unfilter(filtered(rows, [kind] * 7), 3).tolist() == rows
     with pytest.raises(media.MediaError):
         media.unfilter(np.full((1, 4), 5, np.uint8), 3)
 
@@ -81,3 +81,58 @@ def test_columns_against_brute_force(spark, make):
     stored = {r["media_sha256"] for r in rows if r["n_bytes"] == 0}
     assert len(stored) == 1
     assert media.from_media(media.to_media(make(ODD).where("false"))).count() == 0
+
+
+def test_mixed_filters_are_undone():
+    rng = np.random.Generator(np.random.PCG64(9))
+    for _ in range(20):
+        rows = rng.integers(0, 256, (int(rng.integers(1, 40)), 30))
+        kinds = rng.integers(0, 5, len(rows)).tolist()
+        assert media.unfilter(filtered(rows.tolist(), kinds), 3).tolist() == rows.tolist()
+
+
+def test_each_line_has_the_filter_with_the_fewest_bytes():
+    rng = np.random.Generator(np.random.PCG64(2))
+    ramp = np.add.outer(np.arange(6) * 40, np.arange(10) * 7)
+    rows = np.concatenate([rng.integers(97, 123, (3, 30)), np.repeat(ramp, 3, axis=1) % 256, np.full((2, 30), 32), rng.integers(0, 256, (2, 30))])
+    rows = np.concatenate([rows, rows[-1:], (rows[-1:] // 2 + np.arange(30) // 3) % 256]).astype(np.uint8)
+    lines = media.filtered(rows, 3)
+    for kind in range(5):
+        plain = filtered(rows.tolist(), [kind] * len(rows))
+        for line, other in zip(lines, plain, strict=True):
+            assert len(set(line[1:])) <= len(set(other[1:])) and (line[0] != kind or (line == other).all())
+    assert lines[0, 0] == 0 and len(set(lines[:, 0].tolist())) >= 3
+
+
+def test_filters_run_in_the_query(spark, make):
+    texts = ["abc " * 3000, "".join(chr(32 + (k // 3 + k // 192) % 90) for k in range(40_000)), "plain prose of several words", "x" * 5000 + "y" * 900_000]
+    stored = media.to_media(make(list(enumerate(texts)))).orderBy("doc_id").collect()
+    kinds = set()
+    for r, t in zip(stored, texts, strict=True):
+        raw = zlib.decompress(b"".join(body for kind, body in media.chunks(bytes(r["media"])) if kind == b"IDAT"))
+        kinds |= set(raw[:: media.ROW + 1])
+        pixels, n = media.decode_png(bytes(r["media"]))
+        assert pixels.tobytes()[:n] == t.encode()
+    assert len(kinds) >= 3
+
+
+def plain_hash(payload):
+    """The feature by the formulas, sample by sample."""
+    import math
+
+    h = len(payload) // 192
+    grey = [[sum(w * payload[192 * y + 3 * x + k] for k, w in enumerate((0.299, 0.587, 0.114))) for x in range(64)] for y in range(h)]
+    share = lambda n, k, i: max(0.0, min(i + 1, (k + 1) * n / 32) - max(i, k * n / 32)) * 32 / n
+    small = [[sum(share(h, a, y) * share(64, b, x) * grey[y][x] for y in range(h) for x in (2 * b, 2 * b + 1)) for b in range(32)] for a in range(32)]
+    scale = lambda k: math.sqrt((1 if k == 0 else 2) / 32)
+    low = [scale(u) * scale(v) * sum(small[y][x] * math.cos(math.pi * (2 * y + 1) * u / 64) * math.cos(math.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    low = [round(x, 6) for x in low]
+    middle = sorted(low[1:])[31]
+    return int("".join("1" if x > middle else "0" for x in low), 2).to_bytes(8, "big")
+
+
+def test_feature_against_the_formulas():
+    rng = np.random.Generator(np.random.PCG64(3))
+    for h in (1, 3, 40):
+        payload = rng.integers(0, 256, 192 * h, dtype=np.uint8).tobytes()
+        assert media.cosine_hash(np.frombuffer(payload, np.uint8).reshape(h, 64, 3)) == plain_hash(payload)
