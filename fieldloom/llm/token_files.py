@@ -23,12 +23,13 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
+from pyarrow.fs import LocalFileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, fresh_path, table
+from fieldloom.llm.files import open_store
 from fieldloom.llm.memory import tidy
 from fieldloom.llm.tokens import default_vocabulary, encoder
 
@@ -49,7 +50,7 @@ class ShardWriter:
     def __init__(self, path: str, length: int = LENGTH, wide: bool = True):
         if length % 8:
             raise ValueError("the sequence length must be a multiple of 8")
-        files, at = pa.fs.FileSystem.from_uri(path)
+        files, at = open_store(path)
         files.create_dir(at.rsplit("/", 1)[0], recursive=True)
         self.length, self.held, self.size, self.start, self.n_docs = length, [], 0, 0, 0
         self.out = [files.open_output_stream(at + end) for end in (".ids.arrow", ".docs.arrow")]
@@ -93,8 +94,8 @@ class Shard:
     """Random access to a shard's sequences and documents."""
 
     def __init__(self, path: str):
-        files, at = pa.fs.FileSystem.from_uri(path)
-        local = isinstance(files, pa.fs.LocalFileSystem)
+        files, at = open_store(path)
+        local = isinstance(files, LocalFileSystem)
         opened = [pa.memory_map(at + end) if local else files.open_input_file(at + end) for end in (".ids.arrow", ".docs.arrow")]
         self.ids, self.docs = (pa.ipc.open_file(f) for f in opened)
         self.length = self.ids.schema.field("ids").type.list_size
@@ -111,20 +112,19 @@ class Shard:
 
     def documents(self) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
         """Batches of the document index with each document's ids, read one record batch at a time."""
-        batch, held, begins = -1, b"", 0
+        batch, held, at = -1, b"", 0  # documents follow one another without gaps
         for k in range(self.docs.num_record_batches):
             index, out = self.docs.get_batch(k), []
-            for start, n in zip(index.column(1).to_pylist(), index.column(2).to_pylist(), strict=True):
-                held, begins = held[4 * (start - begins) :], start
-                parts, size = [held], len(held) // 4
-                while size < n:
+            for n in index.column(2).to_pylist():
+                parts, missing = [held[at : at + 4 * n]], 4 * n
+                at += len(parts[0])
+                while missing := missing - len(parts[-1]):
                     batch += 1
                     ids, mask = self._values(batch)
-                    ids = ids[: int(np.bitwise_count(mask).sum())]
-                    parts.append(ids.astype("<u4").tobytes())
-                    size += len(ids)
-                held = b"".join(parts)
-                out.append(held[: 4 * n])
+                    held = ids[: int(np.bitwise_count(mask).sum())].astype("<u4").tobytes()
+                    at = min(missing, len(held))
+                    parts.append(held[:at])
+                out.append(b"".join(parts))
             yield index, out
 
 

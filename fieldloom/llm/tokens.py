@@ -48,18 +48,16 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes; null counts as the empty text.
 
-    ``special_as_text``: strings of special tokens in a text are ordinary text.
-    Otherwise they give their tokens, as the library does with the file as it is.
+    Strings of special tokens in a text give their tokens, as the library does with the file as it is.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
         self.letters = _byte_letters()
         spec = json.loads(self.tokenizer.to_str())
         cut = spec.get("pre_tokenizer") or {}
         self.by_cuts = spec.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-        added = [t["content"] for t in spec.get("added_tokens") or [] if not (special_as_text and t["special"])]
+        added = [t["content"] for t in spec.get("added_tokens") or []]
         self.odd = "|".join([_WHOLE, *map(re.escape, added)])
         self.findall, self.merge = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
         self.cuts, self.pieces = Memo(self._cut), Memo(self._piece)
@@ -115,7 +113,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per process and vocabulary file, for the ids of the library as loaded."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path, special_as_text=False)
+        _encoders[path] = Encoder(path)
     return _encoders[path]
 
 

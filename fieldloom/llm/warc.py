@@ -26,17 +26,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, fresh_path, table
+from fieldloom.llm.files import open_store
 from fieldloom.llm.memory import tidy
 
 VERSION = b"WARC/1.1"
 #: Bytes of a file that one task scans for record beginnings, and from which a task begins another file.
 BLOCK, FILE = 16 << 20, 256 << 20
+_FIELD = re.compile(rb"[^\s:]{1,128}[ \t]*:")
 _START = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r\n")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value of the format
 _ORIGIN = "urn:uuid:"
@@ -67,6 +68,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, fi
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def header_goes_on(data: bytes) -> bool:
+    """Whether ``data``, cut off before a header's end, may begin one: every line after the first begins with a field's name."""
+    *lines, last = data.split(b"\r\n")[1:] or [b""]
+    return all(map(_FIELD.match, lines)) and (len(last) <= 128 or _FIELD.match(last) is not None)
+
+
 def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
     """Fields of the header at ``at`` and where the body begins; None unless well-formed."""
     end = data.find(b"\r\n\r\n", at)
@@ -84,7 +91,7 @@ def parse_header(data: bytes, at: int) -> tuple[dict[str, str], int] | None:
 def _write(path: str):
     @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pa.fs.FileSystem.from_uri(path)
+        files, root = open_store(path)
         files.create_dir(root, recursive=True)
         task, out, name, size, made = TaskContext.get().partitionId(), None, "", 0, []
         for batch in batches:
@@ -125,7 +132,7 @@ class _Reader:
     """Reads of one file by offset, in pieces as large as asked for."""
 
     def __init__(self, uri: str):
-        files, at = pa.fs.FileSystem.from_uri(uri)
+        files, at = open_store(uri)
         self.file = files.open_input_file(at)
 
     def read(self, at: int, n: int) -> bytes:
@@ -138,6 +145,8 @@ class _Reader:
             if b"\r\n\r\n" in data or len(data) < size:
                 found = parse_header(data, 0)
                 return found and (found[0], at + found[1])
+            if not header_goes_on(data):
+                return None
             size *= 4
 
 
@@ -259,4 +268,14 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op6_warc": op6_warc}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, payload, octet_length(payload) AS payload_bytes, sha1(payload) AS digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first_id FROM d)
+SELECT page_id, payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda k: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((CAST('0x' || digest[1 + 5 * (k // 4) : 5 + 5 * (k // 4)] AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31)]), 'string_agg', '') AS payload_digest,
+       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f"""
+}

@@ -15,7 +15,6 @@ from tests.llm.conftest import ODD
 @pytest.fixture(scope="module")
 def library():
     t = tokens.Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return lambda text: np.array(t.encode(text or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
@@ -26,7 +25,7 @@ def odd_texts(n=4000, seed=3):
 
 
 def test_ids_are_the_library_s(library):
-    texts = [t for _, t in ODD if t is None or len(t) < 60000] + odd_texts()
+    texts = [t for _, t in ODD] + odd_texts()
     e = tokens.Encoder(tokens.default_vocabulary())
     for text, ids in zip(texts, e.encode(pa.array(texts, pa.string())), strict=True):
         assert ids == library(text), text
@@ -61,7 +60,7 @@ def check_pieces(rows, wanted, window):
 
 
 def test_packing(spark, make, library):
-    rows = [(i, t) for i, t in ODD if t is None or len(t) < 60000] + [(100 + k, "word " * (k * 7 % 1900)) for k in range(150)]
+    rows = ODD + [(100 + k, "word " * (k * 7 % 1900)) for k in range(150)]
     wanted = {}
     for i, t in rows:
         wanted.setdefault(i, []).append(library(t) + b"\0\0\0\0")
@@ -106,7 +105,7 @@ def test_sum_of_squares_rule():
 
 @pytest.mark.parametrize("parts", ["1", "5"])
 def test_token_files(spark, make, library, parts):
-    rows = [(i, t) for i, t in ODD if t is None or len(t) < 60000] + [(k, f"text {k} " * (k % 40)) for k in range(60, 20, -1)]
+    rows = ODD + [(k, f"text {k} " * (k % 40)) for k in range(60, 20, -1)]
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
     try:
@@ -163,7 +162,7 @@ def as_loaded():
 
 
 def test_special_tokens_are_those_of_the_library_as_loaded(as_loaded):
-    texts = SPECIAL + [t for _, t in ODD if t is None or len(t) < 60000] + odd_texts(2000, 8)
+    texts = SPECIAL + [t for _, t in ODD] + odd_texts(2000, 8)
     for text, ids in zip(texts, tokens.encoder(tokens.default_vocabulary()).encode(pa.array(texts, pa.string())), strict=True):
         assert ids == as_loaded(text), text
     assert np.frombuffer(as_loaded(SPECIAL[0]), "<u4").tolist() == [64, 220, 50256, 275]

@@ -6,7 +6,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from fieldloom.llm import warc
+from fieldloom.llm import files, warc
 from fieldloom.llm.common import fresh_path
 
 PAGES = [
@@ -26,8 +26,8 @@ def digest(html):
 
 @pytest.mark.parametrize("block", [150, 1000, 1 << 24])
 def test_round_trip(spark, block):
-    files = warc.write_archives(pages(spark, PAGES).coalesce(2), fresh_path(spark, "warc"))
-    rows = warc.read_archives(files, block).collect()
+    made = warc.write_archives(pages(spark, PAGES).coalesce(2), fresh_path(spark, "warc"))
+    rows = warc.read_archives(made, block).collect()
     assert len(rows) == len(PAGES) and all(r["intact"] for r in rows)
     firsts = {}
     for i, _, html in PAGES:
@@ -40,8 +40,8 @@ def test_round_trip(spark, block):
 
 
 def test_empty_table(spark):
-    files = warc.write_archives(pages(spark, PAGES).where("false"), fresh_path(spark, "warc"))
-    assert warc.read_archives(files).count() == 0
+    made = warc.write_archives(pages(spark, PAGES).where("false"), fresh_path(spark, "warc"))
+    assert warc.read_archives(made).count() == 0
 
 
 def test_pointer_jumping():
@@ -58,3 +58,26 @@ def test_headers():
     assert data[body : body + 3] == b"abc" and fields["warc-type"] == "response" and fields["content-length"] == "3"
     assert warc.parse_header(b"WARC/1.1\r\nno colon\r\n\r\n", 0) is None and warc.parse_header(b"WARC/1.1\r\nContent-Length: x\r\n\r\n", 0) is None
     assert warc.parse_header(b"WARC/1.1\r\nA: b", 0) is None
+
+
+def test_long_headers_and_payloads_that_look_like_one(spark):
+    rows = [(1, "http://a/" + "x" * 300_000, "one"), (2, "u", "WARC/1.1\r\n" + "no header " * 200_000), (3, "u", "WARC/1.1\r\nName: " + "v" * 100_000)]
+    made = warc.write_archives(pages(spark, rows).coalesce(1), fresh_path(spark, "warc"))
+    got = {r["page_id"]: r for r in warc.read_archives(made, 1 << 16).collect()}
+    assert {i: r["payload"].decode() for i, r in got.items()} == {i: h for i, _, h in rows} and got[1]["url"] == rows[0][1]
+    assert not warc.header_goes_on(b"WARC/1.1\r\n" + b"x" * 200) and warc.header_goes_on(b"WARC/1.1\r\nA: " + b"x" * 200) and warc.header_goes_on(b"WARC/1.1\r\nA: b\r\nWAR")
+    assert not warc.header_goes_on(b"WARC/1.1\r\nA: b\r\nno field\r\n") and warc.header_goes_on(b"WARC/1.1")
+
+
+@pytest.mark.parametrize(("uri", "arrow"), [
+    ("s3a://b/x", "s3://b/x"), ("s3n://b/x", "s3://b/x"), ("s3://b/x", "s3://b/x"), ("dbfs:/t/x", "file:///dbfs/t/x"), ("file:/t/x", "file:///t/x"), ("file:///t/x", "file:///t/x"),
+    ("hdfs://h/x", "hdfs://h/x"), ("abfss://c@a/x", "abfss://c@a/x"), ("gs://b/x", "gs://b/x"),
+])
+def test_schemes(monkeypatch, uri, arrow):
+    monkeypatch.setattr(files, "pyarrow", type("P", (), {"fs": type("F", (), {"FileSystem": type("S", (), {"from_uri": staticmethod(lambda u: ("fs", u))})}), "ArrowInvalid": ValueError}))
+    assert files.open_store(uri) == ("fs", arrow)
+
+
+def test_unknown_scheme():
+    with pytest.raises(ValueError, match="no file system for nosuch://x"):
+        files.open_store("nosuch://x")
