@@ -1,8 +1,13 @@
 """Gaussian elimination without pivoting over GF(p).
 
 The packed result has U on and above the diagonal and the negated multipliers
-below it: with N the strictly lower part, (I - N) U equals the input mod p.  A
-zero pivot that rows below depend on is an error (or, per group, a status).
+below it: with N the strictly lower part, (I - N) U equals the input mod p.
+
+All forms agree on the rest: absent cells are zeros, a zero pivot is passed over
+where the rows below have a zero in its column, and else the whole matrix raises
+SingularMatrixError with the first such pivot (``eliminate_with_status`` and the
+form for groups give a column instead).  A matrix without rows or columns has no
+cells.  A cell occurs once at most.
 """
 
 from __future__ import annotations
@@ -17,58 +22,89 @@ from fieldloom.operators import kernels
 from fieldloom.operators.layout import TileMatrix, from_rows, to_rows
 from fieldloom.plans.cuts import cut
 
-#: Greatest tile edge (32 MiB a tile) and the number of block steps aimed at.
-LARGEST_TILE, STEPS = 2048, 12
+#: Edges up to which a matrix is folded within one row, factored within one task, and up to which its shorter side makes it a strip.
+FOLD_EDGE, TASK_EDGE, STRIP_EDGE = 48, 1024, 1024
+#: Least and greatest edge of a tile (32 MiB a tile), the block steps aimed at, bytes of a strip's blocks, and pivots that a pass each is allowed for.
+SMALLEST_TILE, LARGEST_TILE, STEPS, BLOCK_BYTES, MOST_PASSES = 64, 2048, 12, 4 << 20, 256
+_CELLS = "i long, j long, v long"
 
 
 def fold(matrix: str, p: int = PRIME, full: bool = True) -> Column:
     """The packed form of an ``array<array<bigint>>`` column, inside code generation.
 
-    For small matrices, one a row.  Where a needed pivot is zero the rows below
-    it are null.  ``full`` False leaves cells below the diagonal as they were
-    when their column was the pivot's.
+    For small matrices, one a row.  Where a zero pivot cannot be passed over, the
+    rows that need it are null from its column on.  ``full`` False leaves cells
+    below the diagonal as they were when their column was the pivot's.
     """
-    steps = f"least(size({matrix}), size({matrix}[0])) - 1"
-    keep = "m" if full else "x"
+    shape = f"least(size({matrix}), coalesce(size(get({matrix}, 0)), 0))"
+    keep = "m" if full else "if(m is null, m, x)"
     step = f"""
         element_at(transform(array(S[i]), P -> element_at(transform(array(nullif({p}L - {inverse_expr('P[i]', p)}, {p}L)), q ->
-            transform(S, (row, r) -> if(r <= i, row, element_at(transform(array(row[i] * q % {p}L), m ->
+            transform(S, (row, r) -> if(r <= i or row[i] = 0L, row, element_at(transform(array(row[i] * q % {p}L), m ->
                 transform(row, (x, c) -> if(c < i, x, if(c = i, {keep}, (x + P[c] * m) % {p}L)))), 1)))), 1)), 1)"""
-    return F.expr(f"aggregate(sequence(0, {steps}), transform({matrix}, row -> transform(row, x -> pmod(x, {p}L))), (S, i) -> if(i + 1 >= size(S), S, {step}))")
+    return F.expr(f"if({shape} < 1, {matrix}, aggregate(sequence(0, {shape} - 1), transform({matrix}, row -> transform(row, x -> pmod(x, {p}L))), (S, i) -> if(i + 1 >= size(S), S, {step})))")
 
 
 def singular_at(packed: str) -> Column:
     """Index of the first zero pivot of a column that ``fold`` made, or null."""
-    return F.expr(f"nullif(array_position(transform(sequence(0, least(size({packed}), size({packed}[0])) - 1), k -> coalesce({packed}[k][k], 0L)), 0L), 0L) - 1L")
+    shape = f"least(size({packed}), coalesce(size(get({packed}, 0)), 0))"
+    return F.expr(f"if({shape} < 1, null, nullif(array_position(transform(sequence(0, {shape} - 1), k -> coalesce({packed}[k][k], 0L)), 0L), 0L) - 1L)")
+
+
+def _no_cells(matrix: DataFrame) -> DataFrame:
+    return matrix.sparkSession.createDataFrame([], _CELLS)
 
 
 def eliminate_groups(matrix: DataFrame, keys: list[str], p: int = PRIME) -> DataFrame:
-    """Factor one small matrix per group: rows keys, i, j, v of the packed forms and singular_at."""
-    rows = matrix.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("row"))
-    whole = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "row")))["row"].alias("m"))
+    """Factor one small matrix per group: rows keys, i, j, v of the packed forms and singular_at, the first zero pivot.
+
+    A group's matrix is as large as its greatest i and j say.
+    """
+    sizes = matrix.groupBy(*keys).agg(F.max("i").alias("last_i"), F.max("j").alias("last_j"))
+    cells = matrix.select(*keys, "i", F.struct("j", "v").alias("c"))
+    every = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "last_i")).alias("i"), F.lit(None).cast(cells.schema["c"].dataType).alias("c"))
+    rows = cells.unionByName(every).groupBy(*keys, "i").agg(F.array_sort(F.collect_list("c")).alias("c")).join(sizes, keys)
+    filled = F.expr("if(size(c) = last_j + 1, c.v, transform(sequence(0L, last_j), j -> coalesce(element_at(map_from_entries(c), j), 0L)))")
+    whole = rows.withColumn("row", filled).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "row")))["row"].alias("m"))
     packed = whole.withColumn("m", fold("m", p)).withColumn("singular_at", singular_at("m"))
     by_row = packed.select(*keys, "singular_at", F.posexplode("m").alias("i", "row"))
     return by_row.select(*keys, F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "v"), "singular_at").select(*keys, "i", F.col("j").cast("long").alias("j"), "v", "singular_at")
 
 
-def eliminate_fold(matrix: DataFrame, p: int = PRIME, full: bool = True) -> DataFrame:
-    """One small matrix as a single row's fold: cells of the packed form."""
-    whole = to_rows(matrix).agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("m"))
-    return from_rows(whole.select(F.posexplode(fold("m", p, full)).alias("i", "v")).select(F.col("i").cast("long").alias("i"), "v"))
+def eliminate_fold(matrix: DataFrame, rows: int, columns: int, p: int = PRIME, full: bool = True) -> DataFrame:
+    """One small matrix (edges up to FOLD_EDGE) as a single row's fold: cells of the packed form, held by the driver."""
+    check_prime(p)
+    if max(rows, columns) > FOLD_EDGE:
+        raise ValueError(f"a matrix of {rows} x {columns} is too large to fold; use eliminate")
+    if not rows or not columns:
+        return _no_cells(matrix)
+    whole = to_rows(matrix, columns, rows).agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("m"))
+    packed = whole.select(fold("m", p, full).alias("m")).first()["m"]
+    failed = [row.index(None) for row in packed if None in row]
+    if failed:
+        raise SingularMatrixError(min(failed))
+    return matrix.sparkSession.createDataFrame([(i, j, v) for i, row in enumerate(packed) for j, v in enumerate(row)], _CELLS)
 
 
 def eliminate_by_rows(matrix: DataFrame, rows: int, columns: int, p: int = PRIME) -> DataFrame:
     """One written pass over the row arrays a pivot; the pivot row (one row) goes to every task.
 
-    As many jobs as pivots: for matrices of few columns. ``eliminate_tiles``
-    needs a job for each of about STEPS blocks.
+    As many jobs as pivots, MOST_PASSES at most: ``eliminate_tiles`` needs a job
+    for each of about STEPS blocks.
     """
     check_prime(p)
-    state = cut(to_rows(matrix).select("i", F.transform("v", lambda x: F.pmod(x, F.lit(p).cast("long"))).alias("v")), "rows")
-    for k in range(min(rows - 1, columns)):
+    pivots = min(rows - 1, columns)
+    if pivots > MOST_PASSES:
+        raise ValueError(f"{pivots} passes are too many; use eliminate")
+    if not rows or not columns:
+        return _no_cells(matrix)
+    state = cut(to_rows(matrix, columns, rows).select("i", F.transform("v", lambda x: F.pmod(x, F.lit(p).cast("long"))).alias("v")), "rows")
+    for k in range(pivots):
         pivot = state.where(F.col("i") == k).first()["v"]
         if pivot[k] == 0:
-            raise SingularMatrixError(k)
+            if not state.where((F.col("i") > k) & (F.col("v")[k] != 0)).isEmpty():
+                raise SingularMatrixError(k)
+            continue
         line = F.lit(np.array(pivot, dtype=np.int64))
         m = F.col("v")[k] * neg_inverse(pivot[k], p) % p
         moved = F.zip_with(F.transform("v", lambda x, c: F.struct(x.alias("x"), c.alias("c"))), line, lambda s, y: F.when(s["c"] < k, s["x"]).when(s["c"] == k, F.col("m")).otherwise((s["x"] + y * F.col("m")) % p))
@@ -77,9 +113,39 @@ def eliminate_by_rows(matrix: DataFrame, rows: int, columns: int, p: int = PRIME
     return from_rows(state)
 
 
+def _leading(head: np.ndarray, p: int, first: int) -> tuple[np.ndarray, int | None]:
+    """The factored form of a leading square, up to the pivot that fails in it, and that pivot."""
+    try:
+        return kernels.factor_by_halves(head, p, first=first), None
+    except SingularMatrixError as fault:
+        done = fault.pivot - first
+        return kernels.factor_by_halves(head[:, :done], p, first=first)[:done], fault.pivot
+
+
+def _check_pivots(below: DataFrame, square: np.ndarray, failed: int | None, p: int, first: int, width: int) -> None:
+    """Raise for the first pivot that fails, in the leading square or in the tiles ``t`` below it that are ``width`` wide."""
+    found = [] if failed is None else [failed]
+    done = len(square)
+    if (np.diag(square) == 0).any():
+
+        def probe(frames):
+            for pdf in frames:
+                out = []
+                for t in pdf["t"]:
+                    try:
+                        kernels.solve_column(square, np.frombuffer(t, "<i8").reshape(-1, width)[:, :done], p, first)
+                    except SingularMatrixError as fault:
+                        out.append(fault.pivot)
+                yield pd.DataFrame({"pivot": np.array(out, dtype=np.int64)})
+
+        found += [r["k"] for r in below.select("t").mapInPandas(probe, "pivot long").agg(F.min("pivot").alias("k")).collect() if r["k"] is not None]
+    if found:
+        raise SingularMatrixError(min(found))
+
+
 def tile_edge(rows: int, columns: int) -> int:
-    """An edge that gives about STEPS block steps, a multiple of 8 up to LARGEST_TILE."""
-    return max(8, min(LARGEST_TILE, -(-min(rows, columns) // STEPS + 7) // 8 * 8))
+    """An edge that gives about STEPS block steps, a multiple of 8 between SMALLEST_TILE and LARGEST_TILE."""
+    return max(SMALLEST_TILE, min(LARGEST_TILE, -(-min(rows, columns) // STEPS + 7) // 8 * 8))
 
 
 def eliminate_tiles(matrix: DataFrame, rows: int, columns: int, p: int = PRIME, tile: int | None = None) -> DataFrame:
@@ -91,6 +157,8 @@ def eliminate_tiles(matrix: DataFrame, rows: int, columns: int, p: int = PRIME,
     one step's tasks at most.
     """
     check_prime(p)
+    if not rows or not columns:
+        return _no_cells(matrix)
     tile = tile or tile_edge(rows, columns)
     shape, steps = (tile, tile), min(-(-rows // tile), -(-columns // tile))
     schema = "bi long, bj long, t binary"
@@ -102,10 +170,8 @@ def eliminate_tiles(matrix: DataFrame, rows: int, columns: int, p: int = PRIME,
 
     for k in range(steps):
         head = array(left.where(f"bi = {k} and bj = {k}").first()["t"])
-        diagonal = kernels.factor_by_halves(head, p, first=k * tile)
-        zero = np.flatnonzero(np.diag(diagonal)[: min(tile, rows - k * tile, columns - k * tile)] == 0)
-        if len(zero) and k * tile + int(zero[0]) < rows - 1:
-            raise SingularMatrixError(k * tile + int(zero[0]))
+        diagonal, failed = _leading(head, p, k * tile)
+        _check_pivots(left.where(f"bi > {k} and bj = {k}"), diagonal, failed, p, k * tile, tile)
 
         def panel(frames, k=k, d=diagonal):
             for pdf in frames:
@@ -129,29 +195,87 @@ def eliminate_tiles(matrix: DataFrame, rows: int, columns: int, p: int = PRIME,
         row = panels.where(f"bi = {k} and bj > {k}").select("bj", F.col("t").alias("y"))
         rest = left.where(f"bi > {k} and bj > {k}").join(column, "bi").join(row, "bj").select("bi", "bj", "t", "x", "y")
         left = cut(rest.mapInPandas(trailing, schema), "tiles")
-    return TileMatrix(done, rows, columns, tile).cells()
+    return TileMatrix(done, rows, columns, tile, tile).cells()
 
 
-def eliminate_by_halves(matrix: DataFrame, rows: int, columns: int, p: int = PRIME, leaf: int = 32) -> DataFrame:
-    """One matrix that fits a task, by recursive halving of the pivots."""
-    check_prime(p)
-
-    def factor(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = np.zeros((rows, columns), dtype=np.int64)
-        a[pdf["i"], pdf["j"]] = pdf["v"]
-        v = kernels.factor_by_halves(a, p, leaf)
-        return pd.DataFrame({"i": np.repeat(np.arange(rows), columns), "j": np.tile(np.arange(columns), rows), "v": v.ravel()})
+def eliminate_strip(matrix: DataFrame, rows: int, columns: int, p: int = PRIME, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A matrix with few columns or few rows (up to STRIP_EDGE) and any number of the others, in one pass.
 
-    return matrix.select("i", "j", "v", F.lit(0).alias("one")).groupBy("one").applyInPandas(lambda pdf: factor(pdf), "i long, j long, v long")
+    The leading square (8 MiB at most) is factored on the driver; blocks of the
+    rest, of ``block_bytes`` each, need nothing but it.
+    """
+    check_prime(p)
+    n, tall = min(rows, columns), rows > columns
+    if n > STRIP_EDGE:
+        raise ValueError(f"a matrix of {rows} x {columns} is no strip; use eliminate_tiles")
+    if not n:
+        return _no_cells(matrix)
+    size = max(1, block_bytes // (8 * n))
+    high, wide = (max(n, size), n) if tall else (n, max(n, size))
+    along = F.col("i" if tall else "j")
+    square = matrix.where(along < n)
+    i, j = (F.col("i") - n, F.col("j")) if tall else (F.col("i"), F.col("j") - n)
+    rest = matrix.where(along >= n).select(i.alias("i"), j.alias("j"), "v")
+    head = TileMatrix.of(square, n, n, n).df.first()["t"]
+    d, failed = _leading(np.frombuffer(head, "<i8").reshape(n, n), p, 0)
+    others = TileMatrix.of(rest, rows - n if tall else n, n if tall else columns - n, (high, wide))
+    others.df = cut(others.df, "blocks")
+    _check_pivots(others.df if tall else others.df.where("false"), d, failed, p, 0, wide)
+
+    def solve(frames):
+        for pdf in frames:
+            arrays = (np.frombuffer(t, "<i8").reshape(high, wide) for t in pdf["t"])
+            out = [(kernels.solve_column(d, a, p) if tall else kernels.solve_row(d, a, p)).astype("<i8").tobytes() for a in arrays]
+            yield pd.DataFrame({"bi": pdf["bi"], "bj": pdf["bj"], "t": out})
+
+    def leading(frames):
+        for _ in frames:
+            yield pd.DataFrame({"bi": [0], "bj": [0], "t": [d.astype("<i8").tobytes()]})
+
+    first = matrix.sparkSession.range(0, 1, 1, 1).mapInPandas(leading, "bi long, bj long, t binary")
+    done = TileMatrix(others.df.mapInPandas(solve, "bi long, bj long, t binary"), others.rows, others.columns, high, wide).cells()
+    moved = done.select((F.col("i") + n if tall else F.col("i")).alias("i"), (F.col("j") if tall else F.col("j") + n).alias("j"), "v")
+    return TileMatrix(first, n, n, n, n).cells().unionByName(moved)
 
 
-#: Edges up to which a matrix is folded within one row, and factored within one task.
-FOLD_EDGE, TASK_EDGE = 48, 1024
+def eliminate_by_halves(matrix: DataFrame, rows: int, columns: int, p: int = PRIME, leaf: int = 32) -> DataFrame:
+    """One matrix that fits a task (edges up to TASK_EDGE), by recursive halving of the pivots."""
+    check_prime(p)
+    if max(rows, columns) > TASK_EDGE:
+        raise ValueError(f"a matrix of {rows} x {columns} is too large for one task; use eliminate")
+    if not rows or not columns:
+        return _no_cells(matrix)
+
+    def factor(frames):
+        for pdf in frames:
+            out = []
+            for t in pdf["t"]:
+                try:
+                    out.append((kernels.factor_by_halves(np.frombuffer(t, "<i8").reshape(rows, columns), p, leaf).astype("<i8").tobytes(), -1))
+                except SingularMatrixError as fault:
+                    out.append((b"", fault.pivot))
+            yield pd.DataFrame({"bi": pdf["bi"], "bj": pdf["bj"], "t": [t for t, _ in out], "failed": [k for _, k in out]})
+
+    made = cut(TileMatrix.of(matrix, rows, columns, (rows, columns)).df.mapInPandas(factor, "bi long, bj long, t binary, failed long"), "whole")
+    failed = made.select("failed").first()[0]
+    if failed >= 0:
+        raise SingularMatrixError(failed)
+    return TileMatrix(made, rows, columns, rows, columns).cells()
 
 
 def eliminate(matrix: DataFrame, rows: int, columns: int, p: int = PRIME) -> DataFrame:
-    """The packed form by the form that suits the size: one row, one task or tiles."""
+    """The packed form by the form that suits the size: one row, one task, a strip or tiles."""
     check_prime(p)
     if max(rows, columns) <= FOLD_EDGE:
-        return eliminate_fold(matrix, p)
-    return eliminate_by_halves(matrix, rows, columns, p) if max(rows, columns) <= TASK_EDGE else eliminate_tiles(matrix, rows, columns, p)
+        return eliminate_fold(matrix, rows, columns, p)
+    if max(rows, columns) <= TASK_EDGE:
+        return eliminate_by_halves(matrix, rows, columns, p)
+    return (eliminate_strip if min(rows, columns) <= STRIP_EDGE else eliminate_tiles)(matrix, rows, columns, p)
+
+
+def eliminate_with_status(matrix: DataFrame, rows: int, columns: int, p: int = PRIME) -> DataFrame:
+    """(i, j, v, singular_at): the packed form, or a single row with the pivot that failed and nulls."""
+    try:
+        return eliminate(matrix, rows, columns, p).withColumn("singular_at", F.lit(None).cast("long"))
+    except SingularMatrixError as fault:
+        return matrix.sparkSession.createDataFrame([(None, None, None, fault.pivot)], _CELLS + ", singular_at long")

@@ -80,13 +80,19 @@ def update(c: np.ndarray, a: np.ndarray, b: np.ndarray, p: int) -> np.ndarray:
 
 
 def factor_by_halves(t: np.ndarray, p: int, leaf: int = 32, first: int = 0) -> np.ndarray:
-    """``factor`` for any shape, by halving the pivots until a block has at most ``leaf`` of them."""
+    """``factor`` for any shape: the columns of the pivots are halved until a panel has at most ``leaf`` of them.
+
+    Panels are as high as the matrix, so the first pivot that fails is the one found.
+    """
     a = t % p
     n = min(a.shape)
+    if a.shape[1] > n:  # wide: the square first, then what is right of it
+        left = factor_by_halves(a[:, :n], p, leaf, first)
+        return np.hstack([left, solve_row(left, a[:, n:], p, leaf)])
     if n <= leaf:
         return factor(a, p, first)
     h = n // 2
-    d = factor_by_halves(a[:h, :h], p, leaf, first)
-    right, below = solve_row(d, a[:h, h:], p, leaf), solve_column(d, a[h:, :h], p, first, leaf)
-    rest = factor_by_halves(update(a[h:, h:], below, right, p), p, leaf, first + h)
-    return np.block([[d, right], [below, rest]])
+    left = factor_by_halves(a[:, :h], p, leaf, first)
+    right = solve_row(left[:h], a[:h, h:], p, leaf)
+    rest = factor_by_halves(update(a[h:, h:], left[h:], right, p), p, leaf, first + h)
+    return np.block([[left[:h], right], [left[h:], rest]])

@@ -10,9 +10,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def to_rows(matrix: DataFrame) -> DataFrame:
-    """(i, v): each row's values in order of j; the matrix must have all its cells."""
-    return matrix.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("j", "v")))["v"].alias("v"))
+def to_rows(matrix: DataFrame, columns: int | None = None, rows: int | None = None) -> DataFrame:
+    """(i, v): each row's values in order of j; a cell occurs once at most.
+
+    With ``columns`` rows are that long and absent cells are 0; without, all cells
+    must be there.  With ``rows`` there are that many rows, absent ones of zeros.
+    """
+    cells = matrix.select("i", F.struct("j", "v").alias("c"))
+    if rows is not None:
+        cells = cells.unionByName(matrix.sparkSession.range(rows).select(F.col("id").alias("i"), F.lit(None).cast(cells.schema["c"].dataType).alias("c")))
+    held = cells.groupBy("i").agg(F.array_sort(F.collect_list("c")).alias("c"))
+    if columns is None:
+        return held.select("i", F.col("c")["v"].alias("v"))
+    filled = f"transform(sequence(0L, {columns - 1}L), j -> coalesce(element_at(map_from_entries(c), j), 0L))" if columns else "array()"
+    return held.select("i", F.expr(f"if(size(c) = {columns}, c.v, {filled})").alias("v"))
 
 
 def from_rows(rows: DataFrame) -> DataFrame:
@@ -29,45 +40,56 @@ def upper(matrix: DataFrame) -> DataFrame:
 
 
 def display(matrix: DataFrame, most: int = 32) -> str:
-    """The leading ``most`` x ``most`` cells as aligned text."""
-    rows = to_rows(matrix.where(f"i < {most} and j < {most}")).orderBy("i").collect()
+    """The leading ``most`` x ``most`` cells as aligned text, absent ones as 0."""
+    corner = matrix.where(f"i < {most} and j < {most}")
+    size = corner.agg((F.max("j") + 1).alias("n"), (F.max("i") + 1).alias("m")).first()
+    rows = to_rows(corner, size["n"] or 0, size["m"] or 0).orderBy("i").collect()
     return "\n".join(" ".join(f"{x:6d}" for x in r["v"]) for r in rows)
 
 
 @dataclass
 class TileMatrix:
-    """Tiles of ``tile`` x ``tile`` little-endian int64 values; the last ones are padded."""
+    """Tiles of ``high`` x ``wide`` little-endian int64 values, all of them present; the last ones are padded."""
 
     df: DataFrame
     rows: int
     columns: int
-    tile: int
+    high: int
+    wide: int
 
     @classmethod
-    def of(cls, matrix: DataFrame, rows: int, columns: int, tile: int, identity: bool = False) -> TileMatrix:
+    def of(cls, matrix: DataFrame, rows: int, columns: int, tile: int | tuple[int, int], identity: bool = False) -> TileMatrix:
         """From cells; absent cells are 0. With ``identity`` padding cells on the diagonal are 1."""
+        high, wide = (tile, tile) if isinstance(tile, int) else tile
+        down, across = -(-rows // high), -(-columns // wide)
 
         def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            t = np.zeros((tile, tile), dtype="<i8")
+            t = np.zeros((high, wide), dtype="<i8")
             bi, bj = int(key[0]), int(key[1])
             if identity and bi == bj:
-                for k in range(min(rows, columns) - bi * tile if min(rows, columns) > bi * tile else 0, tile):
+                for k in range(min(rows, columns) - bi * high if min(rows, columns) > bi * high else 0, min(high, wide)):
                     t[k, k] = 1
-            t[pdf["i"].to_numpy() - bi * tile, pdf["j"].to_numpy() - bj * tile] = pdf["v"].to_numpy()
+            pdf = pdf[~pdf["mark"]]
+            t[pdf["i"].to_numpy() - bi * high, pdf["j"].to_numpy() - bj * wide] = pdf["v"].to_numpy()
             return pd.DataFrame({"bi": [bi], "bj": [bj], "t": [t.tobytes()]})
 
-        keyed = matrix.select("i", "j", "v", F.floor(F.col("i") / tile).alias("bi"), F.floor(F.col("j") / tile).alias("bj"))
-        return cls(keyed.groupBy("bi", "bj").applyInPandas(build, "bi long, bj long, t binary"), rows, columns, tile)
+        keyed = matrix.select("i", "j", "v", F.lit(False).alias("mark"), F.expr(f"i div {high}L").alias("bi"), F.expr(f"j div {wide}L").alias("bj"))
+        zero = F.lit(0).cast("long")
+        marks = matrix.sparkSession.range(down * across).select(  # a tile without cells is a tile too
+            zero.alias("i"), zero.alias("j"), zero.alias("v"), F.lit(True).alias("mark"), F.expr(f"id div {max(1, across)}L").alias("bi"), F.expr(f"id % {max(1, across)}L").alias("bj")
+        )
+        tiles = keyed.unionByName(marks).groupBy("bi", "bj").applyInPandas(build, "bi long, bj long, t binary")
+        return cls(tiles, rows, columns, high, wide)
 
     def cells(self) -> DataFrame:
         """(i, j, v) without the padding."""
-        tile, rows, columns = self.tile, self.rows, self.columns
+        high, wide, rows, columns = self.high, self.wide, self.rows, self.columns
 
         def explode(frames):
             for pdf in frames:
                 for bi, bj, t in zip(pdf["bi"], pdf["bj"], pdf["t"], strict=True):
-                    high, wide = min(tile, rows - bi * tile), min(tile, columns - bj * tile)
-                    v = np.frombuffer(t, "<i8").reshape(tile, tile)[:high, :wide]
-                    yield pd.DataFrame({"i": np.repeat(np.arange(high) + bi * tile, wide), "j": np.tile(np.arange(wide) + bj * tile, high), "v": v.ravel()})
+                    m, n = min(high, rows - bi * high), min(wide, columns - bj * wide)
+                    v = np.frombuffer(t, "<i8").reshape(high, wide)[:m, :n]
+                    yield pd.DataFrame({"i": np.repeat(np.arange(m) + bi * high, n), "j": np.tile(np.arange(n) + bj * wide, m), "v": v.ravel()})
 
         return self.df.select("bi", "bj", "t").mapInPandas(explode, "i long, j long, v long")

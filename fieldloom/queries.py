@@ -118,7 +118,7 @@ def lu_packed_12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lu_upper_12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.upper(eliminate.eliminate_fold(matrices.deterministic(spark, 12, 12), full=False))
+    return layout.upper(eliminate.eliminate_fold(matrices.deterministic(spark, 12, 12), 12, 12, full=False))
 
 
 def lu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def lu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lu_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eliminate.eliminate_fold(_buckets(spark, sf_dir, 16, 16))
+    return eliminate.eliminate_fold(_buckets(spark, sf_dir, 16, 16), 16, 16)
 
 
 def lu_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,14 +168,14 @@ def lu_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two strategies on the same input, by the upper triangle."""
     m = _buckets(spark, sf_dir, 16, 16)
-    return verify.compare(eliminate.eliminate_tiles(m, 16, 16, tile=6), eliminate.eliminate_fold(m, full=False))
+    return verify.compare(eliminate.eliminate_tiles(m, 16, 16, tile=6), eliminate.eliminate_fold(m, 16, 16, full=False))
 
 
 def check_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(I - N) U against the matrix that was factored."""
     n, m = _size(spark, sf_dir)
     v = _vectors(spark, sf_dir)
-    back = verify.rebuilt(eliminate.eliminate_tiles(v, n, m, tile=64))
+    back = verify.rebuilt(eliminate.eliminate_tiles(v, n, m, tile=64), n, m)
     return verify.compare(v.where("v <> 0"), back.where("v <> 0"), upper_only=False).select("mismatching")
 
 

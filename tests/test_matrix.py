@@ -56,14 +56,14 @@ def test_golden_in_every_form(spark, how):
     m = matrices.deterministic(spark, 12, 12)
     made = {
         "tiles2": lambda: eliminate.eliminate_tiles(m, 12, 12, tile=2), "tiles5": lambda: eliminate.eliminate_tiles(m, 12, 12, tile=5),
-        "fold": lambda: eliminate.eliminate_fold(m), "rows": lambda: eliminate.eliminate_by_rows(m, 12, 12), "halves": lambda: eliminate.eliminate_by_halves(m, 12, 12, leaf=2),
+        "fold": lambda: eliminate.eliminate_fold(m, 12, 12), "rows": lambda: eliminate.eliminate_by_rows(m, 12, 12), "halves": lambda: eliminate.eliminate_by_halves(m, 12, 12, leaf=2),
     }[how]()
     assert (dense(made, 12, 12) == GOLDEN).all()
 
 
 def test_upper_only_keeps_cells_below(spark):
     a = matrices.deterministic(spark, 12, 12)
-    upper = dense(layout.upper(eliminate.eliminate_fold(a, full=False)), 12, 12)
+    upper = dense(layout.upper(eliminate.eliminate_fold(a, 12, 12, full=False)), 12, 12)
     assert all(upper[i, j] == GOLDEN[i, j] for i in range(12) for j in range(i, 12))
 
 
@@ -96,7 +96,7 @@ def test_identity_of_the_factors(spark, rows, columns, p, tile):
             continue
     m = cells(spark, a)
     packed = eliminate.eliminate_tiles(m, rows, columns, p, tile)
-    found = verify.compare(m.where("v <> 0"), verify.rebuilt(packed, p).where("v <> 0"), upper_only=False).first()
+    found = verify.compare(m.where("v <> 0"), verify.rebuilt(packed, rows, columns, p).where("v <> 0"), upper_only=False).first()
     assert found["mismatching"] == 0
 
 
