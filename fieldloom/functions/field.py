@@ -76,8 +76,9 @@ def bit_cost(x: int) -> int:
     return 8 * (zeros - 18) if zeros >= 20 else 8 + 2 * (x % 4)
 
 
-def elimination_flops(m: int, n: int, cost: int = 10) -> int:
-    """Operations of eliminating an m x n matrix, an inverse costing ``cost``."""
+def elimination_flops(m: int, n: int, p: int = PRIME) -> int:
+    """Operations of eliminating an m x n matrix mod p, by the size measure of p for an inverse."""
+    cost = bit_cost(p)
     return sum((2 * (n - i) + 1 + cost) * (m - i) + cost * (n - i) * (m - i) for i in range(1, min(m, n) + 1))
 
 

@@ -77,6 +77,12 @@ def throughput(records: DataFrame, n: int) -> DataFrame:
     return records.select("file", "method", "seq", (F.lit(2.0 * n**3 / 3e9) / F.col("real_s")).alias("rate"))
 
 
+def rates(records: DataFrame, rows: int, columns: int, tiles: int) -> DataFrame:
+    """Of each record: ``ratio`` of CPU to real time (null below 1e-10 seconds of CPU), and the rate that tiled runs report."""
+    used = F.when((F.col("cpu_s") > 1e-10) & (F.col("real_s") > 0), F.col("cpu_s") / F.col("real_s"))
+    return records.select("file", "method", "seq", used.alias("ratio"), (F.lit(2.0 * rows * columns * tiles / 9 / 1e6) / F.col("real_s")).alias("tiled_rate"))
+
+
 def path_parameters(paths: DataFrame) -> DataFrame:
     """(path, incremental, block): the parts of a results folder's name that tell its settings."""
     parts = F.split("path", "-")

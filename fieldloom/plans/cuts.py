@@ -29,8 +29,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; runs never reuse one another's."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, deleted when the session's JVM ends; runs never reuse one another's."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    store, at = _store(spark, path)
+    store.deleteOnExit(at)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Paths made by this process, by application: those that ``drop_cuts`` may delete.
+_made: dict[str, list[str]] = {}
+
+
+def made_so_far(spark: SparkSession) -> int:
+    """A mark for ``drop_cuts``: how many paths the session has made."""
+    return len(_made.setdefault(spark.sparkContext.applicationId, []))
+
+
+def drop_cuts(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the paths made since a mark, but for those that ``keep`` reads.
+
+    For when all results that read them are written; what is left is deleted
+    when the session's JVM ends.
+    """
+    made = _made.setdefault(spark.sparkContext.applicationId, [])
+    kept = [] if keep is None else [f.rsplit("/", 2)[-2] for f in keep.inputFiles()]
+    for path in made[since:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            store, at = _store(spark, path)
+            store.delete(at, True)
+
+
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -10,16 +10,16 @@ from fieldloom.functions.field import PRIME as P
 from fieldloom.operators import benchlog, eliminate, layout, verify
 from fieldloom.operators.multiply import multiply_cells, multiply_rows, multiply_tiles
 from fieldloom.plans import runs
+from fieldloom.plans.cuts import fresh_path
 from fieldloom.sources import benchlog as logs
 from fieldloom.sources import matrices
 
-LOG = "1000, 1000\n1, 2, 4\n" + "".join(
-    logs.format_report(method, threads, 1, real, cpu, rate)
-    for method, threads, real, cpu, rate in [
-        ("Raw sequential", 1, 8.0, 8.0, 0.5), ("Open MP", 1, 10.0, 9.5, 0.25), ("Open MP", 2, 5.0, 9.0, 0.5), ("Open MP", 4, 2.5, 9.25, float("inf")),
-        ("Open MP parallel sections", 1, 9.0, 9.0, 0.125), ("Open MP parallel sections", 2, 6.0, 11.0, 0.75),
-    ]
-)
+#: Runs of an invented log: method, threads, chunk, real and CPU seconds, rate.
+REPORTS = [
+    ("Raw sequential", 1, 1, 8.0, 8.0, 0.5), ("Open MP", 1, 1, 10.0, 9.5, 0.25), ("Open MP", 2, 1, 5.0, 9.0, 0.5), ("Open MP", 4, 1, 2.5, 9.25, float("inf")),
+    ("Open MP parallel sections", 1, 1, 9.0, 9.0, 0.125), ("Open MP parallel sections", 2, 1, 6.0, 11.0, 0.75),
+]
+LOG = "1000, 1000\n1, 2, 4\n" + "".join(logs.format_report(*r) for r in REPORTS)
 LOG_METHODS = ["Raw sequential", "Open MP", "Open MP parallel sections"]
 
 
@@ -95,9 +95,9 @@ def mat_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mat_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shape and range of the three random generators; their cells have no SQL."""
-    made = [("words", matrices.random_words(spark, 40, 30, 1), 1 << 31), ("small", matrices.random_small(spark, 40, 30, 2), 20), ("field", matrices.random_field(spark, 40, 30, P, 3), P)]
-    rows = [m.agg(F.lit(name).alias("kind"), F.count(F.lit(1)).alias("cells"), (F.min("v") >= 0).alias("low_ok"), (F.max("v") < bound).alias("high_ok")) for name, m, bound in made]
+    """Cells of the three random generators."""
+    made = [("words", matrices.random_words(spark, 40, 30, 1)), ("small", matrices.random_small(spark, 40, 30, 2)), ("field", matrices.random_field(spark, 40, 30, P, 3))]
+    rows = [m.select(F.lit(name).alias("kind"), "i", "j", "v") for name, m in made]
     return rows[0].union(rows[1]).union(rows[2])
 
 
@@ -121,6 +121,34 @@ def lu_upper_12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.upper(eliminate.eliminate_fold(matrices.deterministic(spark, 12, 12), 12, 12, full=False))
 
 
+def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole balances of all customers by customer bucket and nation, mod p, and a diagonal: many cells are absent."""
+    t = _table(spark, sf_dir, "customer")
+    a = matrices.from_pairs(t, F.col("c_custkey") % 60, F.col("c_nationkey"), F.pmod(F.floor("c_acctbal"), F.lit(P).cast("long")))
+    return a.unionByName(spark.range(25).select(F.col("id").alias("i"), F.col("id").alias("j"), (F.col("id") * 7 + 12345).alias("v"))).groupBy("i", "j").agg((F.sum("v") % P).alias("v"))
+
+
+def lu_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A matrix with absent cells in four forms."""
+    m = _balances(spark, sf_dir)
+    small = m.where("i < 40")
+    made = {
+        "fold": eliminate.eliminate_fold(small, 40, 25), "halves": eliminate.eliminate_by_halves(m, 60, 25, leaf=4), "strip": eliminate.eliminate_strip(m, 60, 25, block_bytes=2048),
+        "tiles": eliminate.eliminate_tiles(m, 60, 25, tile=16), "rows": eliminate.eliminate_by_rows(small.where("j < 12"), 40, 12),
+    }
+    parts = [df.withColumn("form", F.lit(name)) for name, df in made.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4])
+
+
+def lu_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of matrices that cannot be eliminated: the pivot that fails, by size of the matrix."""
+    rows = []
+    for n in (3, 70, 1100):
+        m = matrices.cells(spark, n, 3).where(f"i = {n - 1} and j = 1 or i = 0").select("i", "j", (F.col("j") + 1).alias("v"))
+        rows.append(eliminate.eliminate_with_status(m, n, 3).select(F.lit(n).cast("long").alias("rows"), "singular_at").distinct())
+    return rows[0].union(rows[1]).union(rows[2])
+
+
 def lu_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliminate.eliminate_by_rows(_buckets(spark, sf_dir, 12, 12), 12, 12)
 
@@ -217,6 +245,29 @@ def bench_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchlog.path_parameters(spark.createDataFrame([("bench-mat-gep-1000-1000-64-x",), ("bench-mat-gep-inc-100-100-32-x",)], "path string"))
 
 
+def bench_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = benchlog.rates(_records(spark), 4096, 4096, 43)
+    return made.withColumn("ratio", F.round("ratio", 9)).withColumn("tiled_rate", F.round("tiled_rate", 9))
+
+
+def bench_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs written as text, read back by a pattern of names and parsed file by file."""
+    folder = fresh_path(spark, "logs")
+    for name, first in (("one", 0), ("two", 3)):
+        path = f"{folder}/bench-{name}.res"
+        logs.start_log(spark, path, [1000, 1000], [1, 2, 4])
+        for report in REPORTS[first:]:
+            logs.append_report(spark, path, logs.format_report(*report))
+    lines = logs.read_log(spark, f"{folder}/bench-*.res").withColumn("file", F.substring_index("file", "/", -1))
+    return benchlog.parse(lines, LOG_METHODS).join(F.broadcast(logs.header(lines).select("file", F.col("dims")[0].alias("size"), F.size("threads").alias("settings"))), "file")  # a row a file
+
+
+def tile_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles down and across for sizes and cache sizes."""
+    rows = [(m, n, level1, *field.tile_counts(m, n, field.cache_tile(level1)), field.cache_tile(level1)) for m, n in ((2000, 2000), (4096, 100)) for level1 in (32768, 49152, 65536)]
+    return spark.createDataFrame(rows, "rows long, columns long, level1 long, down long, across long, tile long")
+
+
 def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_matrix(spark, "multiply", 1, 16)
 
@@ -261,6 +312,22 @@ def _product(a: str, b: str, mod: int, on: str = "true") -> str:
     return f"WITH a AS ({a}), b AS ({b}) SELECT a.i AS i, b.i AS j, CAST(sum(CAST(a.v AS HUGEINT) * b.v) % {mod} AS BIGINT) AS v FROM a JOIN b ON a.j = b.j AND {on} GROUP BY a.i, b.i"
 
 
+def _random(seed: int) -> str:
+    x = f"((i * 1664525 + j * 22695477 + {seed * 40503 + 12345}) % {matrices.MODULUS})"
+    for m in matrices.MULTIPLIERS:
+        x = f"(xor({x}, {x} >> 15) % {matrices.MODULUS} * {m} % {matrices.MODULUS})"
+    return x
+
+
+def _sparse(form: str, rows: int, columns: int, pivots: int) -> str:
+    return f"SELECT *, '{form}' AS form FROM ({_lu(_BALANCES.format(rows=rows, columns=columns), str(pivots))})"
+
+
+_BALANCES = f"""
+  SELECT a.i, b.j, coalesce(c.v, 0) AS v FROM range({{rows}}) a(i) CROSS JOIN range({{columns}}) b(j) LEFT JOIN (
+    SELECT i, j, CAST(sum(v) % {P} AS BIGINT) AS v FROM (
+      SELECT c_custkey % 60 AS i, c_nationkey AS j, CAST(sum((CAST(floor(c_acctbal) AS BIGINT) % {P} + {P}) % {P}) % {P} AS BIGINT) AS v FROM customer GROUP BY 1, 2
+      UNION ALL SELECT i, i, i * 7 + 12345 FROM range(25) d(i)) GROUP BY i, j) c ON c.i = a.i AND c.j = b.j"""
 _INCIDENCE = f"SELECT l_suppkey AS i, l_partkey AS j, CAST(sum(CAST(l_quantity AS BIGINT)) % {P} AS BIGINT) AS v FROM lineitem GROUP BY 1, 2"
 _METHODS_SQL = ", ".join(f"('{m}')" for m in runs.METHODS["multiply"])
 
@@ -268,8 +335,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         gram_matrix, gram_rows, gram_u32, gram_u32_cells, cross_product, mat_transpose, mat_deterministic, mat_padded, mat_random, mat_tiles, neg_inverse_table,
-        lu_packed_12, lu_upper_12, lu_rows, lu_fold, lu_halves, lu_moments, lu_any_size, lu_wide, lu_tall, lu_per_label, check_mismatch, check_identity,
-        elimination_work, bench_records, bench_header, bench_series, speedup_global, speedup_own, bench_throughput, bench_paths, bench_runs, bench_sizes,
+        lu_packed_12, lu_upper_12, lu_rows, lu_fold, lu_halves, lu_moments, lu_any_size, lu_wide, lu_tall, lu_per_label, lu_sparse, lu_status, check_mismatch, check_identity,
+        elimination_work, bench_records, bench_header, bench_series, speedup_global, speedup_own, bench_throughput, bench_rates, bench_files, tile_plans, bench_paths, bench_runs, bench_sizes,
     )
 }
 ORACLES = {
@@ -281,7 +348,7 @@ ORACLES = {
     "mat_transpose": f"SELECT j AS i, i AS j, v FROM ({_VECTORS})",
     "mat_deterministic": _DETERMINISTIC.format(l=96, m=80),
     "mat_padded": f"WITH d AS ({_DETERMINISTIC.format(l=50, m=45)}) SELECT a.i, b.j, coalesce(d.v, CASE WHEN a.i = b.j THEN 1 ELSE 0 END) AS v FROM range(64) a(i) CROSS JOIN range(48) b(j) LEFT JOIN d ON d.i = a.i AND d.j = b.j",
-    "mat_random": "SELECT kind, CAST(1200 AS BIGINT) AS cells, true AS low_ok, true AS high_ok FROM (VALUES ('words'), ('small'), ('field')) t(kind)",
+    "mat_random": " UNION ALL ".join(f"SELECT '{kind}' AS kind, i, j, {_random(seed)} % {bound} AS v FROM range(40) a(i), range(30) b(j)" for kind, seed, bound in (("words", 1, 1 << 31), ("small", 2, 20), ("field", 3, P))),
     "mat_tiles": _VECTORS,
     "neg_inverse_table": f"SELECT a, CAST(251 AS BIGINT) AS p, {_inverse('a', '251', ', '.join(bin(249)[2:]))} AS ninv FROM range(1, 251) t(a) UNION ALL SELECT a * 32 + 11, CAST({P} AS BIGINT), {_inverse('(a * 32 + 11)', str(P), _BITS)} FROM range(1, 2001) t(a)",
     "lu_packed_12": _lu(_DETERMINISTIC.format(l=12, m=12), "11"),
@@ -294,6 +361,8 @@ ORACLES = {
     "lu_wide": _lu(f"SELECT j AS i, i AS j, v FROM ({_VECTORS})", "63"),
     "lu_tall": _lu(_VECTORS, "64"),
     "lu_per_label": _lu(_PER_LABEL, "7", select="r AS i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v, CAST(NULL AS BIGINT) AS singular_at", group="label"),
+    "lu_sparse": " UNION ALL ".join([_sparse("fold", 40, 25, 25), _sparse("halves", 60, 25, 25), _sparse("strip", 60, 25, 25), _sparse("tiles", 60, 25, 25), _sparse("rows", 40, 12, 12)]),
+    "lu_status": "SELECT CAST(n AS BIGINT) AS rows, CAST(1 AS BIGINT) AS singular_at FROM (VALUES (3), (70), (1100)) t(n)",
     "check_mismatch": "SELECT CAST(0 AS BIGINT) AS mismatching, CAST(136 AS BIGINT) AS compared",
     "check_identity": "SELECT CAST(0 AS BIGINT) AS mismatching",
     "elimination_work": _WORK,
@@ -303,6 +372,9 @@ ORACLES = {
     "speedup_global": f"SELECT file, method, seq, real_s, round(8.0::DOUBLE / real_s, 9) AS speedup FROM {_LOG_SQL}",
     "speedup_own": f"SELECT file, method, seq, real_s, round(first_value(real_s) OVER (PARTITION BY file, method ORDER BY seq) / real_s, 9) AS speedup FROM {_LOG_SQL}",
     "bench_throughput": f"SELECT file, method, seq, round(2.0::DOUBLE / 3 / real_s, 9) AS rate FROM {_LOG_SQL}",
+    "bench_rates": f"SELECT file, method, seq, round(cpu_s / real_s, 9) AS ratio, round(2.0::DOUBLE * 4096 * 4096 * 43 / 9 / 1e6 / real_s, 9) AS tiled_rate FROM {_LOG_SQL}",
+    "bench_files": f"SELECT 'bench-one.res' AS file, * EXCLUDE (file), CAST(1000 AS BIGINT) AS size, CAST(3 AS INT) AS settings FROM {_LOG_SQL} UNION ALL SELECT 'bench-two.res', * EXCLUDE (file) REPLACE (CAST(row_number() OVER (PARTITION BY method ORDER BY threads) - 1 AS INT) AS seq), 1000, 3 FROM {_LOG_SQL} WHERE threads = 4 OR method = 'Open MP parallel sections'",
+    "tile_plans": "SELECT m AS rows, n AS columns, l AS level1, CAST(ceil(m / t) AS BIGINT) AS down, CAST(ceil(n / t) AS BIGINT) AS across, t AS tile FROM (SELECT m, n, l, CAST(floor(sqrt(l / 24)) AS BIGINT) AS t FROM (VALUES (2000::BIGINT, 2000::BIGINT), (4096, 100)) a(m, n), (VALUES (32768::BIGINT), (49152), (65536)) b(l))",
     "bench_paths": "SELECT path, split_part(path, '-', 4) = 'inc' AS incremental, CAST(split_part(path, '-', CASE WHEN split_part(path, '-', 4) = 'inc' THEN 7 ELSE 6 END) AS BIGINT) AS block FROM (VALUES ('bench-mat-gep-1000-1000-64-x'), ('bench-mat-gep-inc-100-100-32-x')) t(path)",
     "bench_runs": f"SELECT 'Raw sequential' AS method, CAST(1 AS BIGINT) AS threads UNION ALL SELECT method, CAST(2 ** k AS BIGINT) FROM (VALUES {_METHODS_SQL}) t(method), range(5) r(k)",
     "bench_sizes": "SELECT k AS step, 500 + 100 * k AS rows, 400 + 100 * k AS columns FROM range(11) t(k) UNION ALL SELECT k, CAST(500 * 2 ** k AS BIGINT), CAST(400 * 2 ** k AS BIGINT) FROM range(5) t(k)",

@@ -1,7 +1,13 @@
-"""Benchmark logs: text files with a head of two lines and appended run reports."""
+"""Benchmark logs: text files with a head of two lines and appended run reports.
+
+A log holds the reports of one benchmark, a few lines a run, so the driver
+writes it, in whatever store Spark reaches.
+"""
 
 from __future__ import annotations
 
+import posixpath
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +17,7 @@ LINES = "file string, line_no int, line string"
 
 def read_log(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, line_no, line) of each file that ``paths`` (a glob or a list) names, line numbers from 0."""
-    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r?\n$", "").alias("value"))
     return whole.select("file", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
 
 
@@ -27,11 +33,39 @@ def header(lines: DataFrame) -> DataFrame:
 
 
 def format_report(method: str, threads: int, chunk: int, real_s: float, cpu_s: float, gflops: float) -> str:
-    """A run's report as the programs print it."""
+    """A run's report; its labels are fixed values, those that the parser and older logs have."""
     ratio = f"CPU/real time:      {cpu_s / real_s:.2f}\n" if cpu_s > 1e-10 and real_s > 0 else ""
     return f"Method:           {method}\n#Threads:         {threads}\nChunk size:       {chunk}\nReal time:        {real_s} sec\nCPU time:         {cpu_s} sec\n{ratio}GFLOPS/sec:       {gflops}\n"
 
 
+def _store(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, hadoop
+
+
+def start_log(spark: SparkSession, path: str, dims: list[int], threads: list[int]) -> None:
+    """A new log of the two lines that tell sizes and thread counts; an old one is replaced."""
+    _write(spark, path, ", ".join(map(str, dims)) + "\n" + ", ".join(map(str, threads)) + "\n")
+
+
+def append_report(spark: SparkSession, path: str, report: str) -> None:
+    """Add a run's report to a log.  Stores need not know appending: the log is written anew beside it and takes its place."""
+    text = "".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    _write(spark, path, text + report)
+
+
+def _write(spark: SparkSession, path: str, text: str) -> None:
+    store, at, hadoop = _store(spark, path)
+    beside = hadoop.Path(posixpath.join(posixpath.dirname(path), f"_{posixpath.basename(path)}.new"))
+    out = store.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(at, False)
+    if not store.rename(beside, at):
+        raise OSError(f"cannot write {path}")
+
+
 def append_reports(reports: DataFrame, path: str) -> None:
     """Append parsed or measured records to a table of results."""
     reports.write.mode("append").parquet(path)

@@ -18,8 +18,17 @@ def cells(spark: SparkSession, rows: int, columns: int) -> DataFrame:
     return spark.range(rows * columns).select(F.floor(F.col("id") / n).cast("long").alias("i"), (F.col("id") % n).alias("j"))
 
 
+#: Rounds of the generator: multipliers below MODULUS, the least prime above 2**31, so that no product leaves 63 bits.
+MODULUS, MULTIPLIERS = 2147483659, (1103515245, 1597334677, 747796405)
+
+
 def _drawn(seed: int, bound: int) -> Column:
-    return F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(bound).cast("long")).alias("v")
+    """A value below ``bound`` (at most MODULUS) from the cell's index, which must stay below 2**31, and the seed, by multiplication and shifts."""
+    modulus = F.lit(MODULUS).cast("long")
+    x = (F.col("i") * 1664525 + F.col("j") * 22695477 + F.lit(seed * 40503 + 12345).cast("long")) % modulus
+    for m in MULTIPLIERS:
+        x = x.bitwiseXOR(F.shiftright(x, 15)) % modulus * m % modulus
+    return (x % bound).alias("v")
 
 
 def random_words(spark: SparkSession, rows: int, columns: int, seed: int = 0) -> DataFrame:

@@ -63,3 +63,29 @@ def test_runs(spark):
     assert [tuple(r) for r in runs.sweep(spark, 10, 20, 0, 1).orderBy("step").collect()] == [(0, 10, 20), (1, 20, 40)]
     paths = spark.createDataFrame([("b-m-g-inc-1-2-96",), ("b-m-g-1-2-32",)], "path string")
     assert {(r["incremental"], r["block"]) for r in benchlog.path_parameters(paths).collect()} == {(True, 96), (False, 32)}
+
+
+def test_logs_are_written_and_read_back(spark, tmp_path):
+    from fieldloom.operators import benchlog
+    from fieldloom.sources import benchlog as logs
+
+    path = f"file://{tmp_path}/runs/bench.res"
+    logs.start_log(spark, path, [10, 20, 30], [1, 2])
+    for threads, rate in ((1, 0.5), (2, float("inf"))):
+        logs.append_report(spark, path, logs.format_report("Open MP", threads, 4, 2.0 / threads, 1.5, rate))
+    text = (tmp_path / "runs" / "bench.res").read_text().splitlines()
+    assert text[:2] == ["10, 20, 30", "1, 2"] and len(text) == 2 + 2 * 7
+    lines = logs.read_log(spark, f"file://{tmp_path}/runs/*.res")
+    assert logs.header(lines).first().asDict() | {"file": ""} == {"file": "", "dims": [10, 20, 30], "threads": [1, 2]}
+    rows = benchlog.parse(lines, ["Open MP"]).orderBy("seq").collect()
+    assert [(r["threads"], r["chunk"], r["real_s"], r["gflops"]) for r in rows] == [(1, 4, 2.0, 0.5), (2, 4, 1.0, -1.0)]
+    logs.start_log(spark, path, [1], [1])
+    assert logs.read_log(spark, path).count() == 2
+
+
+def test_rates_guard_against_no_time(spark):
+    from fieldloom.operators import benchlog
+
+    records = spark.createDataFrame([("f", "m", 0, 2.0, 1.0), ("f", "m", 1, 2.0, 0.0)], "file string, method string, seq int, real_s double, cpu_s double")
+    rows = benchlog.rates(records, 12, 12, 6).orderBy("seq").collect()
+    assert [r["ratio"] for r in rows] == [0.5, None] and rows[0]["tiled_rate"] == 2 * 12 * 12 * 6 / 9 / 1e6 / 2.0

@@ -194,3 +194,156 @@ def test_mismatches(spark):
     assert verify.compare(a, b, upper_only=False).first()["mismatching"] == 2
     assert [(r["i"], r["j"]) for r in verify.mismatches(a, b).collect()] == [(0, 1)]
     assert verify.compare(a.where("i = 0"), b).first()["mismatching"] == 2
+
+
+def forms(m, rows, columns, p):
+    return {
+        "fold": lambda: eliminate.eliminate_fold(m, rows, columns, p), "halves": lambda: eliminate.eliminate_by_halves(m, rows, columns, p, leaf=2), "rows": lambda: eliminate.eliminate_by_rows(m, rows, columns, p),
+        "tiles1": lambda: eliminate.eliminate_tiles(m, rows, columns, p, tile=1), "tiles2": lambda: eliminate.eliminate_tiles(m, rows, columns, p, tile=2), "tiles8": lambda: eliminate.eliminate_tiles(m, rows, columns, p, tile=8),
+        "strip": lambda: eliminate.eliminate_strip(m, rows, columns, p, block_bytes=32),
+    }
+
+
+def by_rule(a, p):
+    """The packed form by the definition, or the first pivot that is zero and needed."""
+    a = np.array(a, dtype=object) % p
+    for k in range(min(a.shape)):
+        for r in range(k + 1, a.shape[0]):
+            if a[r, k] == 0:
+                continue
+            if a[k, k] == 0:
+                return k
+            m = -a[r, k] * pow(int(a[k, k]), -1, p) % p
+            a[r, k] = m
+            a[r, k + 1 :] = (a[r, k + 1 :] + a[k, k + 1 :] * m) % p
+    return a
+
+
+RULES = {
+    "swap": [[0, 1], [1, 0]], "empty column": [[0, 1], [0, 1]], "empty column, then needed": [[0, 0, 1], [0, 0, 2], [0, 3, 1]], "last pivot": [[1, 2], [2, 4]],
+    "fails late": [[1, 2, 3, 4], [2, 4, 1, 1], [0, 0, 0, 2], [0, 5, 1, 1], [0, 0, 0, 3]], "two fail": [[1, 1, 1, 1], [1, 1, 2, 1], [1, 2, 2, 2], [0, 0, 0, 0], [0, 0, 3, 1]],
+    "sparse": [[3, 0, 0, 1, 0], [0, 0, 0, 0, 0], [1, 0, 2, 0, 0], [0, 0, 0, 5, 0], [0, 0, 4, 0, 6], [0, 0, 0, 0, 0]], "wide": [[0, 0, 1, 5], [0, 2, 0, 0]], "zeros": [[0, 0], [0, 0], [0, 0]],
+}
+
+
+@pytest.mark.parametrize("name", RULES)
+def test_one_rule_in_every_form(spark, name):
+    a, p = np.array(RULES[name]), 7
+    want = by_rule(a, p)
+    for m in (cells(spark, a), cells(spark, a).where("v <> 0")):
+        for form, run in forms(m, *a.shape, p).items():
+            if isinstance(want, int):
+                with pytest.raises(field.SingularMatrixError) as e:
+                    run().collect()
+                assert e.value.pivot == want, form
+            else:
+                assert (dense(run(), *a.shape) == want).all(), form
+    status = eliminate.eliminate_with_status(cells(spark, a).where("v <> 0"), *a.shape, p).collect()
+    assert {r["singular_at"] for r in status} == {want if isinstance(want, int) else None}
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(0, 0), (0, 3), (3, 0)])
+def test_empty_matrices(spark, rows, columns):
+    none = cells(spark, np.zeros((1, 1), int)).where("false")
+    assert all(run().count() == 0 for run in forms(none, rows, columns, 7).values())
+    assert eliminate.eliminate(none, rows, columns).count() == 0
+    assert eliminate.eliminate_groups(none.selectExpr("1 as g", "*"), ["g"]).count() == 0
+    assert multiply.multiply_tiles(none, none, rows, rows, columns).count() == 0 if rows and columns else True
+    assert multiply.multiply_rows(none, none).count() == 0 == multiply.multiply_cells(none, none).count()
+    packed = spark.createDataFrame([([],), ([[]],), (None,)], "m array<array<bigint>>").withColumn("m", eliminate.fold("m")).withColumn("s", eliminate.singular_at("m")).collect()
+    assert [r["m"] for r in packed] == [[], [[]], None] and {r["s"] for r in packed} == {None}
+
+
+def test_forms_with_bounds_say_so(spark):
+    none = cells(spark, [[1]])
+    for run in (eliminate.eliminate_fold, eliminate.eliminate_by_halves, eliminate.eliminate_by_rows, eliminate.eliminate_strip):
+        with pytest.raises(ValueError, match="use eliminate"):
+            run(none, 2000, 2000)
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(40, 9), (9, 40), (25, 25)])
+def test_random_sparse_matrices(spark, rows, columns):
+    rng = np.random.Generator(np.random.PCG64(rows))
+    while True:
+        a = rng.integers(1, 97, (rows, columns)) * (rng.random((rows, columns)) < 0.4)
+        if not isinstance(want := by_rule(a, 97), int):
+            break
+        a[np.arange(min(a.shape)), np.arange(min(a.shape))] = rng.integers(1, 97, min(a.shape))
+        if not isinstance(want := by_rule(a, 97), int):
+            break
+    m = cells(spark, a).where("v <> 0")
+    for form, run in forms(m, rows, columns, 97).items():
+        if form not in ("tiles1", "rows"):
+            assert (dense(run(), rows, columns) == want).all(), form
+
+
+@given(st.integers(1, 7), st.integers(1, 7), st.integers(0, 10**6))
+@settings(max_examples=150, deadline=None)
+def test_kernels_find_the_first_failing_pivot(rows, columns, seed):
+    rng = np.random.Generator(np.random.PCG64(seed))
+    a = rng.integers(0, 3, (rows, columns)) * (rng.random((rows, columns)) < 0.6)
+    want = by_rule(a, 3)
+    for leaf in (1, 2, 32):
+        try:
+            assert (kernels.factor_by_halves(a, 3, leaf=leaf) == want).all()
+        except field.SingularMatrixError as e:
+            assert e.pivot == want
+
+
+@pytest.mark.parametrize(("split", "parts"), [("grid", 1), ("grid", 12), ("grid", 1000), ("rows", 3), ("rows", 1000)])
+def test_products_on_any_grid(spark, split, parts):
+    rng = np.random.Generator(np.random.PCG64(5))
+    a, b = rng.integers(0, P, (11, 6)), rng.integers(0, P, (8, 6))
+    a[3] = b[:, 2] = 0  # absent rows and columns
+    x, y = cells(spark, a).where("v <> 0"), cells(spark, b).where("v <> 0")
+    made = multiply.multiply_tiles(x, y, 11, 8, 6, P, 3, split, parts)
+    assert (dense(made, 11, 8) == np.array(a, dtype=object) @ np.array(b, dtype=object).T % P).all()
+    with pytest.raises(ValueError):
+        multiply.multiply_tiles(x, y, 11, 8, 6, P, 3, "spiral")
+
+
+def test_grids_have_enough_keys_and_no_more_copies_than_blocks():
+    for down, across, inner in ((8, 8, 1), (1, 400, 1), (400, 1, 1), (30, 2, 5), (1, 1, 1)):
+        g, h = multiply.grid_of(down, across, inner, 48, "grid")
+        assert 1 <= g <= down and 1 <= h <= across and g * h * inner >= min(48, down * across * inner) / 2
+
+
+def test_products_of_row_arrays_with_absent_cells(spark):
+    a, b = np.array([[1, 0, 2], [0, 0, 3]]), np.array([[0, 5, 0], [4, 0, 6]])
+    made = multiply.multiply_rows(cells(spark, a).where("v <> 0"), cells(spark, b).where("v <> 0"))
+    assert (dense(made, 2, 2) == a @ b.T).all()
+
+
+def test_engine(spark):
+    from fieldloom.engine import MatrixEngine
+
+    engine = MatrixEngine(spark)
+    a = engine.deterministic(12)
+    for strategy in ("auto", "fold", "rows", "halves", "strip", "tiles"):
+        lu = a.eliminate(strategy, 5 if strategy == "tiles" else None)
+        assert (dense(lu.df, 12, 12) == GOLDEN).all()
+    assert lu.check(a.eliminate()).first().asDict() == {"mismatching": 0, "compared": 78}
+    assert lu.rebuilt().check(a, upper_only=False).first()["mismatching"] == 0
+    b = engine.random(5, 12, seed=2)
+    products = [a.multiply_t(b, s, **({"tile": 4} if s == "tiles" else {})) for s in ("tiles", "rows", "cells")]
+    assert products[0].rows == 12 and products[0].columns == 5
+    assert products[0].check(products[1], upper_only=False).first()["mismatching"] == 0 == products[0].check(products[2], upper_only=False).first()["mismatching"]
+    assert (b.transpose().rows, a.padded(8).columns, engine.zeros(2, 3).df.count()) == (12, 16, 6)
+    assert engine.random(4, 4, p=None).df.selectExpr("max(v) >= 65536").first()[0]
+    table = spark.createDataFrame([(0, 1, 2), (0, 1, 3), (1, 0, 4)], "r long, c long, x long")
+    assert sorted(tuple(r) for r in engine.from_table(table, "r", "c", "x", 2, 2).df.collect()) == [(0, 1, 5), (1, 0, 4)]
+    for call in (lambda: a.multiply_t(engine.zeros(2, 3)), lambda: a.eliminate("magic"), lambda: a.multiply_t(a, "magic"), lambda: engine.random(2, 2, p=None).eliminate()):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_cuts_are_dropped(spark):
+    from fieldloom.plans.cuts import cut, drop_cuts, made_so_far
+
+    before = made_so_far(spark)
+    a = cut(spark.range(3), "a")
+    b = cut(a.selectExpr("id + 1 as id"), "b")
+    drop_cuts(spark, before, keep=b)
+    assert sorted(r["id"] for r in b.collect()) == [1, 2, 3]
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(a.inputFiles()[0])
