@@ -19,7 +19,7 @@ from fieldloom.sources import matrices
 
 #: Sizes where none are given, as the command line's: products, elimination by rows or halves, elimination by tiles, and the edge of its tiles.
 PRODUCT_EDGE, ELIMINATION_EDGE, TILED_EDGE, TILE = 2000, 2000, 4096, 96
-STRATEGIES = ("auto", "fold", "rows", "halves", "strip", "tiles")
+STRATEGIES = ("auto", "driver", "fold", "rows", "halves", "strip", "tiles")
 
 
 @dataclass(frozen=True)
@@ -62,7 +62,7 @@ class Matrix:
         elif strategy == "halves":
             made = eliminate.eliminate_by_halves(*shape, tile or 32)
         else:
-            forms = {"auto": eliminate.eliminate, "fold": eliminate.eliminate_fold, "rows": eliminate.eliminate_by_rows, "strip": eliminate.eliminate_strip}
+            forms = {"auto": eliminate.eliminate, "driver": eliminate.eliminate_on_driver, "fold": eliminate.eliminate_fold, "rows": eliminate.eliminate_by_rows, "strip": eliminate.eliminate_strip}
             made = forms[strategy](*shape)
         return replace(self, df=made)
 

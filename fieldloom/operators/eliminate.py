@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ from fieldloom.operators import kernels
 from fieldloom.operators.layout import TileMatrix, from_rows, to_rows
 from fieldloom.plans.cuts import cut
 
-#: Edges up to which a matrix is folded within one row, factored within one task, and up to which its shorter side makes it a strip.
+#: Edges up to which a matrix is folded within one row or gathered, factored within one task, and up to which its shorter side makes it a strip.
 FOLD_EDGE, TASK_EDGE, STRIP_EDGE = 48, 1024, 1024
 #: Least and greatest edge of a tile (32 MiB a tile), the block steps aimed at, bytes of a strip's blocks, and pivots that a pass each is allowed for.
 SMALLEST_TILE, LARGEST_TILE, STEPS, BLOCK_BYTES, MOST_PASSES = 64, 2048, 12, 4 << 20, 256
@@ -263,11 +264,26 @@ def eliminate_by_halves(matrix: DataFrame, rows: int, columns: int, p: int = PRI
     return TileMatrix(made, rows, columns, rows, columns).cells()
 
 
+def eliminate_on_driver(matrix: DataFrame, rows: int, columns: int, p: int = PRIME) -> DataFrame:
+    """One small matrix (edges up to FOLD_EDGE, so 2,304 cells at most), gathered and factored without a shuffle."""
+    check_prime(p)
+    if max(rows, columns) > FOLD_EDGE:
+        raise ValueError(f"a matrix of {rows} x {columns} is too large to gather; use eliminate")
+    if not rows or not columns:
+        return _no_cells(matrix)
+    held = matrix.select("i", "j", "v").toArrow()
+    a = np.zeros((rows, columns), dtype=np.int64)
+    a[held["i"].to_numpy(), held["j"].to_numpy()] = held["v"].to_numpy()
+    v = kernels.factor_by_halves(a, p)
+    i, j = np.indices(v.shape, dtype=np.int64)
+    return matrix.sparkSession.createDataFrame(pa.table({"i": i.ravel(), "j": j.ravel(), "v": v.ravel()}))
+
+
 def eliminate(matrix: DataFrame, rows: int, columns: int, p: int = PRIME) -> DataFrame:
-    """The packed form by the form that suits the size: one row, one task, a strip or tiles."""
+    """The packed form by the form that suits the size: on the driver, one task, a strip or tiles."""
     check_prime(p)
     if max(rows, columns) <= FOLD_EDGE:
-        return eliminate_fold(matrix, rows, columns, p)
+        return eliminate_on_driver(matrix, rows, columns, p)
     if max(rows, columns) <= TASK_EDGE:
         return eliminate_by_halves(matrix, rows, columns, p)
     return (eliminate_strip if min(rows, columns) <= STRIP_EDGE else eliminate_tiles)(matrix, rows, columns, p)
