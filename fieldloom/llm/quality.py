@@ -150,7 +150,7 @@ def _scores(shared):
 
 
 def with_score(docs: DataFrame, model: NaiveBayesSVM, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of every whole text, null and empty texts included."""
+    """All columns of ``docs`` and the score of every whole text, null and empty texts included, in place of a column of that name; equal texts score alike."""
     return docs.withColumn(name, _scores(docs.sparkSession.sparkContext.broadcast(model))(F.coalesce("text", F.lit(""))))
 
 

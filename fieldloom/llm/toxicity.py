@@ -1,14 +1,17 @@
 """Toxicity by compression distance under two trained zstandard dictionaries.
 
 One dictionary is trained on toxic text, one on ordinary text.  A text is cut
-into windows, here its lower-cased words, and each window is compressed under
-both; the difference of the lengths says which kind of text it resembles.  A
+into windows, here its lower-cased words and the runs of signs between them, so
+that all of it is scored but blanks, and each window is compressed under both;
+the difference of the lengths says which kind of text it resembles.  A
 fixed tail that both dictionaries hold follows every window, since zstandard
 looks for no match in a block's last eight bytes and stores very short blocks
 raw.  The toxic dictionary is trained on windows that toxic texts have markedly
 more often.  Training alternates: windows of ordinary text that it codes better
 go into the ordinary dictionary, and it is trained again on the windows that
-then still stand out.
+then still stand out.  Both are held as plain content: with the entropy tables
+of a trained dictionary, and with windows of several words, held-out texts are
+told apart less well (figures in the README).
 
 How many windows differ by at least each of the thresholds, their number and
 the largest difference give the score through a logistic curve fitted on
@@ -42,14 +45,14 @@ TRAIN_ROWS, TRAIN_BYTES, THRESHOLD = 2500, 24 << 20, 0.5
 #: Bytes saved from which a window counts, at each of several strengths.
 STRENGTHS = (1, 2, 3, 4, 5)
 _TAIL = bytes(np.random.Generator(np.random.PCG64(5)).integers(128, 250, 48, dtype=np.uint8))
-_GAPS = re.compile(rb"[^a-z\x80-\xff]+")
+_PARTS = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
 _WIDTH = 60
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The words of a whole text between spaces; longer words are cut into consecutive windows."""
+    """The words and the runs of other signs of a whole text, each between spaces; longer ones are cut into consecutive windows."""
     out = []
-    for word in _GAPS.sub(b" ", (text or "").lower().encode()).split():
+    for word in _PARTS.findall((text or "").lower().encode()):
         out += [b" %b " % word] if len(word) <= _WIDTH else [b" %b " % word[i : i + _WIDTH] for i in range(0, len(word), _WIDTH)]
     return out
 
@@ -166,7 +169,7 @@ def _scores(shared):
 
 
 def with_score(docs: DataFrame, model: CompressionDistance, name: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score of every whole text, null and empty texts included."""
+    """All columns of ``docs`` and the score of every whole text, null and empty texts included, in place of a column of that name; equal texts score alike."""
     return docs.withColumn(name, _scores(docs.sparkSession.sparkContext.broadcast(model))(F.coalesce("text", F.lit(""))))
 
 

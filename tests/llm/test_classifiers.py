@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from fieldloom.llm import linear_text, quality, toxicity
@@ -101,8 +104,8 @@ def test_logistic_fit_matches_its_gradient():
 
 
 def test_windows_cover_whole_texts():
-    assert toxicity.windows("Ab, c! " + "z" * 150) == [b" ab ", b" c ", b" " + b"z" * 60 + b" ", b" " + b"z" * 60 + b" ", b" " + b"z" * 30 + b" "]
-    assert toxicity.windows(None) == toxicity.windows("12 !!") == []
+    assert toxicity.windows("Ab, c! " + "z" * 150) == [b" ab ", b" , ", b" c ", b" ! ", b" " + b"z" * 60 + b" ", b" " + b"z" * 60 + b" ", b" " + b"z" * 30 + b" "]
+    assert toxicity.windows(None) == toxicity.windows(" \t\n") == [] and toxicity.windows("a1 12!?") == [b" a1 ", b" 12 ", b" !? "]
 
 
 def test_a_text_beyond_the_bound_costs_no_other(spark, make):
@@ -141,3 +144,61 @@ def test_quality_sample_has_its_documented_size(spark, make):
     labels = spark.createDataFrame([(i, i % 2, 0) for i in ids], "doc_id long, quality int, toxic int")
     docs = make([(i, "a" if i % 2 else "b") for i in ids])
     assert labelled_sample(docs, labels, "quality", quality.TRAIN_ROWS, quality.TRAIN_BYTES, most=1 << quality.BITS).count() == 6000
+
+
+def test_toxicity_against_plain_compression():
+    docs, labels = corpus("toxic", n=160)
+    y = np.array([k for _, k in labels])
+    model = toxicity.fit([t for _, t in docs], y, float(y.mean()))
+
+    def length(window, content):  # a fresh compressor for every window
+        held = zstandard.ZstdCompressionDict(content + toxicity._TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held, write_content_size=False, write_dict_id=False).compress(window + toxicity._TAIL))
+
+    for _, text in docs[:12]:
+        parts = [" " + w + " " for w in re.findall(r"[^\W_]+|[^\w\s]+", text.lower())]
+        saved = {w: length(w.encode(), model.ordinary) - length(w.encode(), model.toxic) for w in set(parts)}
+        counts = []
+        for k in toxicity.STRENGTHS:
+            counts += [math.log1p(sum(x >= k for x in saved.values())), math.log1p(sum(saved[w] >= k for w in parts))]
+        z = [*counts, min(9, max(0, *saved.values())), math.log1p(len(parts))]
+        assert model.features(text) == pytest.approx(z)
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-(float(np.dot(model.weights[:-1], z)) + model.weights[-1]))))
+
+
+def test_log_ratios_against_counts():
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = [np.unique(rng.integers(0, 30, 8)) for _ in range(50)]
+    y = rng.integers(0, 2, 50)
+    got = quality.log_ratios(rows, y)
+    for f in range(30):
+        held = [sum(f in r for r, k in zip(rows, y, strict=True) if k == c) for c in (0, 1)]
+        n = [int((y == c).sum()) for c in (0, 1)]
+        assert got[f] == pytest.approx(math.log((held[1] + 1) / (n[1] + 2)) - math.log((held[0] + 1) / (n[0] + 2)))
+    text = "Ab ab ab, éx"
+    grams = {text.encode()[i : i + n] for n in range(1, 5) for i in range(len(text.encode()) - n + 1)}
+    words = text.lower().split()
+    echo = [a == b for a, b in zip(words, words[1:], strict=False)]
+    repeats = {tuple(echo[i : i + n]) for n in range(1, 7) for i in range(len(echo) - n + 1)}
+    assert len(quality.indicators(text)) <= len(grams) + len(repeats) <= len(quality.indicators(text)) + 3  # but for hash collisions
+
+
+def test_dual_optimum_against_projected_gradient():
+    rng = np.random.Generator(np.random.PCG64(2))
+    rows = [np.unique(rng.integers(0, 60, 12)) for _ in range(80)]
+    y = (np.array([r[:3].sum() for r in rows]) + rng.integers(-12, 12, 80) > 25).astype(int)
+    model = quality._descend(rows, y, 1.0, 3000)
+    ratios = quality.log_ratios(rows, y)
+    x = np.zeros((80, 61))
+    for i, r in enumerate(rows):
+        x[i, r] = ratios[r]
+    x[:, 60] = 1.0  # the bias, counted in the norm
+    sign = np.where(y == 1, 1.0, -1.0)
+    q = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha, step = np.zeros(80), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(40_000):
+        alpha = np.clip(alpha - step * (q @ alpha - 1), 0, 1)
+    w = x.T @ (alpha * sign)
+    loss = lambda w: 0.5 * w @ w + np.maximum(0, 1 - sign * (x @ w)).sum()
+    found = np.append(np.divide(model.weights[:60], ratios[:60], out=np.zeros(60), where=ratios[:60] != 0), model.bias)
+    assert loss(found) == pytest.approx(loss(w), rel=1e-3) and loss(found) == pytest.approx(alpha.sum() - 0.5 * alpha @ q @ alpha, rel=1e-3)
