@@ -2,7 +2,12 @@
 
 Each stage gets what its predecessor kept as a DataFrame, and its result is
 written as Parquet and read again before the next.  All but the last return the
-columns of ``documents``; the last returns pieces of windows.
+columns of ``documents``, and other columns besides as they are; the last returns
+pieces of windows.
+
+Null texts count as empty.  An empty table stays empty in every stage.  Rows of a
+null doc_id are documents of their own, subject to quality and exact copies like
+any others; no label and no near copy is known of them.
 """
 
 from __future__ import annotations
@@ -11,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldloom.llm import exact_dedup, mixing, near_dedup, packing, quality
 from fieldloom.llm.common import cut, table
+from fieldloom.plans.cuts import drop_cuts, made_so_far
 
 #: Passes over the most repeated source at most when sources are evened out; every source is used at least once throughout.
 MAX_REPEAT = 1.25
@@ -19,25 +25,35 @@ NEAR_PERCENT = 80
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the classifier's threshold."""
+    """Documents whose quality score reaches the classifier's threshold.
+
+    Equal texts score alike, so repeated rows stay or go together; with labels of
+    one kind alone, or none, all score alike (without any, all stay).
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.with_score(docs, model, "__score").where(f"__score >= {quality.THRESHOLD}").drop("__score")
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text, that of the largest doc_id (ties: any one of them); null and empty texts equal one another."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that of the least doc_id, with all its rows; texts without words all stay."""
     return near_dedup.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Smaller sources repeated towards even shares, as far as MAX_REPEAT allows; no document is left out."""
+    """Smaller sources repeated towards even shares, as far as MAX_REPEAT allows; no document is left out.
+
+    A null source is a source; rows equal in doc_id and text are repeated alike.
+    """
     return mixing.mixture(docs, entropy_share=None, max_repeat=MAX_REPEAT, whole=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of token ids; a repeated row is packed as often as it occurs, an empty text as its end id."""
     return packing.pack(docs)
 
 
@@ -54,8 +70,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; what a stage wrote on its way is deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = made_so_far(spark)
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        drop_cuts(spark, before, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
