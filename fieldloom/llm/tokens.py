@@ -6,7 +6,8 @@ pattern a space belongs to what follows it: a place before a space is a border
 of cuts unless white space stands on both sides of that space.  Texts are
 therefore split at spaces and the pieces numbered by Arrow; each distinct piece
 of a batch is cut once, and the library's model is asked once for each cut that
-is not in the cache.
+is not in the cache.  A cut by itself is cut no further, so that one cache serves
+pieces and cuts.
 """
 
 from __future__ import annotations
@@ -60,17 +61,17 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens") or []]
         self.odd = "|".join([_WHOLE, *map(re.escape, added)])
         self.findall, self.merge = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
-        self.cuts, self.pieces = Memo(self._cut), Memo(self._piece)
+        self.pieces = Memo(self._piece)
 
     def whole(self, text: str) -> bytes:
         """The text in one call of the library."""
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _cut(self, cut: str) -> bytes:
-        return _packed([t.id for t in self.merge(cut.encode().decode("latin-1").translate(self.letters))])
-
     def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.cuts.get, self.findall(piece)))
+        cuts = self.findall(piece)
+        if len(cuts) == 1:
+            return _packed([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))])
+        return b"".join(map(self.pieces.get, cuts))
 
     def encode(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of every row of a string column, in order."""

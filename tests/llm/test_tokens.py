@@ -36,7 +36,13 @@ def test_small_cache_gives_the_same(library, monkeypatch):
     texts = odd_texts(300, 5)
     e = tokens.Encoder(tokens.default_vocabulary())
     assert [library(t) for t in texts] == list(e.encode(pa.array(texts)))
-    assert len(e.cuts.young) <= 3 and len(e.pieces.old) <= 3
+    assert len(e.pieces.young) <= 3 and len(e.pieces.old) <= 3
+
+
+def test_a_cut_is_cut_no_further():
+    e = tokens.Encoder(tokens.default_vocabulary())
+    for text in [t for _, t in ODD if t] + odd_texts(2000, 6):
+        assert all(e.findall(c) == [c] for c in e.findall(text))
 
 
 def check_pieces(rows, wanted, window):
