@@ -9,8 +9,8 @@ GENERATION, LONGEST = 300_000, 64
 class Memo:
     """Values by key for at most two generations; what is asked for again moves to the younger."""
 
-    def __init__(self, make):
-        self.make, self.young, self.old = make, {}, {}
+    def __init__(self, make, generation: int | None = None):
+        self.make, self.generation, self.young, self.old = make, generation or GENERATION, {}, {}
 
     def get(self, key):
         found = self.young.get(key)
@@ -19,7 +19,7 @@ class Memo:
             if found is None:
                 found = self.make(key)
             if len(key) <= LONGEST:
-                if len(self.young) >= GENERATION:
+                if len(self.young) >= self.generation:
                     self.old, self.young = self.young, {}
                 self.young[key] = found
         return found

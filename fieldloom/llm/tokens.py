@@ -34,6 +34,8 @@ _WHOLE = (
 )
 #: Bytes of text that one split covers at least, unless fewer are left.
 _SPLIT = 1 << 23
+#: Entries of a generation of the cache; they bound a worker's memory, not the result.
+CACHED = 450_000
 
 def _byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where printable, else the next from U+0100."""
@@ -61,7 +63,7 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens") or []]
         self.odd = "|".join([_WHOLE, *map(re.escape, added)])
         self.findall, self.merge = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
-        self.pieces = Memo(self._piece)
+        self.pieces = Memo(self._piece, CACHED)
 
     def whole(self, text: str) -> bytes:
         """The text in one call of the library."""

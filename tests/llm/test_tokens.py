@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fieldloom.llm import memo, packing, token_files, tokens
+from fieldloom.llm import packing, token_files, tokens
 from fieldloom.llm.common import fresh_path
 from tests.llm.conftest import ODD
 
@@ -32,7 +32,7 @@ def test_ids_are_the_library_s(library):
 
 
 def test_small_cache_gives_the_same(library, monkeypatch):
-    monkeypatch.setattr(memo, "GENERATION", 3)
+    monkeypatch.setattr(tokens, "CACHED", 3)
     texts = odd_texts(300, 5)
     e = tokens.Encoder(tokens.default_vocabulary())
     assert [library(t) for t in texts] == list(e.encode(pa.array(texts)))
