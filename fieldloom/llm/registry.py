@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import exact_dedup, media, mixing, near_dedup, packing, quality, surrogates, token_files, toxicity, warc, whitening
+from fieldloom.llm import exact_dedup, media, mixing, near_dedup, packing, quality, secret_scan, surrogates, token_files, toxicity, warc, whitening
 
-_MODULES = (near_dedup, toxicity, exact_dedup, media, mixing, warc, surrogates, quality, packing, token_files, whitening)
+_MODULES = (near_dedup, toxicity, exact_dedup, media, mixing, warc, surrogates, quality, packing, token_files, whitening, secret_scan)
 
 
 def queries() -> dict:
