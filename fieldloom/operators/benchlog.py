@@ -60,10 +60,12 @@ def series(records: DataFrame) -> DataFrame:
     return records.groupBy("file", "method").agg(ordered.alias("s")).select("file", "method", F.col("s.real_s").alias("times"), F.col("s.gflops").alias("rates"))
 
 
-def speedup_global(records: DataFrame) -> DataFrame:
-    """``speedup`` over the least first time of any method (and file)."""
-    base = records.where("seq = 0").agg(F.min("real_s").alias("base"))
-    return records.join(F.broadcast(base)).select("file", "method", "seq", "real_s", (F.col("base") / F.col("real_s")).alias("speedup"))  # one row
+def speedup_global(records: DataFrame, per_file: bool = False) -> DataFrame:
+    """``speedup`` over the least first time of any method, of all files or ``per_file``."""
+    keys = ["file"] if per_file else []
+    base = records.where("seq = 0").groupBy(*keys).agg(F.min("real_s").alias("base"))
+    both = records.join(base, keys) if per_file else records.join(F.broadcast(base))  # one row
+    return both.select("file", "method", "seq", "real_s", (F.col("base") / F.col("real_s")).alias("speedup"))
 
 
 def speedup_own(records: DataFrame) -> DataFrame:
@@ -72,6 +74,17 @@ def speedup_own(records: DataFrame) -> DataFrame:
     return records.select("file", "method", "seq", "real_s", (base / F.col("real_s")).alias("speedup"))
 
 
+def with_speedups(records: DataFrame, n: int) -> DataFrame:
+    """``records`` with speedup_global (over the file's least first time), speedup_own and ``rate`` of eliminating an n x n matrix.
+
+    Both baselines in one pass; a file's records meet in one task, so a file
+    should be one report, not a table of raw events.
+    """
+    file, own = Window.partitionBy("file"), Window.partitionBy("file", "method").orderBy("seq")
+    base = F.min(F.when(F.col("seq") == 0, F.col("real_s"))).over(file)
+    return records.withColumns({"speedup_global": base / F.col("real_s"), "speedup_own": F.first("real_s").over(own) / F.col("real_s"), "rate": F.lit(2.0 * n**3 / 3e9) / F.col("real_s")})
+
+
 def throughput(records: DataFrame, n: int) -> DataFrame:
     """Rates recomputed as 2/3 n**3 operations, in billions a second."""
     return records.select("file", "method", "seq", (F.lit(2.0 * n**3 / 3e9) / F.col("real_s")).alias("rate"))

@@ -59,14 +59,14 @@ def _no_cells(matrix: DataFrame) -> DataFrame:
 def eliminate_groups(matrix: DataFrame, keys: list[str], p: int = PRIME) -> DataFrame:
     """Factor one small matrix per group: rows keys, i, j, v of the packed forms and singular_at, the first zero pivot.
 
-    A group's matrix is as large as its greatest i and j say.
+    A group's matrix is as large as its greatest i and j say; null keys equal one
+    another.  Rows that are whole or absent need no join to be filled.
     """
-    sizes = matrix.groupBy(*keys).agg(F.max("i").alias("last_i"), F.max("j").alias("last_j"))
-    cells = matrix.select(*keys, "i", F.struct("j", "v").alias("c"))
-    every = sizes.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), "last_i")).alias("i"), F.lit(None).cast(cells.schema["c"].dataType).alias("c"))
-    rows = cells.unionByName(every).groupBy(*keys, "i").agg(F.array_sort(F.collect_list("c")).alias("c")).join(sizes, keys)
-    filled = F.expr("if(size(c) = last_j + 1, c.v, transform(sequence(0L, last_j), j -> coalesce(element_at(map_from_entries(c), j), 0L)))")
-    whole = rows.withColumn("row", filled).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "row")))["row"].alias("m"))
+    rows = matrix.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("c"))
+    held = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("rows"), F.max("i").alias("last_i"), F.max(F.col("c")[F.size("c") - 1]["j"]).alias("last_j"))
+    filled = """transform(sequence(0L, last_i), i -> transform(array(coalesce(element_at(rows, i), array())), c ->
+        if(size(c) = last_j + 1, c.v, transform(sequence(0L, last_j), j -> coalesce(element_at(map_from_entries(c), j), 0L))))[0])"""
+    whole = held.select(*keys, F.expr(filled).alias("m"))
     packed = whole.withColumn("m", fold("m", p)).withColumn("singular_at", singular_at("m"))
     by_row = packed.select(*keys, "singular_at", F.posexplode("m").alias("i", "row"))
     return by_row.select(*keys, F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "v"), "singular_at").select(*keys, "i", F.col("j").cast("long").alias("j"), "v", "singular_at")

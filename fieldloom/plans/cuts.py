@@ -28,9 +28,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, deleted when the session's JVM ends; runs never reuse one another's."""
+def fresh_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below the shared folder, deleted when the session's JVM ends unless it is to ``keep``; runs never reuse one another's."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if keep:
+        return path
     store, at = _store(spark, path)
     store.deleteOnExit(at)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)

@@ -287,7 +287,7 @@ def _inverse(a: str, p: str, bits: str) -> str:
     return f"{p} - list_reduce(list_prepend(CAST(1 AS BIGINT), [{bits}]::BIGINT[]), lambda s, b: s * s % {p} * (CASE WHEN b = 1 THEN {a} % {p} ELSE 1 END) % {p})"
 
 
-def _lu(cells: str, pivots: str, where: str = "true", select: str = "r AS i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v", group: str = "") -> str:
+def elimination_sql(cells: str, pivots: str, where: str = "true", select: str = "r AS i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v", group: str = "") -> str:
     """SQL: the packed form of a cells query, one step a recursion; ``group``: a column that keeps matrices apart."""
     g, over = (f"{group}, ", f"PARTITION BY {group}") if group else ("", "")
     return f"""
@@ -320,7 +320,7 @@ def _random(seed: int) -> str:
 
 
 def _sparse(form: str, rows: int, columns: int, pivots: int) -> str:
-    return f"SELECT *, '{form}' AS form FROM ({_lu(_BALANCES.format(rows=rows, columns=columns), str(pivots))})"
+    return f"SELECT *, '{form}' AS form FROM ({elimination_sql(_BALANCES.format(rows=rows, columns=columns), str(pivots))})"
 
 
 _BALANCES = f"""
@@ -351,16 +351,16 @@ ORACLES = {
     "mat_random": " UNION ALL ".join(f"SELECT '{kind}' AS kind, i, j, {_random(seed)} % {bound} AS v FROM range(40) a(i), range(30) b(j)" for kind, seed, bound in (("words", 1, 1 << 31), ("small", 2, 20), ("field", 3, P))),
     "mat_tiles": _VECTORS,
     "neg_inverse_table": f"SELECT a, CAST(251 AS BIGINT) AS p, {_inverse('a', '251', ', '.join(bin(249)[2:]))} AS ninv FROM range(1, 251) t(a) UNION ALL SELECT a * 32 + 11, CAST({P} AS BIGINT), {_inverse('(a * 32 + 11)', str(P), _BITS)} FROM range(1, 2001) t(a)",
-    "lu_packed_12": _lu(_DETERMINISTIC.format(l=12, m=12), "11"),
-    "lu_upper_12": _lu(_DETERMINISTIC.format(l=12, m=12), "11", "k - 1 >= r"),
-    "lu_rows": _lu(_BUCKETS.format(r=12, c=12), "11"),
-    "lu_fold": _lu(_BUCKETS.format(r=16, c=16), "15"),
-    "lu_halves": _lu(_MOMENTS, "63"),
-    "lu_moments": _lu(_MOMENTS, "63"),
-    "lu_any_size": f"SELECT *, 'vectors' AS part FROM ({_lu(_VECTORS, '64')}) UNION ALL SELECT *, 'buckets' AS part FROM ({_lu(_BUCKETS.format(r=12, c=16), '11')})",
-    "lu_wide": _lu(f"SELECT j AS i, i AS j, v FROM ({_VECTORS})", "63"),
-    "lu_tall": _lu(_VECTORS, "64"),
-    "lu_per_label": _lu(_PER_LABEL, "7", select="r AS i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v, CAST(NULL AS BIGINT) AS singular_at", group="label"),
+    "lu_packed_12": elimination_sql(_DETERMINISTIC.format(l=12, m=12), "11"),
+    "lu_upper_12": elimination_sql(_DETERMINISTIC.format(l=12, m=12), "11", "k - 1 >= r"),
+    "lu_rows": elimination_sql(_BUCKETS.format(r=12, c=12), "11"),
+    "lu_fold": elimination_sql(_BUCKETS.format(r=16, c=16), "15"),
+    "lu_halves": elimination_sql(_MOMENTS, "63"),
+    "lu_moments": elimination_sql(_MOMENTS, "63"),
+    "lu_any_size": f"SELECT *, 'vectors' AS part FROM ({elimination_sql(_VECTORS, '64')}) UNION ALL SELECT *, 'buckets' AS part FROM ({elimination_sql(_BUCKETS.format(r=12, c=16), '11')})",
+    "lu_wide": elimination_sql(f"SELECT j AS i, i AS j, v FROM ({_VECTORS})", "63"),
+    "lu_tall": elimination_sql(_VECTORS, "64"),
+    "lu_per_label": elimination_sql(_PER_LABEL, "7", select="r AS i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v, CAST(NULL AS BIGINT) AS singular_at", group="label"),
     "lu_sparse": " UNION ALL ".join([_sparse("fold", 40, 25, 25), _sparse("halves", 60, 25, 25), _sparse("strip", 60, 25, 25), _sparse("tiles", 60, 25, 25), _sparse("rows", 40, 12, 12)]),
     "lu_status": "SELECT CAST(n AS BIGINT) AS rows, CAST(1 AS BIGINT) AS singular_at FROM (VALUES (3), (70), (1100)) t(n)",
     "check_mismatch": "SELECT CAST(0 AS BIGINT) AS mismatching, CAST(136 AS BIGINT) AS compared",
