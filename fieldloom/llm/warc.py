@@ -14,6 +14,11 @@ successor's successor, and so on) until each candidate knows where its chain
 leaves the block; the blocks' exits are then followed from the file's start,
 again by pointer jumping over the table of block entries, and only candidates
 that are reachable this way are records.
+
+A chain that ends before its file does has met damage.  Reading then goes on at
+the next candidate whose own chain ends well, at the end of the file or at what
+begins like a record but is none (the next damage); bytes that no record covers
+are reported in rows of type ``damaged``, never passed over.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldloom.llm.common import cut, fresh_path, table
@@ -135,6 +140,12 @@ class _Reader:
         files, at = open_store(uri)
         self.file = files.open_input_file(at)
 
+    def __enter__(self) -> _Reader:
+        return self
+
+    def __exit__(self, *fault) -> None:
+        self.file.close()
+
     def read(self, at: int, n: int) -> bytes:
         return self.file.read_at(n, at)
 
@@ -150,33 +161,34 @@ class _Reader:
             size *= 4
 
 
-def block_candidates(read: _Reader, begin: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets in [begin, end) where a record may begin, and the offset that must follow each (``size`` at the end)."""
+def block_candidates(read: _Reader, begin: int, end: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets in [begin, end) where a record may begin, the offset that must follow each (``size`` at the end), and those that only begin like one."""
     lead = 1 if begin else 0
     data = read.read(begin - lead, end - begin + lead + len(VERSION) + 2)
-    offsets, follows = [], []
+    offsets, follows, broken = [], [], []
     for m in _START.finditer(data):
         at = begin - lead + m.start()
         if not begin <= at < end or (begin and m.start() == 0):
             continue
         head = read.header(at)
-        if head is None:
-            continue
-        next_at = head[1] + int(head[0]["content-length"]) + 4
+        next_at = size + 1 if head is None else head[1] + int(head[0]["content-length"]) + 4
         if next_at <= size and read.read(next_at - 4, 4) == b"\r\n\r\n":
             offsets.append(at)
             follows.append(next_at)
-    return np.array(offsets, np.int64), np.array(follows, np.int64)
+        else:
+            broken.append(at)
+    return np.array(offsets, np.int64), np.array(follows, np.int64), np.array(broken, np.int64)
 
 
-def exits(offsets: np.ndarray, follows: np.ndarray, end: int) -> np.ndarray:
-    """Where each candidate's chain first leaves [.., end), or -1 where it breaks; by pointer jumping."""
-    at = np.minimum(np.searchsorted(offsets, follows), max(0, len(offsets) - 1))
-    inside = follows < end
-    linked = inside & (offsets[at] == follows) if len(offsets) else inside
-    out = np.where(inside & ~linked, -1, follows)
-    jump = np.where(linked, at, np.arange(len(offsets)))
-    for _ in range(max(1, int(len(offsets)).bit_length())):
+def exits(offsets: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Where each candidate's chain first comes to what is no candidate of the block: beyond it, or where it breaks; by pointer jumping."""
+    n = len(offsets)
+    if not n:
+        return follows
+    at = np.minimum(np.searchsorted(offsets, follows), n - 1)
+    linked = offsets[at] == follows
+    out, jump = follows, np.where(linked, at, np.arange(n))
+    for _ in range(max(1, n.bit_length())):
         out, jump = out[jump], jump[jump]
     return out
 
@@ -198,68 +210,120 @@ def reached(offsets: np.ndarray, follows: np.ndarray, entry: int) -> np.ndarray:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for file, size, begin, end in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            offsets, follows = block_candidates(_Reader(file), begin, end, size)
-            columns = [pa.array([file] * len(offsets), pa.string()), pa.array(offsets), pa.array(exits(offsets, follows, end))]
+            with _Reader(file) as read:
+                offsets, follows, broken = block_candidates(read, begin, end, size)
+            leave = pa.concat_arrays([pa.array(exits(offsets, follows)), pa.nulls(len(broken), pa.int64())])
+            columns = [pa.array([file] * len(leave), pa.string()), pa.array(np.concatenate([offsets, broken])), leave]
             yield pa.RecordBatch.from_arrays(columns, ["file", "offset", "exit"])
 
 
 @tidy
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for file, size, begin, end, entry in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-            read = _Reader(file)
-            offsets, follows = block_candidates(read, begin, end, size)
-            rows = []
-            for at in offsets[reached(offsets, follows, entry)].tolist():
-                fields, body = read.header(at)
-                payload = read.read(body, int(fields["content-length"]))
-                said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-                whole = fields.get("warc-type") != "revisit"
-                number = lambda name: int(fields[name]) if name in fields else None
-                rows.append({
-                    "page_id": number("warc-x-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"),
-                    "payload_bytes": len(payload) if whole else number("warc-x-payload-length"), "payload_digest": payload_digest(payload) if whole else said,
-                    "intact": not whole or payload_digest(payload) == said, "refers_to": number("warc-x-refers-to-page"), "payload": payload if whole else None,
-                })
-                if len(rows) == 64:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
-                    rows = []
-            yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+        for file, size, begin, end, entries in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            with _Reader(file) as read:
+                offsets, follows, _ = block_candidates(read, begin, end, size)
+                rows = []
+                for at in offsets[np.logical_or.reduce([reached(offsets, follows, entry) for entry in entries])].tolist():
+                    fields, body = read.header(at)
+                    payload = read.read(body, int(fields["content-length"]))
+                    said = fields.get("warc-payload-digest", "").removeprefix("sha1:")
+                    whole = fields.get("warc-type") != "revisit"
+                    number = lambda name: int(fields[name]) if fields.get(name, "").isdigit() else None
+                    rows.append({
+                        "page_id": number("warc-x-page-id"), "url": fields.get("warc-target-uri"), "record_type": fields.get("warc-type"),
+                        "payload_bytes": len(payload) if whole else number("warc-x-payload-length"), "payload_digest": payload_digest(payload) if whole else said,
+                        "intact": not whole or payload_digest(payload) == said, "refers_to": number("warc-x-refers-to-page"), "payload": payload if whole else None, "file": file, "offset": at,
+                    })
+                    if len(rows) == 64:
+                        yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
+                        rows = []
+                yield pa.RecordBatch.from_pylist(rows, schema=_RECORD)
 
 
 _RECORD = pa.schema([
-    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
-    ("payload_digest", pa.string()), ("intact", pa.bool_()), ("refers_to", pa.int64()), ("payload", pa.binary()),
+    ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
+    ("intact", pa.bool_()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("file", pa.string()), ("offset", pa.int64()),
 ])
+_RECORD_DDL = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, intact boolean, refers_to long, payload binary, file string, offset long"
+
+
+def _reach(starts: DataFrame, jump: DataFrame) -> DataFrame:
+    """All (file, at) that jumps (file, at, next) lead to from ``starts``, those included; by pointer doubling, so in logarithmically many passes."""
+    entries, count = cut(starts.distinct(), "entries"), -1
+    while True:  # entries so far, and where 1, 2, 4, ... jumps lead
+        more = entries.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
+        grown = cut(entries.union(more).distinct(), "entries")
+        held = entries.count() if count < 0 else count
+        count = grown.count()
+        if count == held:
+            return entries
+        entries = grown
+        onward = jump.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
+        jump = cut(jump.join(onward, ["file", "next"]).select("file", "at", F.col("after").alias("next")), "jumps")
+
+
+def _ends(jump: DataFrame) -> DataFrame:
+    """(file, at, end): where the chain of each position of ``jump`` ends; by pointer doubling."""
+    ends = cut(jump.select("file", "at", F.col("next").alias("end")), "ends")
+    while True:
+        onward = ends.select("file", F.col("at").alias("end"), F.col("end").alias("after"))
+        if ends.join(onward, ["file", "end"], "left_semi").isEmpty():
+            return ends
+        ends = cut(ends.join(onward, ["file", "end"], "left").select("file", "at", F.coalesce("after", "end").alias("end")), "ends")
+
+
+def _resumed(damage: DataFrame, candidates: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Where reading goes on after the first ``damage`` (file, at) of each file: the entries, and (file, begin, end) of what is lost.
+
+    Offsets of a damaged file (a row a record) are sorted in one task; undamaged files have no part in this.
+    """
+    held = cut(candidates.join(damage.select("file").distinct(), "file", "left_semi"), "damaged")
+    sizes = files.select("file", "size").distinct()
+    jump = held.where("exit is not null").select("file", F.col("offset").alias("at"), F.col("exit").alias("next"))
+    ends = _ends(jump)
+    like_records = held.where("exit is null").select("file", F.col("offset").alias("end"), F.lit(True).alias("begun"))
+    sound = ends.join(sizes, "file").join(like_records, ["file", "end"], "left").where("end = size or begun").select("file", "at", "end")
+    stops = damage.union(sound.join(sizes, "file").where("end < size").select("file", F.col("end").alias("at"))).distinct()
+    marked = sound.select("file", "at", "end", F.lit(False).alias("stop")).unionByName(stops.select("file", "at", F.lit(None).cast("long").alias("end"), F.lit(True).alias("stop")))
+    following = F.last(F.when(~F.col("stop"), F.struct("at", "end")), ignorenulls=True).over(Window.partitionBy("file").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1))
+    links = cut(marked.withColumn("then", following).where("stop").select("file", "at", F.col("then")["at"].alias("again"), F.col("then")["end"].alias("next")), "links")
+    met = _reach(damage, links.where("next is not null").select("file", "at", "next"))
+    lost = links.join(met, ["file", "at"]).join(sizes, "file").select("file", F.col("at").alias("begin"), F.coalesce("again", "size").alias("end"), "again")
+    lost = cut(lost, "lost")
+    return _reach(lost.where("again is not null").select("file", F.col("again").alias("at")), jump), lost.drop("again")
 
 
 def read_archives(files: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Records of the files (file, size): page_id, url, record_type, payload_bytes, payload_digest, intact, refers_to, payload.
+    """Records of the files (file, size): page_id, url, record_type, payload_bytes, payload_digest, intact, refers_to, payload, file, offset.
 
     A revisit has its response's payload_bytes and payload_digest and a null
-    payload; ``intact`` says that a response's payload has its digest.
+    payload; ``intact`` says that a response's payload has its digest.  Damaged
+    headers or lengths, cut-off ends and foreign bytes lose the records they are
+    in: each such stretch is a row of type "damaged", not intact, with its offset
+    and its length as payload_bytes.  Empty files have no records.
     """
     blocks = files.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(block).cast("long"))).alias("begin"))
     blocks = cut(blocks.select("file", "size", "begin", F.least(F.col("begin") + block, "size").alias("end")), "blocks")
     parts = max(1, blocks.count())
     candidates = cut(blocks.repartition(parts, "file", "begin").mapInArrow(_scan, "file string, offset long, exit long"), "chains")
     starts = files.where("size > 0").select("file", F.lit(0).cast("long").alias("at"))
-    landing = candidates.select("file", F.col("exit").alias("at")).union(starts).distinct()  # the offsets at which chains enter blocks
-    jump = candidates.where("exit >= 0").select("file", F.col("offset").alias("at"), F.col("exit").alias("next")).join(landing, ["file", "at"], "left_semi")
-    jump = cut(jump, "jumps")
-    entries = cut(starts, "entries")
-    while True:  # entries so far, and where 1, 2, 4, ... jumps lead
-        more = entries.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        grown = cut(entries.union(more).distinct(), "entries")
-        if grown.count() == entries.count():
-            break
-        entries = grown
-        onward = jump.select("file", F.col("at").alias("next"), F.col("next").alias("after"))
-        jump = cut(jump.join(onward, ["file", "next"]).select("file", "at", F.col("after").alias("next")), "jumps")
-    started = blocks.join(entries, "file").where("at >= begin and at < end").select("file", "size", "begin", "end", "at")
-    return started.repartition(parts, "file", "begin").mapInArrow(
-        _records, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, intact boolean, refers_to long, payload binary"
-    )
+    known = candidates.where("exit is not null")
+    landing = known.select("file", F.col("exit").alias("at")).union(starts).distinct()  # the offsets at which chains enter blocks
+    jump = cut(known.select("file", F.col("offset").alias("at"), F.col("exit").alias("next")).join(landing, ["file", "at"], "left_semi"), "jumps")
+    entries = _reach(starts, jump)
+    broken = entries.join(known.select("file", F.col("offset").alias("at")), ["file", "at"], "left_anti").join(files.select("file", "size").distinct(), "file").where("at < size").select("file", "at")
+    broken = cut(broken, "broken")
+    lost = None
+    if not broken.isEmpty():
+        more, lost = _resumed(broken, candidates, files)
+        entries = entries.union(more).distinct()
+    started = blocks.join(entries, "file").where("at >= begin and at < end").groupBy("file", "size", "begin", "end").agg(F.collect_set("at").alias("at"))  # an entry a stretch of records
+    records = started.repartition(parts, "file", "begin").mapInArrow(_records, _RECORD_DDL)
+    if lost is None:
+        return records
+    damaged = {"record_type": F.lit("damaged"), "payload_bytes": F.col("end") - F.col("begin"), "intact": F.lit(False), "file": F.col("file"), "offset": F.col("begin")}
+    return records.unionByName(lost.select(*(damaged.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in records.schema.fields)))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

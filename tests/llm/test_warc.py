@@ -47,9 +47,62 @@ def test_empty_table(spark):
 def test_pointer_jumping():
     offsets, follows = np.array([0, 10, 13, 30, 40]), np.array([10, 30, 31, 40, 70])
     assert warc.reached(offsets, follows, 0).tolist() == [True, True, False, True, True]
-    assert warc.exits(offsets, follows, 50).tolist() == [70, 70, -1, 70, 70]
+    assert warc.exits(offsets, follows).tolist() == [70, 70, 31, 70, 70]
     none = np.array([], np.int64)
-    assert warc.reached(none, none, 0).tolist() == [] and warc.exits(none, none, 5).tolist() == []
+    assert warc.reached(none, none, 0).tolist() == [] and warc.exits(none, none).tolist() == []
+
+
+def damaged(spark, tmp_path, change, many=40, block=1 << 24):
+    """Rows of ``many`` records in one file after ``change`` of its bytes, and the records' offsets."""
+    inner = warc.record(900, "in", b"embedded", warc.payload_digest(b"embedded"), None)
+    bodies = [inner * 2 if k % 7 == 3 else f"page {k} ".encode() * (k + 1) for k in range(many)]
+    parts = [warc.record(k, f"http://a/{k}", b, warc.payload_digest(b), None) for k, b in enumerate(bodies)]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).tolist()
+    data = change(bytearray(b"".join(parts)), at)
+    path = tmp_path / "x.warc"
+    path.write_bytes(bytes(data))
+    files = spark.createDataFrame([(path.as_uri(), len(data))], "file string, size long")
+    rows = warc.read_archives(files, block).collect()
+    return sorted(r["page_id"] for r in rows if r["record_type"] != "damaged"), sorted((r["offset"], r["payload_bytes"]) for r in rows if r["record_type"] == "damaged"), at
+
+
+def another_length(data, at):
+    k = data.index(b"Content-Length: ", at) + 16
+    data[k] = ord("9") if data[k] != ord("9") else ord("8")
+    return data
+
+
+@pytest.mark.parametrize(("block", "which"), [(700, [3, 17, 24]), (1 << 24, [0, 10, 11, 25, 39])])
+def test_damaged_lengths(spark, tmp_path, block, which):
+    def change(data, at):
+        for k in which:
+            another_length(data, at[k])
+        return data
+
+    pages_read, lost, at = damaged(spark, tmp_path, change, block=block)
+    assert pages_read == [k for k in range(40) if k not in which]
+    begins = [k for k in which if k - 1 not in which]
+    assert [b for b, _ in lost] == [at[k] for k in begins] and sum(n for _, n in lost) == sum(at[k + 1] - at[k] for k in which)
+
+
+def test_cut_off_end_and_foreign_bytes(spark, tmp_path):
+    got, lost, at = damaged(spark, tmp_path, lambda data, at: data[: at[39] + 60])
+    assert got == list(range(39)) and lost == [(at[39], 60)]
+    got, lost, at = damaged(spark, tmp_path, lambda data, at: b"garbage\n" + data)
+    assert got == list(range(40)) and lost == [(0, 8)]
+    got, lost, at = damaged(spark, tmp_path, lambda data, at: data[: at[20]] + b"\0" * 499 + b"\n" + data[at[20] :])
+    assert got == list(range(40)) and lost == [(at[20], 500)]
+    got, lost, at = damaged(spark, tmp_path, lambda data, at: b"no archive at all")
+    assert got == [] and lost == [(0, 17)]
+
+
+def test_damage_in_a_payload_is_told_by_its_digest(spark, tmp_path):
+    def change(data, at):
+        data[at[6] - 20] ^= 1
+        return data
+
+    got, lost, _ = damaged(spark, tmp_path, change)
+    assert got == list(range(40)) and lost == []
 
 
 def test_headers():
