@@ -16,6 +16,7 @@ entities never share a surrogate.  Texts are moved only where they mention somet
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +30,8 @@ KEY = "change-me"  # a deployment passes its own secret
 ATTEMPTS = 64
 #: Draws after which a name gets a further syllable, and after which the kinds of ENUMERATED are dealt out exactly.
 LENGTHEN, CLOSED = 4, 8
-#: Kinds whose free values of a format can be listed.
-ENUMERATED = ("ip", "phone", "ssn")
+#: Kinds whose free values of a format can be listed, and how many values a row of the listing stands for.
+ENUMERATED, CHUNK = ("ip", "phone", "ssn"), 65536
 
 #: Titles and given names by gender and script (fixed lists).
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|madame|Mme|Señora|señora|Signora|signora|Госпожа|госпожа"
@@ -54,9 +55,9 @@ _GROUP = "[0-9A-Fa-f]{1,4}"
 #: What a secret's surrogate keeps: the letters that its issuer puts first.
 _ISSUER = "AKIA|(?:sk|ghp|xoxb|xoxp)[-_]"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){0,6}\.\p{L}{2,24}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?!\.)[\p{L}\p{N}.-]*(?<=[\p{L}\p{N}-])\.\p{L}{2,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,120})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|(?:sk|ghp|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "ipv6": rf"(?<![\w:.])(?=[A-Fa-f:]*\d)(?:(?:{_GROUP}:){{7}}{_GROUP}|[0-9A-Fa-f]{{3,4}}(?::{_GROUP}){{0,5}}::{_GROUP}(?::{_GROUP}){{0,5}})(?![\w:])",
     "card": r"(?<!\w)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w)",
@@ -111,17 +112,16 @@ def _syllables(script: str, n: int) -> str:
 
 def _classes(value: str) -> str:
     """SQL: ``value`` with each letter and digit drawn anew within its class: digits, A-Z, other letters."""
-    c, b = f"substr({value}, i, 1)", _byte("i - 1")
+    b = _byte("i")
     return (
-        f"array_join(transform(sequence(1, length({value})), i -> case when {c} rlike '[0-9]' then cast({b} % 10 as string)"
-        f" when {c} rlike '[A-Z]' then chr(65 + {b} % 26) when {c} rlike '\\\\p{{L}}' then chr(97 + {b} % 26) else {c} end), '')"
+        f"array_join(transform(split({value}, ''), (c, i) -> case when c rlike '[0-9]' then cast({b} % 10 as string)"
+        f" when c rlike '[A-Z]' then chr(65 + {b} % 26) when c rlike '\\\\p{{L}}' then chr(97 + {b} % 26) else c end), '')"
     )
 
 
 def _hexes(value: str) -> str:
     """SQL: ``value`` with each of 0-9 and a-f drawn anew."""
-    c = f"substr({value}, i, 1)"
-    return f"array_join(transform(sequence(1, length({value})), i -> if({c} rlike '[0-9a-f]', lower(hex({_byte('i - 1')} % 16)), {c})), '')"
+    return f"array_join(transform(split({value}, ''), (c, i) -> if(c rlike '[0-9a-f]', lower(hex({_byte('i')} % 16)), c)), '')"
 
 
 #: SQL: the start of a private address; of a secret and of a phone number, what stays of it.
@@ -131,6 +131,11 @@ _HEX = "entity rlike '^[0-9a-f]+$'"
 _PREFIX = "if(entity like '+%', if(entity like '+1%', '+1', substr(entity, 1, least(3, length(entity) - 4))), '')"
 
 
+def _ring(key: str, which: str, names: list[str]) -> list[str]:
+    """The names of a list in a keyed order, in which each one's surrogate is the next: a permutation of one cycle, so that a known pair tells no other one."""
+    return sorted((x.lower() for x in names), key=lambda x: hashlib.sha256(f"{key}|{which}|{x}".encode()).digest())
+
+
 def _candidate(key: str) -> F.Column:
     """The surrogate of (kind, entity) in the column ``draw``'s bytes, in canonical form."""
     rest = f"substr(entity, length({_KEPT}) + 1)"
@@ -151,9 +156,9 @@ def _candidate(key: str) -> F.Column:
     iban = f"element_at(transform(array({iban_body}), body -> concat(substr(entity, 1, 2), lpad(cast(98 - {number} as string), 2, '0'), body)), 1)"
     name = "case " + " ".join(
         [
-            f"when kind = 'given-{g}' and array_contains({_array(x.lower() for x in names)}, entity) then "
-            f"element_at({_array(x.lower() for x in names)}, cast(1 + pmod(array_position({_array(x.lower() for x in names)}, entity) + pmod(xxhash64({_text(key)}, '{g}{s}'), {len(names) - 1}L), {len(names)}L) as int))"
+            f"when kind = 'given-{g}' and array_contains({_array(ring)}, entity) then element_at({_array(ring[1:] + ring[:1])}, cast(array_position({_array(ring)}, entity) as int))"
             for (g, s), names in GIVEN.items()
+            for ring in (_ring(key, g + s, names),)
         ]
         + [f"when entity rlike '[а-яё]' then concat({_syllables('cyrillic', 3)}, if(kind = 'surname-f', 'ова', if(kind = 'surname-m', 'ов', '')))", f"else {_syllables('latin', 3)} end"]
     )
@@ -177,6 +182,20 @@ def _shape() -> list[F.Column]:
     return [F.expr(fixed).alias("fixed"), F.expr(width).cast("int").alias("width")]
 
 
+def _ranked(rows: DataFrame, by: list[str], column: str, key: str, name: str) -> DataFrame:
+    """``rows`` with a number from 0 within ``by``, in an order keyed by SHA-256.
+
+    Rows lie in up to 65536 ranges of the hash; numbers within a range go on from
+    the sum of the ranges before it, so that no task sorts a whole format.
+    """
+    hashed = cut(rows.withColumn("__hash", F.sha2(F.concat_ws("|", F.lit(key), "kind", column).cast("binary"), 256)).withColumn("__range", F.substring("__hash", 1, 4)), "hashed")
+    sizes = hashed.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(*by).orderBy("__range").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__n")
+    starts = cut(sizes.withColumn("__before", before).drop("__n"), "starts")
+    within = F.row_number().over(W.partitionBy(*by, "__range").orderBy("__hash", column)) - 1
+    return hashed.join(starts, [*by, "__range"]).withColumn(name, F.col("__before") + within).drop("__hash", "__range", "__before")
+
+
 def _dealt(entities: DataFrame, formats: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """(kind, entity, surrogate) of all entities of some formats, dealt out in keyed order.
 
@@ -185,6 +204,7 @@ def _dealt(entities: DataFrame, formats: DataFrame, done: DataFrame, key: str) -
     suffice (or are not listed), the rest get one another's values, in a circle.
     Drawing in vain so often means that the entities are a good part of the
     format's values, so that listing these costs no more than the entities do.
+    Values are listed in chunks, a row each, and numbered as :func:`_ranked` does.
     """
     by = ["kind", "fixed", "width"]
     members = cut(entities.select("kind", "entity", *_shape()).join(formats, by), "narrow")
@@ -192,20 +212,19 @@ def _dealt(entities: DataFrame, formats: DataFrame, done: DataFrame, key: str) -
         "case when kind = 'ip' then element_at(array(0L, 256L * 254, 65536L * 254, 89L * 65536 * 254), width) when width > 0 then cast(pow(10, width) as bigint) else 0L end"
     ))
     sizes = cut(sizes, "narrow_sizes")
-    most = sizes.agg(F.max("values")).first()[0] or 0
     octets = "concat_ws('.', 11 + id div (254 * 65536L), id div (254 * 256) % 256, id div 254 % 256, 1 + id % 254)"
     value = f"concat(fixed, if(kind = 'ip', substring_index({octets}, '.', -width), lpad(cast(id as string), width, '0')))"
-    free = entities.sparkSession.range(most).join(F.broadcast(sizes), F.expr("id < values")).select(*by, "n", F.expr(value).alias("entity"))
+    chunks = sizes.where("values > 0").select(*by, "values", F.expr(f"explode(sequence(0L, values - 1, {CHUNK}L))").alias("begin")).repartition(*by, "begin")
+    free = chunks.select(*by, F.expr(f"explode(sequence(begin, least(begin + {CHUNK}, values) - 1))").alias("id")).select(*by, F.expr(value).alias("entity"))
     free = free.where((F.col("fixed") == _shape()[0]) & (F.col("width") == _shape()[1])).withColumnRenamed("entity", "surrogate")
     taken = done.join(members, ["kind", "entity"], "left_anti").select("kind", "surrogate").unionByName(members.select("kind", F.col("entity").alias("surrogate")))
-    free = free.join(taken, ["kind", "surrogate"], "left_anti")
-    keyed = lambda c: W.partitionBy(*by).orderBy(F.sha2(F.concat_ws("|", F.lit(key), "kind", c).cast("binary"), 256), c)
-    free = cut(free.withColumn("at", F.row_number().over(keyed("surrogate")) - 1).where("at < n").drop("n"), "free")
+    free = _ranked(free.join(taken, ["kind", "surrogate"], "left_anti"), by, "surrogate", key, "at")
+    free = cut(free.join(sizes.drop("values"), by).where("at < n").drop("n"), "free")
     counts = sizes.join(free.groupBy(*by).agg(F.count(F.lit(1)).alias("free")), by, "left").withColumn("free", F.coalesce("free", F.lit(0)))
     if not counts.where("n = 1 and free = 0").isEmpty():
         raise ValueError("an entity has a format with no other value")
-    counts = counts.withColumn("own", F.expr("if(n - free = 1, n - 2, least(n, free))")).select(*by, "n", "own")  # a circle takes two
-    placed = cut(members.withColumn("place", F.row_number().over(keyed("entity")) - 1).join(F.broadcast(counts), by), "placed")
+    counts = cut(counts.withColumn("own", F.expr("if(n - free = 1, n - 2, least(n, free))")).select(*by, "n", "own"), "quotas")  # a circle takes two
+    placed = cut(_ranked(members, by, "entity", key, "place").join(counts, by), "placed")
     first = placed.where("place < own").withColumn("at", F.col("place")).join(free, [*by, "at"])
     circle = placed.where("place >= own")
     after = circle.withColumn("at", F.expr("own + (place - own + 1) % (n - own)")).join(circle.select(*by, F.col("place").alias("at"), F.col("entity").alias("surrogate")), [*by, "at"])
@@ -284,30 +303,46 @@ def surrogate_table(mentions: DataFrame, key: str) -> DataFrame:
     return one.unionByName(two.select("mention", F.concat("title", F.array_join("words.word", " ")).alias("replacement"), F.lit("person").alias("kind")))
 
 
+#: A name that stands bare; it is a mention where the same text names a person so.
+_BARE = r"(?<!\p{L})\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*+(?!\p{L})"
+
+
+def _bare_names(said: DataFrame, given: DataFrame) -> DataFrame:
+    """(row, length, names): for each text the words of the people it mentions, and their surrogates; titles are no names."""
+    both = said.join(given.where("kind = 'person'"), "mention").select("row", "length", F.explode(F.arrays_zip(F.split("mention", " ").alias("word"), F.split("replacement", " ").alias("new"))).alias("pair"))
+    words = both.select("row", "length", "pair.*").where("word <> new").groupBy("row", "length", "word").agg(F.min("new").alias("new"))
+    return words.groupBy("row", "length").agg(F.map_from_entries(F.collect_list(F.struct("word", "new"))).alias("names"))
+
+
 def with_surrogates(docs: DataFrame, key: str = KEY) -> DataFrame:
     """All columns of ``docs`` with personal data in ``text`` replaced, and ``n_entities``: mentions replaced (in place of such a column).
 
     Null texts stay null, texts without mentions stay as they are, an empty table
     stays empty.  Repeated rows read alike, whatever their doc_id.  Other columns
-    are carried along whatever their names.
+    are carried along whatever their names.  A given name or surname of a person
+    that a text mentions is replaced wherever it stands alone in that text.
 
-    Not found: names without a title or a listed given name, surnames alone,
-    postal addresses, dates of birth, signed numbers of fewer than eight digits,
-    secrets of other issuers shorter than 32 hexadecimal digits.
+    Not found: names without a title or a listed given name (but for such later
+    mentions), postal addresses, dates of birth, signed numbers of fewer than eight
+    digits, secrets of other issuers shorter than 32 hexadecimal digits.
     """
     holds = F.coalesce(_by_hint("text rlike {pattern}"), F.lit(False))
     keyed = docs.select("text", F.struct("*").alias("doc")).withColumn("row", F.xxhash64("text")).withColumn("length", F.length("text"))
     said = cut(keyed.select("row", "length", F.explode(F.array_distinct(mentions())).alias("mention")).distinct(), "said")
     given = cut(surrogate_table(said.select("mention").distinct(), key), "given")
     maps = said.join(given, "mention").groupBy("row", "length").agg(F.map_from_entries(F.collect_list(F.struct("mention", "replacement"))).alias("given"))
-    replaced = keyed.where(holds).join(cut(maps, "maps"), ["row", "length"], "left").withColumn("said", mentions()).withColumn("gaps", _by_hint("split(text, {pattern}, -1)"))
-    parts = F.expr("zip_with(gaps, said, (gap, m) -> concat(gap, coalesce(given[m], m, '')))")
+    maps = cut(maps.join(_bare_names(said, given), ["row", "length"], "left"), "maps")
+    replaced = keyed.where(holds).join(maps, ["row", "length"], "left").withColumn("said", mentions()).withColumn("gaps", _by_hint("split(text, {pattern}, -1)"))
+    bare = _text(_BARE)
+    named = f"array_join(zip_with(split(gap, {bare}, -1), regexp_extract_all(gap, {bare}, 0), (g, w) -> concat(g, coalesce(names[w], w, ''))), '')"
+    replaced = replaced.withColumn("n_bare", F.expr(f"if(names is null, 0, aggregate(gaps, 0, (n, gap) -> n + size(filter(regexp_extract_all(gap, {bare}, 0), w -> names[w] is not null))))"))
+    parts = F.expr(f"zip_with(if(names is null, gaps, transform(gaps, gap -> {named})), said, (gap, m) -> concat(gap, coalesce(given[m], m, '')))")
 
     def out(rows: DataFrame, text: F.Column, n) -> DataFrame:
         return rows.select(*((text if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns if c != "n_entities"), n.cast("long").alias("n_entities"))
 
     clean = out(keyed.where(~holds), F.col("text"), F.lit(0))
-    return clean.unionByName(out(replaced, F.array_join(parts, ""), F.expr("size(filter(said, m -> given[m] is not null))")))
+    return clean.unionByName(out(replaced, F.array_join(parts, ""), F.expr("n_bare + size(filter(said, m -> given[m] is not null))")))
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -205,8 +205,20 @@ def test_against_a_plain_python_version(spark, make):
     said = {m for ms in found for m in ms}
     given = {r["mention"]: r["replacement"] for r in surrogates.surrogate_table(spark.createDataFrame([(m,) for m in said], "mention string"), surrogates.KEY).collect()}
     assert set(given) == said and len({kind_of(m) for m in said}) == 9
+    bare = regex.compile(surrogates._BARE)
     for (i, t), ms in zip(rows, found, strict=True):
-        assert out[i]["n_entities"] == len(ms) and out[i]["text"] == pattern.sub(lambda m: given.get(m[0], m[0]), t)
+        names = {}
+        for m in ms:
+            for word, new in zip(m.split(" "), given[m].split(" "), strict=True) if kind_of(m) == "person" else ():
+                if word != new:
+                    names[word] = min(new, names.get(word, new))
+        want, at, n = [], 0, len(ms)
+        for m in [*pattern.finditer(t), None]:
+            gap = t[at : m.start()] if m else t[at:]
+            n += sum(w in names for w in bare.findall(gap))
+            want += [bare.sub(lambda w, names=names: names.get(w[0], w[0]), gap), given.get(m[0], m[0]) if m else ""]
+            at = m.end() if m else at
+        assert out[i]["n_entities"] == n and out[i]["text"] == "".join(want)
     pairs = {(kind_of(m), plain_entity(kind_of(m), m), plain_entity(kind_of(m), new)) for m, new in given.items() if kind_of(m) != "person"}
     assert len({p[:2] for p in pairs}) == len({(k, s) for k, _, s in pairs}) == len(pairs)
     assert not {p[:2] for p in pairs} & {(k, s) for k, _, s in pairs}
@@ -218,3 +230,41 @@ def test_clashing_names(spark, make):
     docs = make([(1, TEXTS[0]), (2, None)], "doc row length said gaps given draw kind __row mention")
     out = surrogates.with_surrogates(docs)
     assert out.columns == [*docs.columns, "n_entities"] and out.where("doc = 'x' and row = 'x' and given = 'x'").count() == 2
+
+
+def test_nothing_is_too_long_to_be_found(spark, make):
+    body = "aB3dE5gH7jK9" * 13
+    texts = [
+        "sk-" + body[:150], "0123456789abcdef" * 10, "sk-proj-" + body[:90] + "_" + body[:60], "a@b.b.b.b.b.b.b.b.b.com", "x" * 200 + "@example.org", "me@" + "sub." * 3000 + "example.org", "ghp_" + "a1B2" * 50_000,
+        "deadbeef" * 40_000, "a@" + "l" * 100 + ".museum",
+    ]
+    out = {r["doc_id"]: r for r in surrogates.with_surrogates(make([(i, f"see {t}, and") for i, t in enumerate(texts)])).collect()}
+    for i, t in enumerate(texts):
+        assert out[i]["n_entities"] == 1 and out[i]["text"].startswith("see ") and out[i]["text"].endswith(", and")
+        new = out[i]["text"][4:-5]
+        assert new != t and ("@" in t or len(new) == len(t)) and t[8:40] not in new and t[-24:] not in new
+    tame = ["a@b...and so on", "me@host", "@handle.name x", "a@.com"]
+    assert [r["n_entities"] for r in surrogates.with_surrogates(make(list(enumerate(tame)))).collect()] == [0] * 4
+
+
+def test_bare_mentions_in_the_same_text(spark, make):
+    texts = ["John Smith met Anna Schmidt. John said hi to Anna; Smith-Brown, Smith's and Schmidt left. ANNA stayed.", "John said hi to Anna", "Dr. Vera Lopez, Lopez, Dr. Lopez"]
+    out = {r["doc_id"]: r for r in surrogates.with_surrogates(make(list(enumerate(texts)))).collect()}
+    m = re.fullmatch(r"(\w+) (\w+) met (\w+) (\w+)\. (\w+) said hi to (\w+); Smith-Brown, (\w+)'s and (\w+) left\. ANNA stayed\.", out[0]["text"])
+    assert m and m[1] == m[5] != "John" and m[3] == m[6] != "Anna" and m[2] == m[7] != "Smith" and m[4] == m[8] != "Schmidt" and out[0]["n_entities"] == 6
+    assert out[1]["text"] == texts[1]  # nobody is mentioned with a title or surname there
+    assert re.fullmatch(r"Dr\. \w+ (\w+), \1, Dr\. \1", out[2]["text"]) and "Lopez" not in out[2]["text"]
+
+
+def test_given_names_are_permuted_by_the_key():
+    rings = {k: surrogates._ring(k, "flatin", surrogates.GIVEN["f", "latin"]) for k in ("a", "b")}
+    assert sorted(rings["a"]) == sorted(rings["b"]) and rings["a"] != rings["b"]
+    old = sorted(rings["a"])
+    steps = {(old.index(b) - old.index(a)) % len(old) for a, b in zip(rings["a"], rings["a"][1:], strict=False)}
+    assert len(steps) > 10  # no rotation
+
+
+def test_ranks_without_a_window_over_all(spark):
+    rows = spark.range(5000).selectExpr("'ssn' as kind", "cast(id % 2 as string) as fixed", "9 as width", "cast(id as string) as entity")
+    made = surrogates._ranked(rows, ["kind", "fixed", "width"], "entity", "k", "place")
+    assert sorted((r["fixed"], r["place"]) for r in made.collect()) == [(f, k) for f in "01" for k in range(2500)]
