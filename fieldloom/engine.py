@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.functions.field import PRIME, check_prime
-from fieldloom.operators import eliminate, layout, multiply, verify
+from fieldloom.operators import echelon, eliminate, layout, multiply, recursive, verify
 from fieldloom.sources import matrices
 
 #: Sizes where none are given, as the command line's: products, elimination by rows or halves, elimination by tiles, and the edge of its tiles.
 PRODUCT_EDGE, ELIMINATION_EDGE, TILED_EDGE, TILE = 2000, 2000, 4096, 96
-STRATEGIES = ("auto", "driver", "fold", "rows", "halves", "strip", "tiles")
+STRATEGIES = ("auto", "driver", "fold", "rows", "halves", "strip", "tiles", "recursive")
 
 
 @dataclass(frozen=True)
@@ -51,14 +51,14 @@ class Matrix:
         return Matrix(made, self.rows, other.rows, self.p)
 
     def eliminate(self, strategy: str = "auto", tile: int | None = None) -> Matrix:
-        """The packed form; ``tile`` is the edge for "tiles", the number of pivots in a leaf for "halves"."""
+        """The packed form; ``tile`` is the edge for "tiles" and "recursive", the number of pivots in a leaf for "halves"."""
         if self.p is None:
             raise ValueError("elimination needs a field")
         if strategy not in STRATEGIES:
             raise ValueError(f"no such strategy: {strategy}")
         shape = (self.df, self.rows, self.columns, self.p)
-        if strategy == "tiles":
-            made = eliminate.eliminate_tiles(*shape, tile)
+        if strategy in ("tiles", "recursive"):
+            made = (eliminate.eliminate_tiles if strategy == "tiles" else recursive.eliminate_recursive)(*shape, tile)
         elif strategy == "halves":
             made = eliminate.eliminate_by_halves(*shape, tile or 32)
         else:
@@ -66,6 +66,28 @@ class Matrix:
             made = forms[strategy](*shape)
         return replace(self, df=made)
 
+    def _square(self) -> int:
+        if self.p is None or self.rows != self.columns:
+            raise ValueError("only a square matrix over a field has an inverse or a determinant")
+        return self.rows
+
+    def solve(self, right: Matrix, tile: int | None = None) -> Matrix:
+        """X with this matrix times X equal to ``right``."""
+        if right.rows != self._square() or right.p != self.p:
+            raise ValueError("the right side must agree in rows and modulus")
+        return replace(right, df=recursive.solve(self.df, self.rows, right.df, right.columns, self.p, tile))
+
+    def inverse(self, tile: int | None = None) -> Matrix:
+        return replace(self, df=recursive.invert(self.df, self._square(), self.p, tile))
+
+    def determinant(self, tile: int | None = None) -> int:
+        return recursive.determinant(self.df, self._square(), self.p, tile)
+
+    def rank(self) -> int:
+        """By rows where columns are few, else by columns; one side must be 1024 at most."""
+        tall = self.columns <= self.rows
+        return echelon.rank(self.df if tall else layout.transpose(self.df), min(self.rows, self.columns), self.p)
+
     def check(self, other: Matrix, upper_only: bool = True) -> DataFrame:
         """One row: cells compared and cells that differ."""
         return verify.compare(self.df, other.df, upper_only)

@@ -114,7 +114,7 @@ def eliminate_by_rows(matrix: DataFrame, rows: int, columns: int, p: int = PRIME
     return from_rows(state)
 
 
-def _leading(head: np.ndarray, p: int, first: int) -> tuple[np.ndarray, int | None]:
+def leading_square(head: np.ndarray, p: int, first: int) -> tuple[np.ndarray, int | None]:
     """The factored form of a leading square, up to the pivot that fails in it, and that pivot."""
     try:
         return kernels.factor_by_halves(head, p, first=first), None
@@ -123,7 +123,7 @@ def _leading(head: np.ndarray, p: int, first: int) -> tuple[np.ndarray, int | No
         return kernels.factor_by_halves(head[:, :done], p, first=first)[:done], fault.pivot
 
 
-def _check_pivots(below: DataFrame, square: np.ndarray, failed: int | None, p: int, first: int, width: int) -> None:
+def check_pivots(below: DataFrame, square: np.ndarray, failed: int | None, p: int, first: int, width: int) -> None:
     """Raise for the first pivot that fails, in the leading square or in the tiles ``t`` below it that are ``width`` wide."""
     found = [] if failed is None else [failed]
     done = len(square)
@@ -171,8 +171,8 @@ def eliminate_tiles(matrix: DataFrame, rows: int, columns: int, p: int = PRIME,
 
     for k in range(steps):
         head = array(left.where(f"bi = {k} and bj = {k}").first()["t"])
-        diagonal, failed = _leading(head, p, k * tile)
-        _check_pivots(left.where(f"bi > {k} and bj = {k}"), diagonal, failed, p, k * tile, tile)
+        diagonal, failed = leading_square(head, p, k * tile)
+        check_pivots(left.where(f"bi > {k} and bj = {k}"), diagonal, failed, p, k * tile, tile)
 
         def panel(frames, k=k, d=diagonal):
             for pdf in frames:
@@ -218,10 +218,10 @@ def eliminate_strip(matrix: DataFrame, rows: int, columns: int, p: int = PRIME,
     i, j = (F.col("i") - n, F.col("j")) if tall else (F.col("i"), F.col("j") - n)
     rest = matrix.where(along >= n).select(i.alias("i"), j.alias("j"), "v")
     head = TileMatrix.of(square, n, n, n).df.first()["t"]
-    d, failed = _leading(np.frombuffer(head, "<i8").reshape(n, n), p, 0)
+    d, failed = leading_square(np.frombuffer(head, "<i8").reshape(n, n), p, 0)
     others = TileMatrix.of(rest, rows - n if tall else n, n if tall else columns - n, (high, wide))
     others.df = cut(others.df, "blocks")
-    _check_pivots(others.df if tall else others.df.where("false"), d, failed, p, 0, wide)
+    check_pivots(others.df if tall else others.df.where("false"), d, failed, p, 0, wide)
 
     def solve(frames):
         for pdf in frames:

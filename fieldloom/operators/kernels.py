@@ -96,3 +96,42 @@ def factor_by_halves(t: np.ndarray, p: int, leaf: int = 32, first: int = 0) -> n
     right = solve_row(left[:h], a[:h, h:], p, leaf)
     rest = factor_by_halves(update(a[h:, h:], left[h:], right, p), p, leaf, first + h)
     return np.block([[left[:h], right], [left[h:], rest]])
+
+
+def first_independent(a: np.ndarray, p: int) -> np.ndarray:
+    """Indices of the rows that are no combination of the rows before them."""
+    left, basis, pivots, found = a % p, np.zeros((0, a.shape[1]), dtype=np.int64), [], []
+    for r in range(len(left)):
+        row = left[r]
+        if pivots and row[pivots].any():
+            row = (row + product((p - row[pivots])[None, :], basis, p)[0]) % p
+        at = np.flatnonzero(row)
+        if not at.size:
+            continue
+        c = int(at[0])
+        row = row * (p - neg_inverse(int(row[c]), p)) % p
+        basis = (basis - basis[:, c : c + 1] * row) % p if len(basis) else basis
+        basis = np.vstack([basis, row])
+        pivots.append(c)
+        found.append(r)
+        if len(found) == a.shape[1]:
+            break
+    return np.array(found, dtype=np.int64)
+
+
+def reduced(a: np.ndarray, p: int) -> tuple[np.ndarray, list[int], list[int]]:
+    """The reduced echelon form without its zero rows, its pivot columns, and the row of ``a`` that each pivot was taken from (the first that served)."""
+    m, pivots, order = a % p, [], []
+    free = np.ones(len(m), dtype=bool)
+    for c in range(m.shape[1]):
+        at = np.flatnonzero(free & (m[:, c] != 0))
+        if not at.size:
+            continue
+        r = int(at[0])
+        m[r] = m[r] * (p - neg_inverse(int(m[r, c]), p)) % p
+        others = np.arange(len(m)) != r
+        m[others] = (m[others] + (p - m[others, c : c + 1]) * m[r]) % p
+        free[r] = False
+        pivots.append(c)
+        order.append(r)
+    return m[order], pivots, order

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import field
 from fieldloom.functions.field import PRIME as P
-from fieldloom.operators import benchlog, eliminate, layout, verify
+from fieldloom.operators import benchlog, echelon, eliminate, layout, recursive, verify
 from fieldloom.operators.multiply import multiply_cells, multiply_rows, multiply_tiles
 from fieldloom.plans import runs
 from fieldloom.plans.cuts import fresh_path
@@ -193,6 +193,65 @@ def lu_per_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliminate.eliminate_groups(pairs.groupBy("label", "i", "j").agg((F.sum(F.col("v") * F.col("w")) % P).alias("v")), ["label"])
 
 
+def _supply(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Common parts of every two suppliers, by quantities, mod p, with a diagonal; and the number of suppliers."""
+    n = _table(spark, sf_dir, "supplier").count()
+    a = cross_product(spark, sf_dir)
+    diagonal = spark.range(n).select(F.col("id").alias("i"), F.col("id").alias("j"), (F.col("id") * 7 + 12345).alias("v"))
+    return a.unionByName(diagonal).groupBy("i", "j").agg((F.sum("v") % P).alias("v")), n
+
+
+def lu_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, n = _supply(spark, sf_dir)
+    return recursive.eliminate_recursive(m, n, n, tile=max(8, -(-n // 4)))
+
+
+def solve_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The combinations of the moments' columns that give each vector."""
+    n, m = _size(spark, sf_dir)
+    return recursive.solve(_moments(spark, sf_dir), m, layout.transpose(_vectors(spark, sf_dir)), n, tile=24)
+
+
+def inverse_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, n = _supply(spark, sf_dir)
+    return recursive.invert(m, n, tile=max(8, -(-n // 2)))
+
+
+def det_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The determinants of the moments' diagonal tiles after elimination; their product is the moments'."""
+    _, m = _size(spark, sf_dir)
+    return recursive.determinants(recursive.factor(_moments(spark, sf_dir), m, m, tile=24))
+
+
+ORDER_COLUMNS = 13
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every customer with orders: their number by priority (5) and status (3) and in all, their whole price in all and by status (3). Three columns depend on others."""
+    t = _table(spark, sf_dir, "orders")
+    one, price = F.lit(1).cast("long"), F.floor("o_totalprice")
+    status = F.expr("cast(locate(o_orderstatus, 'FOP') - 1 as bigint)")
+    entries = F.array(*(F.struct(j.cast("long").alias("j"), v.alias("v")) for j, v in ((F.substring("o_orderpriority", 1, 1).cast("long") - 1, one), (status + 5, one), (F.lit(8), one), (F.lit(9), price), (status + 10, price))))
+    cells = t.select(F.col("o_custkey").cast("long").alias("i"), F.explode(entries).alias("e"))
+    return cells.groupBy("i", F.col("e.j").alias("j")).agg((F.sum("e.v") % P).alias("v"))
+
+
+def reduced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reduced echelon form of the customers' orders: which columns are independent, and how the others depend on them."""
+    return echelon.reduced(_orders(spark, sf_dir), ORDER_COLUMNS).select("r", "pivot_j", "i", F.posexplode("v").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+
+
+def independent_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first customers whose orders are no combination of those of customers before them."""
+    return echelon.independent_rows(_orders(spark, sf_dir), ORDER_COLUMNS).select("i")
+
+
+def pluq_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers' orders factored with pivots, rows and columns permuted."""
+    rows = _table(spark, sf_dir, "customer").agg(F.max("c_custkey")).first()[0] + 1
+    return echelon.pluq(_orders(spark, sf_dir), rows, ORDER_COLUMNS)[2]
+
+
 def check_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two strategies on the same input, by the upper triangle."""
     m = _buckets(spark, sf_dir, 16, 16)
@@ -308,6 +367,18 @@ _LOG_SQL = f"(SELECT file, CAST(seq AS INT) AS seq, method, CAST(threads AS INT)
 _WORK = "SELECT m, n, CAST((SELECT sum((2 * (n - i) + 11) * (m - i) + 10 * (n - i) * (m - i)) FROM range(1, 5000) r(i) WHERE i <= least(m, n)) AS BIGINT) AS elimination, 2 * m * n * n AS multiplication FROM (VALUES (12::BIGINT, 12::BIGINT), (100, 60), (60, 100), (2000, 2000)) t(m, n)"
 
 
+def reduced_sql(cells: str, steps: str) -> str:
+    """SQL: (r, pivot_j, i, v list) of the reduced echelon form of a query of all cells, with pivots in its first ``steps`` columns."""
+    return f"""
+WITH RECURSIVE c AS ({cells}),
+e AS (
+  SELECT CAST(0 AS BIGINT) AS step, i AS r, list(CAST(v AS BIGINT) ORDER BY j) AS v, CAST(NULL AS BIGINT) AS pivot_j FROM c GROUP BY i
+  UNION ALL
+  SELECT step + 1, r, CASE WHEN pr IS NULL THEN v WHEN r = pr THEN list_transform(v, lambda x: x * inv % {P}) ELSE list_transform(v, lambda x, k: (x + pv[k] * ({P} - v[step + 1] * inv % {P})) % {P}) END, CASE WHEN r = pr THEN step ELSE pivot_j END AS pivot_j
+  FROM (SELECT *, ({P} - ({_inverse('pv[step + 1]', str(P), _BITS)})) % {P} AS inv FROM (SELECT *, max(CASE WHEN r = pr THEN v END) OVER () AS pv FROM (SELECT *, min(CASE WHEN pivot_j IS NULL AND v[step + 1] <> 0 THEN r END) OVER () AS pr FROM e WHERE step < {steps}))))
+SELECT row_number() OVER (ORDER BY pivot_j) - 1 AS r, pivot_j, r AS i, v FROM e WHERE step = {steps} AND pivot_j IS NOT NULL"""
+
+
 def _product(a: str, b: str, mod: int, on: str = "true") -> str:
     return f"WITH a AS ({a}), b AS ({b}) SELECT a.i AS i, b.i AS j, CAST(sum(CAST(a.v AS HUGEINT) * b.v) % {mod} AS BIGINT) AS v FROM a JOIN b ON a.j = b.j AND {on} GROUP BY a.i, b.i"
 
@@ -329,13 +400,27 @@ _BALANCES = f"""
       SELECT c_custkey % 60 AS i, c_nationkey AS j, CAST(sum((CAST(floor(c_acctbal) AS BIGINT) % {P} + {P}) % {P}) % {P} AS BIGINT) AS v FROM customer GROUP BY 1, 2
       UNION ALL SELECT i, i, i * 7 + 12345 FROM range(25) d(i)) GROUP BY i, j) c ON c.i = a.i AND c.j = b.j"""
 _INCIDENCE = f"SELECT l_suppkey AS i, l_partkey AS j, CAST(sum(CAST(l_quantity AS BIGINT)) % {P} AS BIGINT) AS v FROM lineitem GROUP BY 1, 2"
+_SUPPLY = f"""
+  SELECT a.i, b.j, CAST(coalesce(c.v, 0) AS BIGINT) AS v FROM (SELECT s_suppkey AS i FROM supplier) a CROSS JOIN (SELECT s_suppkey AS j FROM supplier) b LEFT JOIN (
+    SELECT i, j, sum(v) % {P} AS v FROM (({_product(_INCIDENCE, _INCIDENCE, P)}) UNION ALL SELECT s_suppkey, s_suppkey, s_suppkey * 7 + 12345 FROM supplier) GROUP BY i, j) c ON c.i = a.i AND c.j = b.j"""
+_SUPPLIERS = "(SELECT count(*) FROM supplier)"
+_ORDER_CELLS = f"""
+  SELECT a.i, b.j, coalesce(c.v, 0) AS v FROM ({{rows}}) a(i) CROSS JOIN range({ORDER_COLUMNS}) b(j) LEFT JOIN (
+    SELECT o_custkey AS i, j, CAST(sum(v) % {P} AS BIGINT) AS v FROM (
+      SELECT o_custkey, CAST(o_orderpriority[1] AS BIGINT) - 1 AS j, 1 AS v FROM orders UNION ALL SELECT o_custkey, instr('FOP', o_orderstatus) + 4, 1 FROM orders UNION ALL SELECT o_custkey, 8, 1 FROM orders
+      UNION ALL SELECT o_custkey, 9, CAST(floor(o_totalprice) AS BIGINT) FROM orders UNION ALL SELECT o_custkey, instr('FOP', o_orderstatus) + 9, CAST(floor(o_totalprice) AS BIGINT) FROM orders) GROUP BY 1, 2) c ON c.i = a.i AND c.j = b.j"""
+_ORDERS = _ORDER_CELLS.format(rows="SELECT DISTINCT o_custkey FROM orders")
+_PERMUTED = f"""
+  WITH f AS ({reduced_sql(_ORDERS, str(ORDER_COLUMNS))}), n AS (SELECT count(*) AS n, list(i) AS is, list(pivot_j) AS js FROM f), a AS ({_ORDER_CELLS.format(rows="SELECT * FROM range((SELECT max(c_custkey) + 1 FROM customer))")})
+  SELECT coalesce(fi.r, a.i - len(list_filter(n.is, lambda x: x < a.i)) + n.n) AS i, coalesce(fj.r, a.j - len(list_filter(n.js, lambda x: x < a.j)) + n.n) AS j, a.v
+  FROM a CROSS JOIN n LEFT JOIN f fi ON fi.i = a.i LEFT JOIN f fj ON fj.pivot_j = a.j"""
 _METHODS_SQL = ", ".join(f"('{m}')" for m in runs.METHODS["multiply"])
 
 QUERIES = {
     f.__name__: f
     for f in (
         gram_matrix, gram_rows, gram_u32, gram_u32_cells, cross_product, mat_transpose, mat_deterministic, mat_padded, mat_random, mat_tiles, neg_inverse_table,
-        lu_packed_12, lu_upper_12, lu_rows, lu_fold, lu_halves, lu_moments, lu_any_size, lu_wide, lu_tall, lu_per_label, lu_sparse, lu_status, check_mismatch, check_identity,
+        lu_packed_12, lu_upper_12, lu_rows, lu_fold, lu_halves, lu_moments, lu_any_size, lu_wide, lu_tall, lu_per_label, lu_sparse, lu_recursive, solve_moments, inverse_supply, det_moments, reduced_orders, independent_customers, pluq_orders, lu_status, check_mismatch, check_identity,
         elimination_work, bench_records, bench_header, bench_series, speedup_global, speedup_own, bench_throughput, bench_rates, bench_files, tile_plans, bench_paths, bench_runs, bench_sizes,
     )
 }
@@ -362,6 +447,13 @@ ORACLES = {
     "lu_tall": elimination_sql(_VECTORS, "64"),
     "lu_per_label": elimination_sql(_PER_LABEL, "7", select="r AS i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v, CAST(NULL AS BIGINT) AS singular_at", group="label"),
     "lu_sparse": " UNION ALL ".join([_sparse("fold", 40, 25, 25), _sparse("halves", 60, 25, 25), _sparse("strip", 60, 25, 25), _sparse("tiles", 60, 25, 25), _sparse("rows", 40, 12, 12)]),
+    "lu_recursive": elimination_sql(_SUPPLY, f"({_SUPPLIERS} - 1)"),
+    "solve_moments": f"SELECT CAST(pivot_j AS BIGINT) AS i, CAST(k - 65 AS BIGINT) AS j, v[k] AS v FROM ({reduced_sql(f'({_MOMENTS}) UNION ALL SELECT j, i + 64, v FROM ({_VECTORS})', '64')}), LATERAL unnest(range(65, len(v) + 1)) AS u(k)",
+    "inverse_supply": f"SELECT CAST(pivot_j AS BIGINT) AS i, CAST(k - 1 - {_SUPPLIERS} AS BIGINT) AS j, v[k] AS v FROM ({reduced_sql(f'({_SUPPLY}) UNION ALL SELECT a.s_suppkey, b.s_suppkey + {_SUPPLIERS}, CASE WHEN a.s_suppkey = b.s_suppkey THEN 1 ELSE 0 END FROM supplier a CROSS JOIN supplier b', _SUPPLIERS)}), LATERAL unnest(range({_SUPPLIERS} + 1, len(v) + 1)) AS u(k)",
+    "det_moments": f"SELECT i // 24 AS bi, list_reduce(list_prepend(CAST(1 AS BIGINT), list(v)), lambda x, y: x * y % {P}) AS det, min(CASE WHEN v = 0 THEN i END) AS zero_pivot FROM ({elimination_sql(_MOMENTS, '63')}) WHERE i = j GROUP BY i // 24",
+    "reduced_orders": f"SELECT r, pivot_j, i, CAST(k - 1 AS BIGINT) AS j, v[k] AS v FROM ({reduced_sql(_ORDERS, str(ORDER_COLUMNS))}), LATERAL unnest(range(1, len(v) + 1)) AS u(k)",
+    "independent_customers": f"SELECT i FROM ({reduced_sql(_ORDERS, str(ORDER_COLUMNS))})",
+    "pluq_orders": elimination_sql(_PERMUTED, str(ORDER_COLUMNS)),
     "lu_status": "SELECT CAST(n AS BIGINT) AS rows, CAST(1 AS BIGINT) AS singular_at FROM (VALUES (3), (70), (1100)) t(n)",
     "check_mismatch": "SELECT CAST(0 AS BIGINT) AS mismatching, CAST(136 AS BIGINT) AS compared",
     "check_identity": "SELECT CAST(0 AS BIGINT) AS mismatching",
