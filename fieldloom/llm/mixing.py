@@ -12,6 +12,11 @@ in the order of a keyed permutation, the last one cut within by a permutation of
 its documents.  Sources, however hot, are only ever aggregated or joined on
 written tables; ordering happens among the blocks of a source and the documents
 of one block.
+
+The mixture is written in that order too: a document's place in its source's
+permuted blocks, from 0 to 1, divided by its copies, is its place in the whole, and
+every further copy comes a whole pass later.  So all sources are spread evenly from
+the first row to the last, and copies of a document lie as far apart as they can.
 """
 
 from __future__ import annotations
@@ -73,8 +78,9 @@ def exponent(sources: DataFrame, entropy: float | None, max_repeat: float | None
 
 
 def plan(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repeat: float | None = MAX_REPEAT, budget: int | None = None, whole: bool = False, seed: int = 17) -> DataFrame:
-    """How often each document is used: doc_id, source, text_hash, n_tokens, mix_block, weight, copies.
+    """How often each document is used: doc_id, source, text_hash, n_tokens, mix_block, weight, copies, place.
 
+    ``place`` is the document's position, from 0 to 1, in a pass over its source.
     Tokens are words, maximal runs of bytes other than 0x20 and 0x09-0x0D.
     ``budget`` defaults to the tokens there are; with ``whole`` it is instead the
     least that uses every source at least once throughout.  A null source is the
@@ -115,21 +121,32 @@ def plan(docs: DataFrame, entropy_share: float | None = ENTROPY_SHARE, max_repea
     blocks = placed.groupBy("__source", "mix_block").agg(F.sum("n_tokens").alias("held"), F.first("rest").alias("rest"))
     in_order = W.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 1), "mix_block"), "mix_block").rowsBetween(W.unboundedPreceding, W.currentRow)
     blocks = blocks.withColumn("upto", F.sum("held").over(in_order)).withColumn("left", F.col("rest") - (F.col("upto") - F.col("held")))
-    blocks = cut(blocks.select("__source", "mix_block", "held", "left"), "blocks")
+    rank = F.row_number().over(W.partitionBy("__source").orderBy(F.xxhash64(F.lit(seed + 1), "mix_block"), "mix_block")) - 1
+    blocks = cut(blocks.select("__source", "mix_block", "held", "left", rank.alias("rank")), "blocks")
     joined = placed.join(blocks, ["__source", "mix_block"])
     within = W.partitionBy("__source", "mix_block").orderBy(F.xxhash64(F.lit(seed + 2), "__order"), "__order").rangeBetween(W.unboundedPreceding, W.currentRow)
     last = joined.where("left > 0 and left < held").withColumn("extra", (F.sum("n_tokens").over(within) <= F.col("left")).cast("long"))
     others = joined.where("not (left > 0 and left < held)").withColumn("extra", ((F.col("left") > 0) & (F.col("left") >= F.col("held"))).cast("long"))
-    return others.unionByName(last).select("doc_id", "source", "text_hash", "n_tokens", "mix_block", "weight", (F.col("passes") + F.col("extra")).alias("copies"))
+    place = (F.col("rank") + F.pmod(F.xxhash64(F.lit(seed + 2), "__order"), F.lit(1 << 30)) / F.lit(float(1 << 30))) / F.col("blocks")
+    return others.unionByName(last).select("doc_id", "source", "text_hash", "n_tokens", "mix_block", "weight", (F.col("passes") + F.col("extra")).alias("copies"), place.alias("place"))
 
 
 def mixture(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, each as often as :func:`plan` says; columns as in ``docs``, whatever their names."""
+    """The rows of ``docs``, each as often as :func:`plan` says, in the planned order; columns as in ``docs``, whatever their names.
+
+    Partitions are consecutive stretches of the order, as many as the session's
+    shuffle partitions, and sorted; rows that agree in doc_id and text stand
+    together.  Places are hashes, so stretches are about equally long whatever
+    source is hot.
+    """
     keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.col("source").alias("origin"), F.xxhash64("text").alias("text"))
-    used = cut(plan(docs, **parameters).select("doc_id", "source", "text_hash", "copies").distinct(), "used")
+    used = cut(plan(docs, **parameters).select("doc_id", "source", "text_hash", "copies", "place").distinct(), "used")
     same = F.col("id").eqNullSafe(F.col("doc_id")) & F.col("origin").eqNullSafe(F.col("source")) & (F.col("text") == F.col("text_hash"))
-    rows = keyed.join(used, same).where("copies > 0")
-    return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("doc.*")
+    rows = keyed.join(used, same).where("copies > 0").select("doc", "copies", "place", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.select("doc", ((F.col("copy") - 1 + F.col("place")) / F.col("copies")).alias("at"))
+    stretch = F.least(F.floor(F.col("at") * parts), F.lit(parts - 1)).cast("int")
+    return placed.repartitionById(parts, stretch).sortWithinPartitions("at").select("doc.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

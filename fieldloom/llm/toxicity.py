@@ -137,7 +137,7 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> CompressionDistance:
         held = np.arange(len(texts))
     x = np.array([model.features(texts[i]) for i in held])
     if len(set(y.tolist())) < 2:
-        model.weights = np.append(np.zeros(len(model.features(""))), 0.0 if not len(y) else 20.0 if y[0] else -20.0)
+        model.weights = np.append(np.zeros(len(model.features(""))), 20.0 if len(y) and y[0] else -20.0)
         return model
     rate = max(1e-6, min(1 - 1e-6, y[held].mean()))
     weight = np.where(y[held] == 1, share / rate, (1 - share) / (1 - rate))
@@ -148,7 +148,9 @@ def fit(texts: list[str], y: np.ndarray, share: float) -> CompressionDistance:
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, nbytes: int = TRAIN_BYTES) -> CompressionDistance:
     """Fit on labelled documents outside the held-out fifth, at most ``rows`` and ``nbytes`` of each label.
 
-    The curve is weighted back to the labels' true shares.  See
+    The curve is weighted back to the labels' true shares.  Without labels, or with
+    those of ordinary texts alone, every score is near 0; with toxic ones alone, near
+    1.  Conflicting labels of one document both count.  See
     :func:`fieldloom.llm.samples.labelled_sample` for nulls and repeats.
     """
     totals = {r["label"]: r["n"] for r in known_labels(labels, "toxic").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -127,3 +127,24 @@ def test_limit_holds_where_the_budget_cannot_be_met(spark, make):
     plan = mixing.plan(make(rows, "doc id origin __id"), budget=10**6, entropy_share=0.99, max_repeat=2.0).collect()
     assert max(r["copies"] for r in plan) == 2
     assert mixing.mixture(make(rows, "doc id origin __id"), max_repeat=1.0, whole=True, entropy_share=None).columns[-1] == "__id"
+
+
+@pytest.mark.parametrize("per_block", [8, 4096])
+def test_copies_lie_apart_and_sources_are_spread(spark, make, monkeypatch, per_block):
+    monkeypatch.setattr(mixing, "PER_BLOCK", per_block)
+    rows = [(i, " ".join(["w"] * 10), "hot" if i < 1200 else "small") for i in range(1500)]
+    docs = make(rows, "at copies place copy")
+    mixed = mixing.mixture(docs, entropy_share=None, max_repeat=3.0, whole=True)
+    order = [r["doc_id"] for r in mixed.collect()]
+    copies = {r["doc_id"]: r["copies"] for r in mixing.plan(docs, entropy_share=None, max_repeat=3.0, whole=True).collect()}
+    assert Counter(order) == Counter(copies) and max(copies.values()) == 3
+    at = defaultdict(list)
+    for k, i in enumerate(order):
+        at[i].append(k)
+    assert min(b - a for ks in at.values() for a, b in zip(ks, ks[1:], strict=False)) > len(order) * 0.25
+    small = sum(copies[i] for i in range(1200, 1500)) / len(order)
+    for part in range(10):
+        piece = order[part * len(order) // 10 : (part + 1) * len(order) // 10]
+        assert sum(i >= 1200 for i in piece) / len(piece) == pytest.approx(small, abs=0.12)
+    assert order != sorted(order)
+    assert [r["doc_id"] for r in mixing.mixture(docs.repartition(7), entropy_share=None, max_repeat=3.0, whole=True).collect()] == order

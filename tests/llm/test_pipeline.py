@@ -73,7 +73,7 @@ def test_every_operator_is_registered():
     import __spark_entry__
 
     names = {re.match(r"op(\d+)_", q)[1] for q in __spark_entry__.queries() if q.startswith("op")}
-    assert names == {str(n) for n in range(1, 11)} and "pipeline" in __spark_entry__.queries()
+    assert names == {str(n) for n in range(1, 13)} and "pipeline" in __spark_entry__.queries()
 
 
 def test_near_stage_links_from_eighty_on(spark, make):
