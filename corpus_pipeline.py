@@ -19,7 +19,8 @@ from fieldloom.llm.common import cut, table
 from fieldloom.plans.cuts import drop_cuts, made_so_far
 
 #: Passes over the most repeated source at most when sources are evened out; every source is used at least once throughout.
-MAX_REPEAT = 1.25
+#: Half the mixing operator's own limit, since here every repetition is packed beside all else: see the README for the weights.
+MAX_REPEAT = 2.0
 #: The near-copy stage links texts when 100 * intersection >= NEAR_PERCENT * union.
 NEAR_PERCENT = 80
 
@@ -45,7 +46,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Smaller sources repeated towards even shares, as far as MAX_REPEAT allows; no document is left out.
+    """Smaller sources repeated towards even shares, as far as MAX_REPEAT allows, copies far apart; no document is left out.
 
     A null source is a source; rows equal in doc_id and text are repeated alike.
     """
