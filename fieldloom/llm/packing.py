@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
 from fieldloom.llm.memory import tidy
-from fieldloom.llm.tokens import default_vocabulary, encoder
+from fieldloom.llm.tokens import CACHED, default_vocabulary, encoder
 
 WINDOW, END = 1024, 0
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,10 +62,10 @@ class SumOfSquares:
         return int((self.count * (self.size - np.arange(self.size + 1))).sum())
 
 
-def _pack(vocabulary: str, window: int, end_id: int):
+def _pack(vocabulary: str, window: int, end_id: int, cached: int):
     @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(vocabulary).encode, SumOfSquares(window)
+        encode, packer = encoder(vocabulary, cached).encode, SumOfSquares(window)
         base = TaskContext.get().partitionId() << 36
         end = struct.pack("<I", end_id)
         names = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -113,15 +113,16 @@ def _pack(vocabulary: str, window: int, end_id: int):
     return pack
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END, cached: int = CACHED) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of ``docs`` is a document, also where doc_ids repeat or are null;
     a null or empty text has the end id alone.  Windows hold at most ``window``
     ids and fill from offset 0 without gaps.  Other columns are ignored.
+    ``cached`` bounds the words whose ids a worker keeps, not the result.
     """
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(vocabulary or default_vocabulary(), window, end_id), _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(vocabulary or default_vocabulary(), window, end_id, cached), _SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
