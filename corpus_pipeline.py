@@ -21,6 +21,8 @@ from fieldloom.plans.cuts import drop_cuts, made_so_far
 #: Passes over the most repeated source at most when sources are evened out; every source is used at least once throughout.
 #: Half the mixing operator's own limit, since here every repetition is packed beside all else: see the README for the weights.
 MAX_REPEAT = 2.0
+#: Words that a packing worker keeps ids of, in each of two generations: fewer than the operator's own, since its executors keep some of the other stages' memory.
+WORDS_KEPT = 150_000
 #: The near-copy stage links texts when 100 * intersection >= NEAR_PERCENT * union.
 NEAR_PERCENT = 80
 
@@ -55,7 +57,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of windows of token ids; a repeated row is packed as often as it occurs, an empty text as its end id."""
-    return packing.pack(docs)
+    return packing.pack(docs, cached=WORDS_KEPT)
 
 
 STAGES = [
