@@ -68,20 +68,20 @@ def wrap_u32(a: Column) -> Column:
     return a.bitwiseAND(F.lit(WORD - 1).cast("long"))
 
 
-def bit_cost(x: int) -> int:
-    """The size measure that the work model uses for a 32-bit modulus; 10 for 65521."""
-    if x <= 8:
-        return 2 * x
-    zeros = (x & -x).bit_length() - 1  # of the trailing bits
-    return 8 * (zeros - 18) if zeros >= 20 else 8 + 2 * (x % 4)
+#: The work model's cost of an inverse mod 65521 (fixed value).
+INVERSE_COST = 10
 
 
-def elimination_flops(m: int, n: int, p: int = PRIME) -> int:
-    """Operations of eliminating an m x n matrix mod p, by the size measure of p for an inverse."""
-    cost = bit_cost(p)
+def elimination_flops(m: int, n: int, cost: int = INVERSE_COST) -> int:
+    """Operations of eliminating an m x n matrix, an inverse counting as ``cost``."""
     return sum((2 * (n - i) + 1 + cost) * (m - i) + cost * (n - i) * (m - i) for i in range(1, min(m, n) + 1))
 
 
+def elimination_flops_expr(m: str, n: str, cost: int = INVERSE_COST) -> str:
+    """The same as SQL over columns."""
+    return f"if(least({m}, {n}) < 1, 0L, aggregate(sequence(1L, least({m}, {n})), 0L, (s, i) -> s + (2 * ({n} - i) + {1 + cost}) * ({m} - i) + {cost} * ({n} - i) * ({m} - i)))"
+
+
 def multiply_flops(rows: int, inner: int, columns: int) -> int:
     return 2 * rows * inner * columns
 
@@ -101,6 +101,11 @@ def cache_tile(level1_bytes: int) -> int:
     return floor(sqrt(level1_bytes / 24))
 
 
+def cache_tile_col(level1_bytes: str) -> Column:
+    """:func:`cache_tile` of a column."""
+    return F.floor(F.sqrt(F.col(level1_bytes) / 24))
+
+
 def tile_counts(rows: int, columns: int, tile: int) -> tuple[int, int]:
     """Tiles down and across, the last ones padded."""
     return -(-rows // tile), -(-columns // tile)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Lines of one log file stay in order by their offset, which the text source does not tell; files are read whole.
@@ -38,6 +38,29 @@ def format_report(method: str, threads: int, chunk: int, real_s: float, cpu_s: f
     return f"Method:           {method}\n#Threads:         {threads}\nChunk size:       {chunk}\nReal time:        {real_s} sec\nCPU time:         {cpu_s} sec\n{ratio}GFLOPS/sec:       {gflops}\n"
 
 
+def report_text() -> Column:
+    """The same report as an expression over the columns method, threads, chunk, real_s, cpu_s and gflops (null: infinite), figures in full."""
+    said = {"Method:           ": "method", "#Threads:         ": "threads", "Chunk size:       ": "chunk", "Real time:        ": "real_s", "CPU time:         ": "cpu_s", "CPU/real time:      ": "ratio", "GFLOPS/sec:       ": "gflops"}
+    values = {"ratio": F.when((F.col("cpu_s") > 1e-10) & (F.col("real_s") > 0), F.col("cpu_s") / F.col("real_s")).cast("string"), "gflops": F.coalesce(F.col("gflops").cast("string"), F.lit("inf"))}
+    seconds = {"real_s": " sec", "cpu_s": " sec"}
+    return F.concat_ws("\n", *(F.concat(F.lit(label), values.get(c, F.col(c).cast("string")), F.lit(seconds.get(c, ""))) for label, c in said.items()))
+
+
+def write_logs(reports: DataFrame, path: str) -> None:
+    """Write a log for each ``file`` of reports (columns of :func:`report_text`, ``runs`` made), by method and threads, to folders ``log=<file>``.
+
+    A log's head tells how many runs and reports it has, and its thread counts.
+    """
+    said = F.array_sort(F.collect_list(F.struct("method", "threads", report_text().alias("text"))))["text"]
+    logs = reports.groupBy("file").agg(F.concat_ws(", ", F.sum("runs"), F.count(F.lit(1))).alias("dims"), F.array_join(F.array_sort(F.collect_set("threads")).cast("array<string>"), ", ").alias("threads"), F.array_join(said, "\n").alias("reports"))
+    logs.select(F.concat_ws("\n", "dims", "threads", "reports").alias("value"), F.col("file").alias("log")).write.partitionBy("log").text(path)
+
+
+def read_logs(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of all logs that :func:`write_logs` wrote, ``file`` being their names."""
+    return read_log(spark, f"{path}/log=*/*").withColumn("file", F.regexp_extract("file", "log=([^/]*)/", 1))
+
+
 def _store(spark: SparkSession, path: str):
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     at = hadoop.Path(path)

@@ -1,18 +1,23 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
-from fieldloom import queries
 from fieldloom.operators import benchlog
 from fieldloom.plans import runs
 from fieldloom.sources import benchlog as logs
 
-METHODS = queries.LOG_METHODS
+REPORTS = [
+    ("Raw sequential", 1, 1, 8.0, 8.0, 0.5), ("Open MP", 1, 1, 10.0, 9.5, 0.25), ("Open MP", 2, 1, 5.0, 9.0, 0.5), ("Open MP", 4, 1, 2.5, 9.25, float("inf")),
+    ("Open MP parallel sections", 1, 1, 9.0, 9.0, 0.125), ("Open MP parallel sections", 2, 1, 6.0, 11.0, 0.75),
+]
+LOG = "1000, 1000\n1, 2, 4\n" + "".join(logs.format_report(*r) for r in REPORTS)
+METHODS = ["Raw sequential", "Open MP", "Open MP parallel sections"]
 
 
 @pytest.fixture(scope="module")
 def records(spark):
-    return benchlog.parse(logs.lines_of(spark, "f", queries.LOG), METHODS)
+    return benchlog.parse(logs.lines_of(spark, "f", LOG), METHODS)
 
 
 def test_records(records):
@@ -43,7 +48,7 @@ def test_later_labels_win_and_carry_forward(spark):
 
 def test_reading_files(spark, tmp_path):
     for name in ("a", "b"):
-        (tmp_path / f"{name}.res").write_text(queries.LOG)
+        (tmp_path / f"{name}.res").write_text(LOG)
     lines = logs.read_log(spark, f"{tmp_path}/*.res")
     assert benchlog.parse(lines, METHODS).groupBy("file").count().where("count = 6").count() == 2
     heads = logs.header(lines).collect()
@@ -89,3 +94,23 @@ def test_rates_guard_against_no_time(spark):
     records = spark.createDataFrame([("f", "m", 0, 2.0, 1.0), ("f", "m", 1, 2.0, 0.0)], "file string, method string, seq int, real_s double, cpu_s double")
     rows = benchlog.rates(records, 12, 12, 6).orderBy("seq").collect()
     assert [r["ratio"] for r in rows] == [0.5, None] and rows[0]["tiled_rate"] == 2 * 12 * 12 * 6 / 9 / 1e6 / 2.0
+
+
+def test_logs_of_a_table(spark, tmp_path):
+    """Written and read back, reports are what they were, an infinite rate aside."""
+    rows = [(f, m, t, 1, 0.1 * t, 7.0, 3, None if t == 2 else 1 / 3) for f in ("a", "b b") for m in ("Open MP", "KAAPIC") for t in (1, 2, 10)]
+    reports = spark.createDataFrame(rows, "file string, method string, threads int, chunk int, real_s double, cpu_s double, runs long, gflops double")
+    logs.write_logs(reports.repartition(5), f"{tmp_path}/logs")
+    lines = logs.read_logs(spark, f"{tmp_path}/logs").withColumn("file", F.regexp_replace("file", "%20", " "))
+    got = {(r["file"], r["method"], r["threads"], r["chunk"], r["real_s"], r["cpu_s"], r["gflops"]) for r in benchlog.parse(lines, ["Open MP", "KAAPIC"]).collect()}
+    assert got == {(f, m, t, c, r, u, -1.0 if g is None else g) for f, m, t, c, r, u, _, g in rows}
+    heads = logs.header(lines).collect()
+    assert len(heads) == 2 and all(h["dims"] == [18, 6] and h["threads"] == [1, 2, 10] for h in heads)
+
+
+def test_runs_and_sizes_of_tables(spark):
+    reports = spark.createDataFrame([("a", 1), ("a", 5), ("b", 16)], "method string, threads int")
+    assert sorted(map(tuple, runs.run_matrix_of(reports).collect())) == [("a", 1), ("a", 2), ("a", 4), *(("b", 2**k) for k in range(5))]
+    sizes = spark.createDataFrame([("x", 10, 3)], "name string, rows long, columns long")
+    assert [(r["step"], r["rows"], r["columns"]) for r in runs.sweep_of(sizes, 5, 2).orderBy("step").collect()] == [(0, 10, 3), (1, 15, 8), (2, 20, 13)]
+    assert [(r["step"], r["rows"], r["columns"]) for r in runs.sweep_of(sizes, 0, 2).orderBy("step").collect()] == [(0, 10, 3), (1, 20, 6), (2, 40, 12)]

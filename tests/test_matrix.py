@@ -162,7 +162,6 @@ def test_work_models():
     assert field.elimination_flops(12, 12) == 6798
     assert field.elimination_flops(2000, 2000) == 31997993000
     assert field.multiply_flops(2, 3, 4) == 48
-    assert field.bit_cost(P) == 10 and [field.bit_cost(x) for x in (1, 8, 9)] == [2, 16, 10]
     assert field.thread_counts(1, 20) == [1, 2, 4, 8, 16] and field.thread_counts(3, 8) == [4, 8]
     assert field.size_sweep(100, 50, 2) == [100, 150, 200] and field.size_sweep(100, 0, 2) == [100, 200, 400]
     assert field.tile_counts(10, 8, 4) == (3, 2) and field.cache_tile(32768) == 36

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.field import SingularMatrixError
-from fieldloom.operators import echelon, kernels, multiply, recursive
+from fieldloom.operators import echelon, kernels, multiply, recursive, verify
 from fieldloom.operators.eliminate import eliminate_tiles
 from fieldloom.operators.layout import TileMatrix
 from fieldloom.plans import cuts
@@ -177,3 +177,45 @@ def test_pluq(spark, rows, columns, of_rank):
     assert (times(low, np.triu(lu)[: min(rows, columns)]) == moved).all()
     r = len(plain_rank_profile(a, P))
     assert all(lu[k, k] for k in range(r)) and not np.triu(lu)[r:].any()
+
+
+def test_exact_products(spark):
+    rng = random.Random(4)
+    for low, high in ((-(2**62), 2**62), (0, 1), (-5, 5), (-(2**63), 2**63 - 1)):
+        a, b = ([[rng.choice([low, high, rng.randint(low, high)]) for _ in range(9)] for _ in range(n)] for n in (5, 4))
+        da, db = (spark.createDataFrame([(i, j, v) for i, row in enumerate(m) for j, v in enumerate(row)], "i long, j long, v long") for m in (a, b))
+        want = {(i, j): sum(x * y for x, y in zip(r, s, strict=True)) for i, r in enumerate(a) for j, s in enumerate(b)}
+        word = {(r["i"], r["j"]): r["v"] for r in multiply.multiply_exact(da, db, 5, 4, 9, tile=4, wrap=True).collect()}
+        assert word == {k: (v + 2**63) % 2**64 - 2**63 for k, v in want.items()}
+        if high < 2**60:
+            assert {(r["i"], r["j"]): int(r["v"]) for r in multiply.multiply_exact(da, db, 5, 4, 9, tile=4).collect()} == want
+    small = spark.createDataFrame([(0, j, 2**60) for j in range(3)], "i long, j long, v long")
+    assert int(multiply.multiply_exact(small, small.withColumn("v", -F.col("v")), 1, 1, 3).first()["v"]) == -3 * 2**120
+    huge = spark.createDataFrame([(0, j, 2**62) for j in range(3)], "i long, j long, v long")
+    with pytest.raises(ArithmeticError):
+        multiply.multiply_exact(huge, huge, 1, 1, 3)
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(17, 17), (20, 9), (9, 20)])
+def test_probable_checks(spark, rows, columns):
+    a = drawn(rows, columns, seed=21)
+    m, lu = to_df(spark, a), kernels.factor_by_halves(a, P)
+    assert tuple(verify.probably_factors(to_df(spark, lu), m).first())[:2] == (rows, 0)
+    for at in ((3, 7), (7, 3)):  # above and below the diagonal
+        wrong = lu.copy()
+        wrong[at] = (wrong[at] + 1) % P
+        row = verify.probably_factors(to_df(spark, wrong), m).first()
+        assert row["failing"] > 0 and row["odds"] == P**-2.0
+    b = drawn(6, columns, seed=22)
+    c = times(a, b.T)
+    assert verify.probably_product(m, to_df(spark, b), to_df(spark, c)).first()["failing"] == 0
+    c[2, 4] += 1
+    assert verify.probably_product(m, to_df(spark, b), to_df(spark, c)).first()["failing"] == 1
+
+
+def test_probable_checks_take_absent_rows_as_zeros(spark):
+    a = np.zeros((5, 3), dtype=np.int64)
+    a[0] = [1, 2, 3]
+    packed, m = to_df(spark, a), to_df(spark, a)
+    assert verify.probably_factors(packed, m).first()["failing"] == 0
+    assert verify.probably_factors(packed.where("false"), m).first()["failing"] == 1
