@@ -58,7 +58,7 @@ def test_partial_sums_give_out_what_does_not_fit(spark, monkeypatch):
     assert (to_array(got, 30, 25) == times(a, b.T)).all()
 
 
-@pytest.mark.parametrize(("rows", "columns", "tile"), [(1, 1, 4), (20, 20, 4), (21, 13, 4), (13, 22, 4), (9, 9, 16), (40, 6, 8)])
+@pytest.mark.parametrize(("rows", "columns", "tile"), [(1, 1, 4), (20, 20, 5), (21, 13, 4), (13, 22, 5), (9, 9, 16), (40, 6, 8)])
 def test_recursive_elimination(spark, rows, columns, tile):
     a = drawn(rows, columns, seed=rows)
     got = to_array(recursive.eliminate_recursive(to_df(spark, a), rows, columns, tile=tile), rows, columns)
@@ -84,26 +84,26 @@ def written(root, before=()):
 
 def test_recursion_writes_less_than_steps(spark):
     root = cuts.shared_dir(spark).removeprefix("file://")
-    a = matrices.random_field(spark, 384, 384, seed=3)
+    a = matrices.random_field(spark, 320, 320, seed=3)
     sizes = []
     for form in (eliminate_tiles, recursive.eliminate_recursive):
         before = written(root)
-        form(a, 384, 384, tile=24).count()  # 16 steps
+        form(a, 320, 320, tile=32).count()  # 10 steps
         sizes.append(sum(written(root, before).values()))
     assert sizes[1] < sizes[0]
 
 
 def test_solve_invert_determinant(spark):
     a, b = drawn(19, 19, seed=11), drawn(19, 7, seed=12)
-    x = to_array(recursive.solve(to_df(spark, a), 19, to_df(spark, b), 7, tile=4), 19, 7)
+    x = to_array(recursive.solve(to_df(spark, a), 19, to_df(spark, b), 7, tile=8), 19, 7)
     assert (times(a, x) == b).all()
-    inverse = to_array(recursive.invert(to_df(spark, a), 19, tile=4), 19, 19)
+    inverse = to_array(recursive.invert(to_df(spark, a), 19, tile=8), 19, 19)
     assert (times(a, inverse) == np.eye(19, dtype=int)).all()
     lu = kernels.factor_by_halves(a, P)
     want = 1
     for k in range(19):
         want = want * int(lu[k, k]) % P
-    assert recursive.determinant(to_df(spark, a), 19, tile=4) == want and recursive.determinant(to_df(spark, a), 0) == 1
+    assert recursive.determinant(to_df(spark, a), 19, tile=8) == want and recursive.determinant(to_df(spark, a), 0) == 1
     assert recursive.solve(to_df(spark, a), 0, to_df(spark, b), 7).count() == recursive.invert(to_df(spark, a), 0).count() == 0
 
 
