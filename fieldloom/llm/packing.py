@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.common import table
 from fieldloom.llm.memory import tidy
-from fieldloom.llm.tokens import CACHED, default_vocabulary, encoder
+from fieldloom.llm.tokens import default_vocabulary, encoder
 
 WINDOW, END = 1024, 0
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,7 +62,7 @@ class SumOfSquares:
         return int((self.count * (self.size - np.arange(self.size + 1))).sum())
 
 
-def _pack(vocabulary: str, window: int, end_id: int, cached: int):
+def _pack(vocabulary: str, window: int, end_id: int, cached: int | None):
     @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, packer = encoder(vocabulary, cached).encode, SumOfSquares(window)
@@ -113,7 +113,7 @@ def _pack(vocabulary: str, window: int, end_id: int, cached: int):
     return pack
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END, cached: int = CACHED) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END, cached: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every row of ``docs`` is a document, also where doc_ids repeat or are null;

@@ -54,7 +54,7 @@ class Encoder:
     Strings of special tokens in a text give their tokens, as the library does with the file as it is.
     """
 
-    def __init__(self, path: str, cached: int = CACHED):
+    def __init__(self, path: str, cached: int | None = None):
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
         spec = json.loads(self.tokenizer.to_str())
@@ -63,7 +63,7 @@ class Encoder:
         added = [t["content"] for t in spec.get("added_tokens") or []]
         self.odd = "|".join([_WHOLE, *map(re.escape, added)])
         self.findall, self.merge = regex.compile(PATTERN).findall, self.tokenizer.model.tokenize
-        self.pieces = Memo(self._piece, cached)
+        self.pieces = Memo(self._piece, cached or CACHED)
 
     def whole(self, text: str) -> bytes:
         """The text in one call of the library."""
@@ -110,11 +110,11 @@ class Encoder:
             yield (get(word) if word else b"") + bytes(data[begins[first + 1] : begins[last]])
 
 
-_encoders: dict[tuple[str, int], Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str, cached: int = CACHED) -> Encoder:
-    """One encoder per process, vocabulary file and size of the cache, for the ids of the library as loaded."""
+def encoder(path: str, cached: int | None = None) -> Encoder:
+    """One encoder per process, vocabulary file and size of the cache (CACHED if not given), for the ids of the library as loaded."""
     if (path, cached) not in _encoders:
         _encoders[path, cached] = Encoder(path, cached)
     return _encoders[path, cached]
