@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.engine import MatrixEngine
 from fieldloom.functions.field import SingularMatrixError
 from fieldloom.operators import echelon, kernels, multiply, recursive, verify
 from fieldloom.operators.eliminate import eliminate_tiles
@@ -219,3 +220,15 @@ def test_probable_checks_take_absent_rows_as_zeros(spark):
     packed, m = to_df(spark, a), to_df(spark, a)
     assert verify.probably_factors(packed, m).first()["failing"] == 0
     assert verify.probably_factors(packed.where("false"), m).first()["failing"] == 1
+
+
+def test_engine_on_systems(spark):
+    engine = MatrixEngine(spark)
+    a, b = engine.random(10, seed=3), engine.random(10, 4, seed=4)
+    x = a.solve(b, tile=8)
+    assert (x.rows, x.columns) == (10, 4) and a.multiply_t(x.transpose()).check(b, upper_only=False).first()["mismatching"] == 0
+    assert a.multiply_t(a.inverse(tile=8).transpose()).check(engine.zeros(10, 10), upper_only=False).first()["mismatching"] == 10
+    assert a.rank() == 10 and b.rank() == 4 and b.transpose().rank() == 4 and engine.zeros(3, 3).rank() == 0 and a.determinant(tile=8) != 0
+    for call in (lambda: b.inverse(), lambda: engine.random(4, p=None).determinant(), lambda: a.solve(engine.random(9, 2))):
+        with pytest.raises(ValueError):
+            call()
