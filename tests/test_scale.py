@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.field import PRIME as P
-from fieldloom.operators import multiply
+from fieldloom.operators import kernels, layout, multiply, recursive
 
 
 def test_sparse_products_add_up_within_tasks(spark):
@@ -48,3 +48,40 @@ def test_sparse_products_of_long_lists(spark, monkeypatch, p):
             if g == h and j == n:
                 want[g, i, m] = (want.get((g, i, m), 0) + v * w) % (p or 1 << 32)
     assert found == want
+
+
+@pytest.mark.parametrize("t", [np.zeros((5, 7)), np.arange(35).reshape(5, 7), np.eye(5, 7) * -3, np.eye(5, 7) * 65535, np.full((5, 7), 65536), np.full((5, 7), 1 << 32), np.eye(40) * (1 << 40), np.zeros((0, 3))])
+def test_tiles_are_packed_without_loss(t):
+    t = t.astype(np.int64)
+    packed = layout.pack(t)
+    assert (layout.unpack(packed, *t.shape) == t).all() and len(packed) <= layout.HEAD + 8 * t.size
+    if not t.any():
+        assert len(packed) == layout.HEAD
+
+
+def test_tiles_hold_few_bytes(spark):
+    """Residues below 2**16 take two bytes, a tile of zeros a head alone."""
+    n, edge = 256, 64
+    m = spark.range(n * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"), (F.col("id") % P).alias("v")).where(f"i div {edge} = j div {edge}")
+    sizes = [r[0] for r in layout.TileMatrix.of(m, n, n, edge).df.select(F.length("t")).collect()]
+    assert len(sizes) == 16 and sorted(sizes)[:12] == [layout.HEAD] * 12 and max(sizes) <= layout.HEAD + 2 * edge * edge
+
+
+def test_recursive_tiles_have_a_greatest_edge(spark, monkeypatch):
+    """An edge that grows with the matrix is cut to the greatest one; blocks along the diagonal leave tiles of zeros, and results are those of the whole."""
+    monkeypatch.setattr(recursive, "LARGEST_TILE", 8)
+    monkeypatch.setattr(recursive, "CELLS", 50)
+    r, n = np.random.default_rng(5), 24
+    a = np.zeros((n, n), dtype=np.int64)
+    for at in range(0, n, 6):
+        a[at : at + 6, at : at + 6] = r.integers(1, P, (6, 6))
+    m = spark.createDataFrame([(int(i), int(j), int(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, v long")
+    made = recursive.factor(m, n, n, tile=24)
+    assert made.tile == 8 and made.steps == 3
+    got, inverse = np.full((n, n), -1), np.full((n, n), -1)
+    for x in made.cells().collect():
+        got[x["i"], x["j"]] = x["v"]
+    assert (got == kernels.factor_by_halves(a, P)).all()
+    for x in recursive.invert(m, n, tile=24).collect():
+        inverse[x["i"], x["j"]] = x["v"]
+    assert (kernels.product(a, inverse, P) == np.eye(n)).all()
