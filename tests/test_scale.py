@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.functions.field import PRIME as P
-from fieldloom.operators import kernels, layout, multiply, recursive
+from fieldloom.functions.field import SingularMatrixError
+from fieldloom.operators import eliminate, kernels, layout, multiply, recursive
 
 
 def test_sparse_products_add_up_within_tasks(spark):
@@ -85,3 +86,17 @@ def test_recursive_tiles_have_a_greatest_edge(spark, monkeypatch):
     for x in recursive.invert(m, n, tile=24).collect():
         inverse[x["i"], x["j"]] = x["v"]
     assert (kernels.product(a, inverse, P) == np.eye(n)).all()
+
+
+def test_greatest_edge_of_a_tile(spark, monkeypatch):
+    """A hundred tiles, the fewest that Parquet's writer holds, stay below 1 GB; a sparse matrix is eliminated up to the pivot that fails."""
+    assert 100 * 8 * eliminate.tile_edge(60_000, 60_000) ** 2 < 1 << 30
+    monkeypatch.setattr(eliminate, "TASK_EDGE", 8)
+    monkeypatch.setattr(eliminate, "STRIP_EDGE", 8)
+    n = 200
+    m = spark.range(n).select("id", ((F.col("id") * 7 + F.col("id") % 3) % n).alias("j"), F.lit(1).cast("long").alias("v")).toDF("i", "j", "v")
+    a = np.zeros((n, n), dtype=np.int64)
+    a[np.arange(n), (np.arange(n) * 7 + np.arange(n) % 3) % n] = 1
+    with pytest.raises(SingularMatrixError) as fault:
+        kernels.factor(a, P)
+    assert [r[0] for r in eliminate.eliminate_with_status(m, n, n).select("singular_at").distinct().collect()] == [fault.value.pivot]
