@@ -100,3 +100,24 @@ def test_greatest_edge_of_a_tile(spark, monkeypatch):
     with pytest.raises(SingularMatrixError) as fault:
         kernels.factor(a, P)
     assert [r[0] for r in eliminate.eliminate_with_status(m, n, n).select("singular_at").distinct().collect()] == [fault.value.pivot]
+
+
+@pytest.mark.parametrize("tall", [True, False])
+def test_strips_are_taken_line_by_line(spark, monkeypatch, tall):
+    """What a task is given at once are lines, not blocks of megabytes; an empty line and a passed-over pivot are kept."""
+    n, many, written = 4, 3000, []
+    a = np.random.default_rng(7).integers(0, P, (many, n))
+    a[:, 2] = 0
+    a[50] = 0
+    a = a if tall else np.ascontiguousarray(a.T)
+    if not tall:
+        a[2] = a[0]  # a zero pivot with a zero line below it would fail instead
+        a[2, 2] = (a[2, 2] + 1) % P
+    m = spark.createDataFrame([(int(i), int(j), int(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "i long, j long, v long")
+    whole = eliminate.cut
+    monkeypatch.setattr(eliminate, "cut", lambda df, name: written.append(whole(df, name)) or written[-1])
+    got = np.full(a.shape, -1)
+    for x in eliminate.eliminate_strip(m, *a.shape, block_bytes=1 << 10).collect():
+        got[x["i"], x["j"]] = x["v"]
+    assert (got == kernels.factor_by_halves(a, P)).all()
+    assert [(df.columns, df.count()) for df in written] == [(["i", "v"], many - n)]
