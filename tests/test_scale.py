@@ -121,3 +121,18 @@ def test_strips_are_taken_line_by_line(spark, monkeypatch, tall):
         got[x["i"], x["j"]] = x["v"]
     assert (got == kernels.factor_by_halves(a, P)).all()
     assert [(df.columns, df.count()) for df in written] == [(["i", "v"], many - n)]
+
+
+def test_small_systems_are_solved_line_by_line(spark, monkeypatch):
+    """Right sides are no tiles, which a task would hold by the thousand; an empty right side has a solution of zeros."""
+    monkeypatch.setattr(recursive, "LINE_BYTES", 8 * 7 * 3)
+    r, n, many = np.random.default_rng(11), 7, 500
+    a, b = r.integers(0, P, (n, n)), r.integers(0, P, (n, many))
+    b[:, 3] = 0
+    df = lambda x: spark.createDataFrame([(int(i), int(j), int(x[i, j])) for i, j in zip(*np.nonzero(x), strict=True)], "i long, j long, v long")
+    of, tiled = layout.TileMatrix.of.__func__, []
+    monkeypatch.setattr(layout.TileMatrix, "of", classmethod(lambda cls, m, rows, columns, *more, **named: tiled.append((rows, columns)) or of(cls, m, rows, columns, *more, **named)))
+    x = np.full((n, many), -1)
+    for c in recursive.solve(df(a), n, df(b), many, tile=3).collect():
+        x[c["i"], c["j"]] = c["v"]
+    assert (kernels.product(a, x, P) == b).all() and tiled == [(n, n)]
