@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom import queries
 from fieldloom.functions.field import PRIME as P
 from fieldloom.functions.field import SingularMatrixError
-from fieldloom.operators import eliminate, kernels, layout, multiply, recursive
+from fieldloom.operators import eliminate, kernels, layout, multiply, recursive, verify
 
 
 def test_sparse_products_add_up_within_tasks(spark):
@@ -144,3 +144,30 @@ def test_status_of_keys_with_gaps(spark, tmp_path):
     nation = {0: 0, 1: 4, 2: 0, 3: 4, 8: 3, 9: 1}  # without the last two: ones at (0, 0), (1, 5), (2, 2), (3, 1)
     spark.createDataFrame(list(nation.items()), "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     assert {r["matrix"]: r["singular_at"] for r in queries.lu_status(spark, str(tmp_path)).collect()}["suppliers"] == 1
+
+
+def shuffled_rows(df) -> list[int]:
+    """Rows that each exchange of a plan that ran has written."""
+    found, left = [], [df._jdf.queryExecution().executedPlan()]
+    while left:
+        plan = left.pop()
+        if plan.nodeName() == "Exchange":
+            found.append(plan.metrics().apply("shuffleRecordsWritten").value())
+        below = plan.children()
+        left += [plan.executedPlan()] if plan.nodeName() == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in plan.nodeName() else [below.apply(k) for k in range(below.size())]
+    return found
+
+
+@pytest.mark.parametrize(("rows", "columns"), [(50, 50), (61, 40), (40, 61)])
+def test_probable_check_shuffles_no_cells(spark, rows, columns):
+    """From tiles, rows of sums alone are sent; one wrong cell is found, and both forms tell the same."""
+    a = np.random.default_rng(31).integers(0, P, (rows, columns))
+    m = spark.createDataFrame([(int(i), int(j), int(a[i, j])) for i, j in np.ndindex(*a.shape)], "i long, j long, v long")
+    made = recursive.factor(m, rows, columns, tile=16)
+    right = verify.probably_factored(made, m)
+    assert tuple(right.collect()[0]) == (rows, 0, P**-2.0) == tuple(verify.probably_factors(made.cells(), m).first())
+    assert 0 < max(shuffled_rows(right)) < rows * columns // 4
+    for at in ((3, 7), (7, 3), (rows - 1, columns - 1)):
+        wrong = made.with_added(*at, 1)
+        assert verify.probably_factored(wrong, m).first()["failing"] == verify.probably_factors(wrong.cells(), m).first()["failing"] > 0
+    assert tuple(verify.probably_factored(recursive.factor(m.where("false"), 0, 0), m.where("false")).first())[:2] == (0, 0)
