@@ -158,6 +158,28 @@ def shuffled_rows(df) -> list[int]:
     return found
 
 
+@pytest.mark.parametrize("modulus", [P, None, (4194301, 4194287)])
+def test_blocks_are_made_whole_in_a_task(spark, modulus):
+    """Many blocks of a product and several inner tiles: tiles are sent once to a row or column of the grid, and no partial sums are sent."""
+    r, n, inner, edge = np.random.default_rng(41), 36, 20, 4
+    a, b, c = r.integers(0, 1 << 16, (n, inner)), r.integers(0, 1 << 16, (inner, n)), r.integers(0, 1 << 16, (n, n))
+    a[4:8], b[:, 8:12], b[4:8], c[:, 12:16] = 0, 0, 0, 0
+    df = lambda x: spark.createDataFrame([(i // edge, j // edge, bytearray(layout.pack(x[i : i + edge, j : j + edge]))) for i in range(0, x.shape[0], edge) for j in range(0, x.shape[1], edge)], "bi long, bj long, t binary")
+    for k, plus in ((inner, None), (edge, None), (inner, df(c)), (edge, df(c))):  # several inner tiles and one
+        x, y = df(a[:, :k]).toDF("bi", "bk", "x"), df(b[:k]).toDF("bk", "bj", "y")
+        if isinstance(modulus, tuple) and plus is not None:
+            continue
+        made = multiply.sum_products(x, y, 9, 9, k // edge, (edge, edge, edge), modulus, plus=plus)
+        tiles = made.collect()
+        assert len({(t["bi"], t["bj"]) for t in tiles}) == len(tiles) == 81
+        want = a[:, :k] @ b[:k] + (0 if plus is None else c)
+        for t in tiles:
+            block = want[t["bi"] * edge :, t["bj"] * edge :][:edge, :edge]
+            assert (layout.unpack(t["t"], -1, edge, edge) == np.stack([block % q for q in (modulus if isinstance(modulus, tuple) else (modulus or 1 << 32,))])).all()
+        high, wide = multiply.grid_of(9, 9, 1, multiply.WHOLE * 4, "grid")
+        assert sum(shuffled_rows(made)) == 9 * (k // edge) * (high + wide) + (0 if plus is None else 81)
+
+
 @pytest.mark.parametrize(("rows", "columns"), [(50, 50), (61, 40), (40, 61)])
 def test_probable_check_shuffles_no_cells(spark, rows, columns):
     """From tiles, rows of sums alone are sent; one wrong cell is found, and both forms tell the same."""
